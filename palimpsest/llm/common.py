@@ -34,7 +34,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def buckets_of(spark: SparkSession) -> int:
     """Buckets of a packed exchange: some for each shuffle partition, so that they deal out evenly."""
-    return 4 * shuffle_partitions(spark)
+    return 2 * shuffle_partitions(spark)
 
 
 def pack(bucket: np.ndarray, records: np.ndarray, n: int):
