@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from .jaccard_join import OP1_SQL, op1_ngram_jaccard_join
+from .mixing import OP8_SQL, op8_mixing
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup}
-ORACLE_SQL = {"op6_substring_dedup": OP6_SQL}
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_mixing": op8_mixing,
+}
+ORACLE_SQL = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "op8_mixing": OP8_SQL,
+}
