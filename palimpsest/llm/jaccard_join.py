@@ -22,7 +22,8 @@ classes to its smallest class, in as many units as they fill. That joins groups
 of near copies, however large, with a number of visits in proportion to their
 size. Then only shingles whose classes lie in different components are left;
 the last round compares exactly those pairs that are in different components and
-whose sizes allow a link. After it no link is left unseen.
+whose sizes and number of common prefix shingles allow a link. After it no link
+is left unseen.
 
 Defined cases: null and empty texts have an empty set, which links with nothing,
 not even its like; texts under n words have their whole sequence as one shingle;
@@ -299,15 +300,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
             # So few pairs lie across components that comparing them all costs no more than another round.
             last = k == PIVOT_ROUNDS or across <= PAIRS_A_ROW * rows_left
             left = checkpointed(t.join(mixed.select("h"), "h"))
+        fits = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+        # Sets that link share at least so many prefix shingles: all that they share up to the end of the prefix that
+        # ends first, after which that set has no more than ceil(percent * n / 100) - 1 left.
+        least = f"ceil({percent} * (a.n + b.n) / {100 + percent}) - greatest(ceil({percent} * a.n / 100), ceil({percent} * b.n / 100)) + 1"
         if not last:
-            pivots = left.groupBy("h").agg(F.min_by("cls", F.xxhash64("cls", F.lit(k))).alias("hub"))
-            pairs = left.join(pivots, "h").where("cls <> hub").select("hub", "cls").distinct()
+            # A pair meets its hub in some of its shingles only, so half as many will do; the last round makes up for it.
+            pivots = left.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(k))).alias("hub")).select("h", "hub.*")
+            met = left.alias("a").join(pivots.alias("b"), "h").where(f"a.cls <> b.cls and {fits}")
+            met = met.groupBy(F.col("b.cls").alias("hub"), F.col("a.cls").alias("cls"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
+            pairs = met.where(f"2 * c >= {least}".replace("a.n", "n").replace("b.n", "m")).select("hub", "cls")
         else:
-            a, b = left.alias("a"), left.alias("b")
-            fits = f"a.h = b.h and a.label <> b.label and a.cls < b.cls and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+            x, y = left.alias("a"), left.alias("b")
+            met = x.join(y, F.expr(f"a.h = b.h and a.label <> b.label and a.cls < b.cls and {fits}"))
+            met = met.groupBy(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.label").alias("lx"), F.col("b.label").alias("ly"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
+            met = met.where(f"c >= {least}".replace("a.n", "n").replace("b.n", "m"))
             weight = left.select("cls", "label").distinct().groupBy("label").agg(F.count("*").alias("weight"))
-            pairs = a.join(b, F.expr(fits)).select(F.col("a.cls").alias("x"), F.col("a.label").alias("lx"), F.col("b.cls").alias("y"), F.col("b.label").alias("ly")).distinct()
-            pairs = pairs.join(weight.select(F.col("label").alias("lx"), F.col("weight").alias("wx")), "lx").join(weight.select(F.col("label").alias("ly"), F.col("weight").alias("wy")), "ly")
+            pairs = met.join(weight.select(F.col("label").alias("lx"), F.col("weight").alias("wx")), "lx").join(weight.select(F.col("label").alias("ly"), F.col("weight").alias("wy")), "ly")
             pairs = pairs.select(F.expr("if(wx <= wy, x, y)").alias("hub"), F.expr("if(wx <= wy, y, x)").alias("cls"))
         new = checkpointed(in_units(checkpointed(pairs), labels))
         links = new if links is None else links.unionByName(new)
