@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, shuffle_partitions, table
 
 #: Words of a block, mean documents of a numbered group, slots of an output shard, draws listed by one row.
 BLOCK, GROUP, SHARD_SLOTS, LISTED = 64, 512, 65536, 16384
@@ -65,7 +65,7 @@ class Mix:
     """A mix of docs: its rows placed in streams, its slots, and the pieces of rows that blocks hold."""
 
     def __init__(self, docs: DataFrame, share: float = 1.5, repeats: int = 2, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-        self.block, self.repeats = block, repeats
+        self.block, self.repeats, self.tasks = block, repeats, shuffle_partitions(docs.sparkSession)
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
         sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
         sized = checkpointed(sized.withColumn("name", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
@@ -86,11 +86,11 @@ class Mix:
         draws = F.least(F.round(F.col("goal") / self.block).cast("long"), F.col("blocks") * self.repeats)
         s = s.select("source_no", "blocks", F.when(F.col("goal") >= F.col("source_size") * self.repeats, F.col("blocks") * self.repeats).otherwise(draws).alias("draws"))
         s = s.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("draws").over(Window.partitionBy()) / SHARD_SLOTS)))
-        lists = s.where("draws > 0").select("*", F.explode(F.expr(f"sequence(0, (draws - 1) div {LISTED})")).alias("list")).repartition("source_no", "list")
+        lists = s.where("draws > 0").select("*", F.explode(F.expr(f"sequence(0, (draws - 1) div {LISTED})")).alias("list")).repartition(self.tasks, "source_no", "list")
         drawn = lists.select("source_no", "shards", F.explode(F.expr(f"sequence(list * {LISTED}, least(draws, (list + 1) * {LISTED}) - 1)")).alias("draw"))
         counts = drawn.select("source_no", F.pmod(F.xxhash64("source_no", "draw"), "shards").alias("shard")).groupBy("source_no", "shard").agg(F.count("*").alias("count"))
         start = F.coalesce(F.sum("count").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(FIRST, -1)), F.lit(0))
-        runs = counts.withColumn("start", start).select("source_no", "shard", "start", "count", F.explode(F.expr(f"sequence(0, (count - 1) div {LISTED})")).alias("list")).repartition("source_no", "shard", "list")
+        runs = counts.withColumn("start", start).select("source_no", "shard", "start", "count", F.explode(F.expr(f"sequence(0, (count - 1) div {LISTED})")).alias("list")).repartition(self.tasks, "source_no", "shard", "list")
         slots = runs.select("source_no", "shard", F.explode(F.expr(f"sequence(start + list * {LISTED}, start + least(count, (list + 1) * {LISTED}) - 1)")).alias("index"))
         slots = _joined(slots, s.select("source_no", "blocks"), self.n, "source_no")
         primes = f"filter(array({', '.join(f'{p}L' for p in PRIMES)}), p -> blocks % p <> 0)"
