@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
 from .jaccard_join import OP1_SQL, op1_ngram_jaccard_join
 from .mixing import OP8_SQL, op8_mixing
+from .quality import op4_quality
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_decontamination": op2_decontamination,
+    "op4_quality": op4_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_mixing": op8_mixing,
 }
