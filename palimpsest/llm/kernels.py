@@ -146,3 +146,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = np.asarray(lengths, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def group_runs(hit: np.ndarray, first: np.ndarray, least: int):
+    """(text, from, to) of the stretches of at least `least` words with hit, as word numbers within their text."""
+    edge = np.zeros(len(hit) + 1, bool)
+    edge[first] = True
+    begins = np.flatnonzero(hit & (np.concatenate([[True], ~hit[:-1]]) | edge[:-1]))
+    ends = np.flatnonzero(hit & (np.concatenate([~hit[1:], [True]]) | edge[1:])) + 1
+    keep = ends - begins >= least
+    begins, ends = begins[keep], ends[keep]
+    text = np.searchsorted(first, begins, "right") - 1
+    return zip(text.tolist(), (begins - first[text]).tolist(), (ends - first[text]).tolist(), strict=True)
