@@ -10,6 +10,15 @@ buckets last: a sketch of fixed size counts all shingles of all texts in buckets
 by hash. Shingles of those prefixes meet by hash, and only those in two classes
 stay as candidates.
 
+A shingle in the prefixes of at most LIGHT classes is light: where it meets, pairs
+of its classes whose sizes allow a link are counted, and a pair stays if it shares
+as many prefix shingles as its sizes need. Heavier shingles go in rounds. In the
+pivot rounds each sends its classes to one of them, in as many units as they
+fill, which joins groups of near copies, however large, with visits in
+proportion to their size. Then only shingles whose classes lie in different
+components are left; the last round takes those pairs that are in different
+components and share enough. After it no link is left unseen.
+
 Sets are joined in units of bounded size. A unit's sets are put into a prefix
 tree, frequent shingles first, so that near copies share long paths. Each set
 walks the tree with the overlap so far, which all sets below a node share, and
@@ -17,14 +26,6 @@ leaves a subtree when what remains of the set or of the subtree's longest set
 can't reach the overlap that its shortest set needs. Sets that are connected
 already aren't compared.
 
-Units come in rounds. In the pivot rounds each candidate shingle sends its
-classes to its smallest class, in as many units as they fill. That joins groups
-of near copies, however large, with a number of visits in proportion to their
-size. Then only shingles whose classes lie in different components are left;
-the last round compares exactly those pairs that are in different components and
-whose sizes and number of common prefix shingles allow a link. After it no link
-is left unseen.
-
 Defined cases: null and empty texts have an empty set, which links with nothing,
 not even its like; texts under n words have their whole sequence as one shingle;
 rows that repeat an id are rows of their own with one id.
@@ -47,6 +48,8 @@ SKETCH_BITS, SLICES = 18, 64
 #: Sets of a unit, besides its pivot.
 UNIT = 64
 PIVOT_ROUNDS = 4
+#: Classes of a light shingle.
+LIGHT = 16
 #: Pairs across components for each candidate row at which the pivot rounds end.
 PAIRS_A_ROW = 4
 
@@ -204,11 +207,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     packed_schema = pa.schema([("bucket", pa.int32()), ("found", pa.bool_()), ("data", pa.binary())])
 
     def settle(t: np.ndarray):
-        """One record of each shingle and class; those of shingles in two classes are known to be shared."""
+        """One record of each shingle and class. A shingle that is heavy here already sends one record home, which says so."""
         t = t[np.lexsort((t["cls"], t["h"]))]
         t = t[np.concatenate([[True], (t["h"][1:] != t["h"][:-1]) | (t["cls"][1:] != t["cls"][:-1])])]
         cut = group_edges(t["h"])
-        many = np.diff(cut) > 1
+        many = np.diff(cut) > LIGHT
         heads = t[cut[:-1][many]]
         heads["sent"] = 1
         known, rest = t[np.repeat(many, np.diff(cut))], np.concatenate([t[np.repeat(~many, np.diff(cut))], heads])
@@ -234,27 +237,55 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         if size:
             yield blob_batch(list(settle(np.concatenate(held))), packed_schema)
 
-    token_schema = pa.schema([("h", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
+    met_schema = pa.schema([("heavy", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("c", pa.int64())])
+
+    def batch_of(heavy: bool, a, b, n, m, c):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), heavy)), pa.array(a), pa.array(b), pa.array(n), pa.array(m), pa.array(c)], schema=met_schema)
 
     def meet(batches):
+        """Heavy shingles as (shingle, class, size), and pairs of classes (x, y, sizes, light shingles that both have)."""
         done, rest = [], []
         for batch in batches:
             for known, x in zip(batch.column("found").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 (done if known else rest).append(x)
         t = unpack(rest, TOKEN)
-        t = t[np.argsort(t["h"], kind="stable")]
-        if len(t):
-            cut = group_edges(t["h"])
-            lo, hi = np.minimum.reduceat(t["cls"], cut[:-1]), np.maximum.reduceat(t["cls"], cut[:-1])
-            many = np.repeat((lo != hi) | (np.maximum.reduceat(t["sent"], cut[:-1]) > 0), np.diff(cut))
-            t = t[many & (t["sent"] == 0)]
-        t = np.concatenate([t, unpack(done, TOKEN)])
-        yield pa.RecordBatch.from_arrays([pa.array(t["h"].view(np.int64)), pa.array(t["cls"]), pa.array(t["n"])], schema=token_schema)
-
-    met = rows.select("text").mapInArrow(tokens, "bucket int, found boolean, data binary").repartition("bucket").mapInArrow(meet, "h long, cls long, n int")
-    candidates = checkpointed(met.distinct())
-
-    needed = candidates.select("cls").distinct()
+        t = t[np.lexsort((t["cls"], t["h"]))]
+        new = np.concatenate([[True], (t["h"][1:] != t["h"][:-1]) | (t["cls"][1:] != t["cls"][:-1]) | (t["sent"][1:] != t["sent"][:-1])]) if len(t) else np.zeros(0, bool)
+        t = t[new]
+        cut = group_edges(t["h"])
+        size = np.diff(cut)
+        heavy = (size > LIGHT) | (np.maximum.reduceat(t["sent"], cut[:-1]) > 0) if len(t) else np.zeros(0, bool)
+        out = np.concatenate([t[np.repeat(heavy, size)], unpack(done, TOKEN)])
+        out = out[out["sent"] == 0]
+        yield batch_of(True, out["h"].view(np.int64), out["cls"], out["n"], np.zeros(len(out), np.int32), np.ones(len(out), np.int64))
+        pairs = []
+        for k in np.unique(size[~heavy & (size > 1)]):
+            start = cut[:-1][~heavy & (size == k)]
+            i, j = np.triu_indices(int(k), 1)
+            x, y = t[(start[:, None] + i).ravel()], t[(start[:, None] + j).ravel()]
+            fits = 100 * np.minimum(x["n"], y["n"]).astype(np.int64) >= percent * np.maximum(x["n"], y["n"]).astype(np.int64)
+            pairs.append(np.stack([x["cls"][fits], y["cls"][fits], x["n"][fits], y["n"][fits]]))
+        if pairs:
+            p = np.concatenate(pairs, axis=1)
+            p = p[:, np.lexsort((p[1], p[0]))]
+            new = np.flatnonzero(np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])) if p.shape[1] else np.zeros(0, np.int64)
+            c = np.diff(np.append(new, p.shape[1]))
+            p = p[:, new]
+            yield batch_of(False, p[0], p[1], p[2].astype(np.int32), p[3].astype(np.int32), c.astype(np.int64))
+
+    met = rows.select("text").mapInArrow(tokens, "bucket int, found boolean, data binary").repartition("bucket").mapInArrow(meet, "heavy boolean, a long, b long, n int, m int, c long")
+    met = checkpointed(met)
+    heavy = checkpointed(met.where("heavy").select(F.col("a").alias("h"), F.col("b").alias("cls"), "n").distinct())
+    # Sets that link share at least so many prefix shingles: all that they share up to the end of the prefix that ends
+    # first, after which that set has no more than ceil(percent * n / 100) - 1 left.
+    least = f"(ceil({percent} * (n + m) / {100 + percent}) - greatest(ceil({percent} * n / 100), ceil({percent} * m / 100)) + 1)"
+    weight = checkpointed(heavy.groupBy("cls").agg(F.count("*").alias("heavies")))
+    light = met.where("not heavy").groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"))
+    light = light.join(weight.select(F.col("cls").alias("a"), F.col("heavies").alias("ha")), "a", "left").join(weight.select(F.col("cls").alias("b"), F.col("heavies").alias("hb")), "b", "left")
+    light = light.where(f"c + coalesce(least(ha, hb), 0) >= {least}".replace("least(ha, hb)", "least(coalesce(ha, 0), coalesce(hb, 0))")).select(F.col("a").alias("hub"), F.col("b").alias("cls"))
+    light = checkpointed(light)
+
+    needed = heavy.select("cls").unionByName(light.select(F.explode(F.array("hub", "cls")).alias("cls"))).distinct()
     one = found.groupBy("cls").agg(F.min("uid").alias("uid")).join(needed, "cls", "left_semi")
 
     set_schema = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
@@ -288,38 +319,34 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         units = units.withColumn("label", F.col("cls")) if labels is None else units.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         return units.groupBy("hub", "part").applyInArrow(joined, "a long, b long")
 
-    links, labels, left, last = None, None, candidates, False
+    links = checkpointed(in_units(light, None))
+    labels, left = components(links), heavy
     for k in range(PIVOT_ROUNDS + 1):
-        if k:
-            t = candidates.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            mixed = t.groupBy("h", "label").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("n_cls"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("n_labels")).where("n_labels > 1")
-            mixed = checkpointed(mixed.select("h", "n_cls", ((F.col("n_cls") * F.col("n_cls") - F.col("same")) / 2).alias("across")))
-            rows_left, across = mixed.agg(F.sum("n_cls"), F.sum("across")).first()
-            if not rows_left:
-                break
-            # So few pairs lie across components that comparing them all costs no more than another round.
-            last = k == PIVOT_ROUNDS or across <= PAIRS_A_ROW * rows_left
-            left = checkpointed(t.join(mixed.select("h"), "h"))
+        t = left.select("h", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        mixed = t.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n_cls"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("n_labels")).where("n_labels > 1")
+        mixed = checkpointed(mixed.select("h", "n_cls", ((F.col("n_cls") * F.col("n_cls") - F.col("same")) / 2).alias("across")))
+        rows_left, across = mixed.agg(F.sum("n_cls"), F.sum("across")).first()
+        if not rows_left:
+            break
+        # In the last round, or where so few pairs lie across components that comparing them costs no more than another round.
+        last = k == PIVOT_ROUNDS or across <= PAIRS_A_ROW * rows_left
+        left = checkpointed(t.join(mixed.select("h"), "h"))
         fits = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-        # Sets that link share at least so many prefix shingles: all that they share up to the end of the prefix that
-        # ends first, after which that set has no more than ceil(percent * n / 100) - 1 left.
-        least = f"ceil({percent} * (a.n + b.n) / {100 + percent}) - greatest(ceil({percent} * a.n / 100), ceil({percent} * b.n / 100)) + 1"
         if not last:
             # A pair meets its hub in some of its shingles only, so half as many will do; the last round makes up for it.
             pivots = left.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(k))).alias("hub")).select("h", "hub.*")
-            met = left.alias("a").join(pivots.alias("b"), "h").where(f"a.cls <> b.cls and {fits}")
-            met = met.groupBy(F.col("b.cls").alias("hub"), F.col("a.cls").alias("cls"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
-            pairs = met.where(f"2 * c >= {least}".replace("a.n", "n").replace("b.n", "m")).select("hub", "cls")
+            pairs = left.alias("a").join(pivots.alias("b"), "h").where(f"a.cls <> b.cls and {fits}")
+            pairs = pairs.groupBy(F.col("b.cls").alias("hub"), F.col("a.cls").alias("cls"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
+            pairs = pairs.where(f"2 * c >= {least}").select("hub", "cls")
         else:
-            x, y = left.alias("a"), left.alias("b")
-            met = x.join(y, F.expr(f"a.h = b.h and a.label <> b.label and a.cls < b.cls and {fits}"))
-            met = met.groupBy(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.label").alias("lx"), F.col("b.label").alias("ly"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
-            met = met.where(f"c >= {least}".replace("a.n", "n").replace("b.n", "m"))
-            weight = left.select("cls", "label").distinct().groupBy("label").agg(F.count("*").alias("weight"))
-            pairs = met.join(weight.select(F.col("label").alias("lx"), F.col("weight").alias("wx")), "lx").join(weight.select(F.col("label").alias("ly"), F.col("weight").alias("wy")), "ly")
-            pairs = pairs.select(F.expr("if(wx <= wy, x, y)").alias("hub"), F.expr("if(wx <= wy, y, x)").alias("cls"))
-        new = checkpointed(in_units(checkpointed(pairs), labels))
-        links = new if links is None else links.unionByName(new)
+            pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.h = b.h and a.label <> b.label and a.cls < b.cls and {fits}"))
+            pairs = pairs.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
+            # Pairs that share a light shingle too have been seen to; these share what they share in heavy ones.
+            pairs = pairs.where(f"c >= {least}").join(met.where("not heavy").select("a", "b").distinct(), ["a", "b"], "left_anti")
+            members = left.select("cls", "label").distinct().groupBy("label").agg(F.count("*").alias("members"))
+            pairs = pairs.join(members.select(F.col("label").alias("la"), F.col("members").alias("wa")), "la").join(members.select(F.col("label").alias("lb"), F.col("members").alias("wb")), "lb")
+            pairs = pairs.select(F.expr("if(wa <= wb, a, b)").alias("hub"), F.expr("if(wa <= wb, b, a)").alias("cls"))
+        links = links.unionByName(checkpointed(in_units(checkpointed(pairs), labels)))
         labels = components(links)
         if last:
             break
