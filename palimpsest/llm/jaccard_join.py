@@ -5,9 +5,9 @@ A text's set holds its distinct n-word shingles. Sets link when
 copies cost one set.
 
 Two linked sets share a shingle among the first |x| - ceil(percent * |x| / 100) + 1
-of each, under any one order of all shingles. The order puts shingles of busy
-buckets last: a sketch of fixed size counts all shingles of all texts in buckets
-by hash. Shingles of those prefixes meet by hash, and only those in two classes
+of each, under any one order of all shingles. The order is by how busy a
+shingle's cell is: a sketch of fixed size counts all shingles of all texts in
+cells by hash, so that rare ones tend to come first. Shingles of those prefixes meet by hash, and only those in two classes
 stay as candidates.
 
 A shingle in the prefixes of at most LIGHT classes is light: where it meets, pairs
@@ -16,8 +16,9 @@ as many prefix shingles as its sizes need. Heavier shingles go in rounds. In the
 pivot rounds each sends its classes to one of them, in as many units as they
 fill, which joins groups of near copies, however large, with visits in
 proportion to their size. Then only shingles whose classes lie in different
-components are left; the last round takes those pairs that are in different
-components and share enough. After it no link is left unseen.
+components are left; classes that those connect form clusters, and the last round
+joins whole clusters, in blocks two by two where one is larger than a unit may
+be. After it no link is left unseen.
 
 Sets are joined in units of bounded size. A unit's sets are put into a prefix
 tree, frequent shingles first, so that near copies share long paths. Each set
@@ -33,8 +34,6 @@ rows that repeat an id are rows of their own with one id.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,15 +42,10 @@ from pyspark.sql import functions as F
 from .common import blob_batch, buckets_of, checkpointed, components, group_edges, pack, table, unpack
 from .kernels import U, hash_words, mix, shingle_sets, text_slices, words_of
 
-#: The sketch: 2 ** 18 counts, sent in slices.
-SKETCH_BITS, SLICES = 18, 64
-#: Sets of a unit, besides its pivot.
-UNIT = 64
-PIVOT_ROUNDS = 4
-#: Classes of a light shingle.
-LIGHT = 16
-#: Pairs across components for each candidate row at which the pivot rounds end.
-PAIRS_A_ROW = 4
+#: The sketch: 2 ** SKETCH_BITS counts, sent in slices.
+SKETCH_BITS, SLICES = 21, 128
+#: Sets of a unit besides its pivot, and of a cluster's unit; pivot rounds; classes of a light shingle.
+UNIT, CLUSTER, PIVOT_ROUNDS, LIGHT = 64, 3072, 2, 16
 
 TOKEN = np.dtype([("h", "u8"), ("cls", "i8"), ("n", "i4"), ("sent", "i1")])
 
@@ -83,16 +77,9 @@ def prefixes(h: np.ndarray, off: np.ndarray, busy: np.ndarray, percent: int) ->
     n = np.diff(off)
     keep = n + (-percent * n // 100) + 1  # n - ceil(percent * n / 100) + 1
     owner = np.repeat(np.arange(len(n)), n)
-    light = busy[_cell(h)] == 0
-    seen = np.concatenate([[0], np.cumsum(light)])
-    take = light & (seen[1:] - seen[off[:-1]][owner] <= keep[owner])
-    lights = seen[off[1:]] - seen[off[:-1]]
-    for i in np.flatnonzero((n > 0) & (lights < keep)):
-        heavy = off[i] + np.flatnonzero(~light[off[i] : off[i + 1]])
-        order = np.lexsort((h[heavy], busy[_cell(h[heavy])]))
-        take[heavy[order[: keep[i] - lights[i]]]] = True
-    at = np.flatnonzero(take)
-    return at, owner[at]
+    order = np.lexsort((h, busy[_cell(h)], owner))
+    take = np.arange(len(h)) - off[:-1][owner] < keep[owner]
+    return order[take], owner[take]
 
 
 class PrefixTree:
@@ -181,11 +168,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     fact_schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
 
     def facts(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             ids, uids = batch.column("doc_id"), batch.column("uid")
             for a, h, off in _sets(batch.column("text"), n):
-                counts += np.bincount(_cell(h), minlength=len(counts))
+                np.add.at(counts, _cell(h), 1)
                 m = len(off) - 1
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), ids.slice(a, m), uids.slice(a, m), pa.array(np.diff(off), pa.int64()), pa.array(_digests(h, off))], schema=fact_schema)
         yield blob_batch([(i, x.tobytes(), None, None, None, None) for i, x in enumerate(counts.reshape(SLICES, -1)) if x.any()], fact_schema)
@@ -194,15 +181,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     found = all_facts.where("slice is null").select("doc_id", "uid", "n_shingles", "cls")
 
     def add_up(key, part):
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([sum(np.frombuffer(x, np.int64) for x in part.column("counts").to_pylist()).tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([sum(np.frombuffer(x, np.int32).astype(np.int64) for x in part.column("counts").to_pylist()).tobytes()], pa.binary())})
 
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for r in all_facts.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add_up, "slice int, counts binary").toLocalIterator():
         counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     counts = counts.ravel()
-    mean = counts.mean()
-    busy = np.maximum(0, counts - int(mean + 6 * math.sqrt(mean)) - 1)
-    shared = spark.sparkContext.broadcast(busy)  # 2 MB at every size of input
+    # 8 MB at every size of input; counts beyond its type are all the busiest.
+    shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     packed_schema = pa.schema([("bucket", pa.int32()), ("found", pa.bool_()), ("data", pa.binary())])
 
@@ -310,46 +296,46 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         pairs = join_unit([np.frombuffer(held[i].as_py(), U) for i in members], [labels[i] for i in members], percent)
         return pa.table({"a": pa.array([cls[members[i]] for i, _ in pairs], pa.int64()), "b": pa.array([cls[members[j]] for _, j in pairs], pa.int64())})
 
+    def labelled(units: DataFrame, labels: DataFrame | None) -> DataFrame:
+        units = units.join(texts, "cls")
+        return units.withColumn("label", F.col("cls")) if labels is None else units.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    def in_clusters(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links within the clusters (node, label): each cluster's blocks of about CLUSTER sets, two by two."""
+        size = clusters.groupBy("label").agg(F.ceil(F.count("*") * 2 / CLUSTER).alias("blocks"))
+        size = size.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
+        rows = clusters.join(size, "label").select(F.col("label").alias("hub"), F.col("node").alias("cls"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("i"))
+        other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        pair = F.explode(F.transform(other, lambda j: F.least("i", j) * F.col("blocks") + F.greatest("i", j)))
+        return labelled(rows.select("hub", pair.alias("part"), "cls"), labels).groupBy("hub", "part").applyInArrow(joined, "a long, b long")
+
     def in_units(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Links found among (hub, cls): each hub with its classes, UNIT of them at a time."""
         size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
         units = pairs.join(size, "hub").select("hub", F.pmod(F.xxhash64("cls"), "parts").alias("part"), "cls")
         units = units.unionByName(size.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("cls")))
-        units = units.join(texts, "cls")
-        units = units.withColumn("label", F.col("cls")) if labels is None else units.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        return units.groupBy("hub", "part").applyInArrow(joined, "a long, b long")
+        return labelled(units, labels).groupBy("hub", "part").applyInArrow(joined, "a long, b long")
 
     links = checkpointed(in_units(light, None))
     labels, left = components(links), heavy
+    fits = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
     for k in range(PIVOT_ROUNDS + 1):
         t = left.select("h", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = t.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n_cls"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("n_labels")).where("n_labels > 1")
-        mixed = checkpointed(mixed.select("h", "n_cls", ((F.col("n_cls") * F.col("n_cls") - F.col("same")) / 2).alias("across")))
-        rows_left, across = mixed.agg(F.sum("n_cls"), F.sum("across")).first()
-        if not rows_left:
+        mixed = t.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+        left = checkpointed(t.join(mixed, "h"))
+        if left.isEmpty():
             break
-        # In the last round, or where so few pairs lie across components that comparing them costs no more than another round.
-        last = k == PIVOT_ROUNDS or across <= PAIRS_A_ROW * rows_left
-        left = checkpointed(t.join(mixed.select("h"), "h"))
-        fits = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-        if not last:
+        pivots = left.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(k))).alias("hub")).select("h", "hub.*")
+        if k < PIVOT_ROUNDS:
             # A pair meets its hub in some of its shingles only, so half as many will do; the last round makes up for it.
-            pivots = left.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(k))).alias("hub")).select("h", "hub.*")
             pairs = left.alias("a").join(pivots.alias("b"), "h").where(f"a.cls <> b.cls and {fits}")
             pairs = pairs.groupBy(F.col("b.cls").alias("hub"), F.col("a.cls").alias("cls"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
-            pairs = pairs.where(f"2 * c >= {least}").select("hub", "cls")
+            new = in_units(checkpointed(pairs.where(f"2 * c >= {least}").select("hub", "cls")), labels)
         else:
-            pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.h = b.h and a.label <> b.label and a.cls < b.cls and {fits}"))
-            pairs = pairs.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
-            # Pairs that share a light shingle too have been seen to; these share what they share in heavy ones.
-            pairs = pairs.where(f"c >= {least}").join(met.where("not heavy").select("a", "b").distinct(), ["a", "b"], "left_anti")
-            members = left.select("cls", "label").distinct().groupBy("label").agg(F.count("*").alias("members"))
-            pairs = pairs.join(members.select(F.col("label").alias("la"), F.col("members").alias("wa")), "la").join(members.select(F.col("label").alias("lb"), F.col("members").alias("wb")), "lb")
-            pairs = pairs.select(F.expr("if(wa <= wb, a, b)").alias("hub"), F.expr("if(wa <= wb, b, a)").alias("cls"))
-        links = links.unionByName(checkpointed(in_units(checkpointed(pairs), labels)))
+            ties = left.select("h", F.col("cls").alias("a")).join(pivots.select("h", F.col("cls").alias("b")), "h").select("a", "b")
+            new = in_clusters(components(ties), labels)
+        links = links.unionByName(checkpointed(new))
         labels = components(links)
-        if last:
-            break
 
     of_class = found.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     of_label = of_class.join(labels.withColumnRenamed("node", "cls"), "cls").groupBy("label").agg(F.min("least").alias("least"))
