@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op2_decontamination
 from .exact_topk import OP3_SQL, op3_exact_topk
 from .jaccard_join import OP1_SQL, op1_ngram_jaccard_join
+from .katz import op9_katz_scores
 from .license_scan import op10_license_scan
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op4_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
+    "op9_katz_scores": op9_katz_scores,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL = {
