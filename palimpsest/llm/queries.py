@@ -11,12 +11,14 @@ from .mixing import OP8_SQL, op8_mixing
 from .quality import op4_quality
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .token_counts import op7_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op3_exact_topk": op3_exact_topk,
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,

@@ -5,7 +5,8 @@ its character n-grams, so that a stem counts in words never seen. Two gated
 recurrent layers read a window of words, one from each end; attention pools
 their states, and a logistic unit scores the window. A text's score is its
 highest window's, over windows of WIDTH words every STRIDE words and one that
-ends with the text.
+ends with the text. A word that repeats the one before it is read once: a run of
+one word would drive the network to states that no text has.
 
 Training is numpy back-propagation through time on the bounded sample of
 training_sample(). Labels are of texts, so it starts from some windows of each
@@ -34,7 +35,7 @@ WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 15, 16, 6, 10, 8,
 GRAMS, LONGEST = (3, 4, 5), 24
 #: Windows of a step; windows of a text that training looks at, and of those that a pass takes at first; highest windows of
 #: a text that isn't toxic that later passes take; passes of either kind; highest weight of a toxic window.
-BATCH, TEXT_WINDOWS, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 128, 48, 6, 2, (2, 8), 4, 0.01, 11
+BATCH, TEXT_WINDOWS, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 256, 40, 6, 2, (2, 6), 4, 0.015, 11
 TOXIC = 0.7
 
 
@@ -58,6 +59,14 @@ def windows_of(first: np.ndarray, width: int = WIDTH, stride: int = STRIDE) -> t
     return first[text] + start, np.minimum(width, n[text]), text
 
 
+def read_once(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct word of each word, each text's first) without words that repeat the one before."""
+    keep = np.ones(len(w.of), bool)
+    keep[1:] = w.of[1:] != w.of[:-1]
+    keep[w.first[:-1][np.diff(w.first) > 0]] = True
+    return w.of[keep], np.concatenate([[0], np.cumsum(keep)])[w.first]
+
+
 class Inputs:
     """Hashed features of the distinct words of some texts."""
 
@@ -188,14 +197,15 @@ class ToxicModel:
         at, mask, text, parts, base = [], [], [], [], 0
         w = list(words_in(texts))
         for first, x in w:
-            start, n, of = windows_of(x.first)
+            words, begins = read_once(x)
+            start, n, of = windows_of(begins)
             order = rng.permutation(len(of))  # as many windows of long texts as training looks at, any of them
             order = order[np.argsort(of[order], kind="stable")]
             rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
             order = order[rank < TEXT_WINDOWS]
             place = np.arange(WIDTH)[:, None]
             ok = place < n[order]
-            at.append(np.where(ok, x.of[np.where(ok, start[order] + place, 0)] + base, 0))
+            at.append(np.where(ok, words[np.where(ok, start[order] + place, 0)] + base, 0))
             mask.append(ok)
             text.append(of[order] + first)
             parts.append(Inputs(x))
@@ -236,7 +246,8 @@ class ToxicModel:
         out = np.zeros(len(texts))
         place = np.arange(WIDTH)[:, None]
         for first, x in words_in(texts):
-            start, n, of = windows_of(x.first)
+            words, begins = read_once(x)
+            start, n, of = windows_of(begins)
             if not len(of):
                 continue
             gates, logit = self.gates(self.vectors(Inputs(x))), np.empty(len(of), np.float32)
@@ -245,7 +256,7 @@ class ToxicModel:
                 for i in range(0, len(rows), 2048):
                     b = rows[i : i + 2048]
                     ok = place < n[b]
-                    logit[b] = self.read(gates, x.of[np.where(ok, start[b] + place, 0)], ok)
+                    logit[b] = self.read(gates, words[np.where(ok, start[b] + place, 0)], ok)
             np.maximum.at(out, first + of, _sigmoid(logit.astype(np.float64)))
         return out
 
