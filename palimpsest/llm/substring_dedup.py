@@ -111,12 +111,13 @@ def _group_of(uid: np.ndarray, groups: int) -> np.ndarray:
     return uid % groups
 
 
-def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, join_kept: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their texts' repeats cut out.
 
     Columns of docs, with the kept words joined by one space as text, and
     n_words, n_removed (long) and repeats (array of first and last word of each
-    maximal repeat); columns of docs so named are replaced by these.
+    maximal repeat); columns of docs so named are replaced by these. Without
+    join_kept, texts of which nothing is cut stay as they are.
     """
     spark = docs.sparkSession
     n = groups = buckets_of(spark)
@@ -209,8 +210,8 @@ def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, id_col: st
         at = positions(hits)
         out, n_words, n_removed, repeats = [], [], [], []
         for uid, text in zip(texts.column("uid").to_pylist(), texts.column("text"), strict=True):
-            raw = text.as_buffer()
-            words = bytes(raw).split() if raw is not None else []
+            raw = bytes(text.as_buffer()) if text.is_valid else None
+            words = raw.split() if raw else []
             pos = at.get(uid)
             spans = []
             if pos is not None:
@@ -227,7 +228,7 @@ def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, id_col: st
             else:
                 n_words.append(len(words))
                 n_removed.append(0)
-            out.append(b" ".join(words))
+            out.append(b" ".join(words) if join_kept or pos is not None else raw)
             repeats.append(spans)
         rest = texts.column("rest").combine_chunks()
         return pa.table({"rest": rest, "text": pa.array(out, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "repeats": pa.array(repeats, pa.list_(pa.list_(pa.int64())))})
