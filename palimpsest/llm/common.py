@@ -75,6 +75,36 @@ def unpack(blobs, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def in_groups(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(g, data): rows by their column key, from 0 to n - 1, those of each batch packed and compressed together.
+
+    Texts packed so take about half of what an exchange of rows takes.
+    """
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            g = np.asarray(batch.column(batch.schema.get_field_index(key)))
+            order = np.argsort(g, kind="stable")
+            cut = np.searchsorted(g[order], np.arange(n + 1))
+            some = np.flatnonzero(np.diff(cut))
+            out = []
+            for k in some:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
+                    w.write_batch(batch.take(pa.array(order[cut[k] : cut[k + 1]])))
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out, pa.binary())], names=["g", "data"])
+
+    return rows.mapInArrow(run, "g int, data binary")
+
+
+def of_group(part: pa.Table) -> pa.Table | None:
+    """The rows that in_groups() packed; None where there are none."""
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in part.column("data")]
+    return pa.concat_tables(parts).combine_chunks() if parts else None
+
+
 def blob_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

@@ -25,6 +25,7 @@ training row a text's score and base score are those of unknown words.
 from __future__ import annotations
 
 import gc
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import blob_batch, buckets_of, checkpointed, group_edges, table
+from .common import blob_batch, checkpointed, group_edges, in_groups, of_group, shuffle_partitions, table
 from .kernels import U, hash_words, mix, text_slices, words_of
 
 K_MAX, RESERVE, HOT = 5, 0.5, 4
@@ -176,12 +178,13 @@ def _asked(data: bytes):
 def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; held_out is a condition on docs."""
     spark = docs.sparkSession
-    buckets = groups = buckets_of(spark)
+    buckets, groups = shuffle_partitions(spark), 4 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"))
-    texts = rows.withColumn("g", F.pmod("uid", F.lit(groups)).cast("int")).groupBy("g")
+    texts = in_groups(rows.withColumn("g", F.pmod("uid", F.lit(groups)).cast("int")), "g", groups).groupBy("g")
+    arrow_id = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def ask_words(key, t):
-        _, _, train, distinct, of = _group(_ordered(t))
+        _, _, train, distinct, of = _group(_ordered(of_group(t)))
         times = np.bincount(of, train, len(distinct)).astype(np.uint32)
         bucket = (distinct % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -218,8 +221,10 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     def release() -> None:
         """Lets Spark drop the shuffle files of what has been written."""
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)  # the cleaner runs by itself
 
     words = checkpointed(texts.applyInArrow(ask_words, ASK_DDL).repartition("bucket").mapInArrow(answer_words, ANSWER_DDL))
     release()
@@ -237,7 +242,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         g = key[0].as_py()
         if not t.num_rows:
             return pa.Table.from_batches([], ASK)
-        pairs = Pairs(_ordered(t), answers_of(known, 0), buckets, u)
+        pairs = Pairs(_ordered(of_group(t)), answers_of(known, 0), buckets, u)
         return pa.Table.from_batches([blob_batch([(b, g, data) for b, data in pairs.ask()], ASK)], ASK)
 
     def answer_pairs(batches):
@@ -282,9 +287,9 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     def score(key, t, answers):
         u, d2, hot = shared.value
-        t = _ordered(t)
         if not t.num_rows:
-            return pa.table({n: pa.array([], f) for n, f in zip(["doc_id", *[n for n, _ in fields]], [t.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+            return pa.table({n: pa.array([], f) for n, f in zip(["doc_id", *[n for n, _ in fields]], [arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+        t = _ordered(of_group(t))
         p = Pairs(t, answers_of(answers, 0), buckets, u)
         n, figures = np.zeros(len(p.bucket), np.int64), np.zeros((len(p.heads) - 1, K_MAX + 1))
         runs = np.searchsorted(p.heads, p.cut)
