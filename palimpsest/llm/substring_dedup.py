@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, blob_batch, buckets_of, group_edges, pack, unpack
+from .common import NO_ID, blob_batch, buckets_of, group_edges, in_groups, of_group, pack, unpack
 from .kernels import U, hash_windows, hash_words, mix, text_slices, window_starts, words_of
 
 #: h: hash of an anchor or window; uid: the row; ord: its id; pos: its first word. pos is -1 where the row itself is settled.
@@ -181,7 +181,9 @@ def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, join_kept:
         return {int(f["uid"][a]): f["pos"][a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)}
 
     def windows(texts: pa.Table, seeds: pa.Table) -> pa.Table:
-        at = positions(seeds)
+        at, texts = positions(seeds), of_group(texts)
+        if texts is None or not at:
+            return pa.Table.from_batches([], PACKED)
         uids, ords = (np.asarray(texts.column(c)) for c in ("uid", "ord"))
         some = np.flatnonzero(np.isin(uids, np.fromiter(at, np.int64, len(at))))
         held = []
@@ -207,7 +209,7 @@ def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, join_kept:
     kept_type = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def cut_out(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        at = positions(hits)
+        at, texts = positions(hits), of_group(texts)
         out, n_words, n_removed, repeats = [], [], [], []
         for uid, text in zip(texts.column("uid").to_pylist(), texts.column("text"), strict=True):
             raw = bytes(text.as_buffer()) if text.is_valid else None
@@ -234,7 +236,7 @@ def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, join_kept:
         return pa.table({"rest": rest, "text": pa.array(out, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "repeats": pa.array(repeats, pa.list_(pa.list_(pa.int64())))})
 
     packed_ddl, reply_ddl = "bucket int, found boolean, data binary", "g int, data binary"
-    texts = rows.groupBy("g")
+    texts = in_groups(rows, "g", groups).groupBy("g")
     seeds = rows.select("uid", "text").mapInArrow(anchors, packed_ddl).repartition("bucket").mapInArrow(lambda b: replies(b, ANCHOR, shared_anchors), reply_ddl)
     found = texts.cogroup(seeds.groupBy("g")).applyInArrow(windows, packed_ddl).repartition("bucket").mapInArrow(lambda b: replies(b, WINDOW, later_windows), reply_ddl)
     out = texts.cogroup(found.groupBy("g")).applyInArrow(cut_out, kept_type)
