@@ -35,6 +35,8 @@ WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 15, 16, 6, 10, 8,
 GRAMS, LONGEST = (3, 4, 5), 24
 #: Windows of a step; windows of a text that training looks at, and of those that a pass takes at first; highest windows of
 #: a text that isn't toxic that later passes take; passes of either kind; highest weight of a toxic window.
+#: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES.
+WORD_DROP, STEPS, MOST_PASSES = 0.5, (80, 160), 60
 BATCH, TEXT_WINDOWS, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 256, 40, 6, 2, (2, 6), 4, 0.015, 11
 TOXIC = 0.7
 
@@ -142,6 +144,9 @@ class ToxicModel:
         part.gram = x.gram[np.repeat(x.off[words] - part.off[:-1], lengths) + np.arange(part.off[-1])]
         part.owner = np.repeat(np.arange(len(words)), lengths)
         v = self.vectors(part)
+        # Words' own vectors are left out at random, so that their characters learn to tell too.
+        own = (adam["rng"].random((len(words), 1)) >= WORD_DROP).astype(v.dtype) / (1 - WORD_DROP) if WORD_DROP and "rng" in adam else np.ones((len(words), 1), v.dtype)
+        v[:, :WORD_DIM] *= own
         logit, states, u, a, pooled, kept = self.read(self.gates(v), back, mask, keep=True)
         g = {k: np.zeros_like(q) for k, q in p.items() if k not in ("word", "gram")}
         dl = ((_sigmoid(logit) - y) * weight / weight.sum()).astype(np.float32)
@@ -185,7 +190,7 @@ class ToxicModel:
 
         for name, grad in g.items():
             update(name, slice(None), grad)
-        for name, ids, grad in (("word", part.word, dv[:, :WORD_DIM]), ("gram", part.gram, (dv[:, WORD_DIM:] / np.maximum(part.count, 1)[:, None])[part.owner])):
+        for name, ids, grad in (("word", part.word, dv[:, :WORD_DIM] * own), ("gram", part.gram, (dv[:, WORD_DIM:] / np.maximum(part.count, 1)[:, None])[part.owner])):
             rows, where = np.unique(ids, return_inverse=True)
             update(name, rows, _sum_rows(grad, where, len(rows)))
 
@@ -214,7 +219,11 @@ class ToxicModel:
         whole.word, whole.gram, whole.count = (np.concatenate([getattr(q, k) for q in parts]) for k in ("word", "gram", "count"))
         whole.off = np.concatenate([[0], np.cumsum(whole.count)]).astype(np.int64)
         at, mask, text = np.concatenate(at, 1), np.concatenate(mask, 1), np.concatenate(text)
-        y, adam, steps = labels[text].astype(np.float32), {"t": 0}, sum(epochs)
+        y, adam = labels[text].astype(np.float32), {"t": 0, "rng": rng}
+        # A small sample is gone through more often.
+        a_pass = max(1, min(len(y), NOISY * len(labels)) // BATCH)
+        epochs = tuple(max(e, min(MOST_PASSES, -(-n // a_pass))) for e, n in zip(epochs, STEPS, strict=True))
+        steps = sum(epochs)
         for epoch in range(steps):
             order = rng.permutation(len(y))
             if epoch >= epochs[0]:
