@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import blob_batch, checkpointed, group_edges, in_groups, of_group, shuffle_partitions, table
+from .common import blob_batch, buckets_of, checkpointed, group_edges, in_groups, of_group, table
 from .kernels import U, hash_words, mix, text_slices, words_of
 
 K_MAX, RESERVE, HOT = 5, 0.5, 4
@@ -128,6 +128,7 @@ class Pairs:
         for b, data in answers.items():
             count[order[cut[b] : cut[b + 1]]] = np.frombuffer(data, np.int64)
         self.count = count[self.of]  # of each token
+        del self.of
         n_texts = int(count[np.searchsorted(distinct, END)]) if len(distinct) and END in distinct else 0
         begins = np.zeros(len(self.tokens), bool)
         begins[self.first[:-1]] = True
@@ -165,20 +166,19 @@ class Pairs:
 
 
 def _asked(data: bytes):
-    """(contexts, hot, numbers of words, next words, counts, word counts) of what ask() packed."""
+    """The columns that ask() packed: contexts, hot, numbers of words; low and high bits of words, counts, low and high bits of words' counts."""
     n, m = np.frombuffer(data, np.int64, 2)
     at, out = 16, []
     for kind, size in ((np.uint64, n), (np.uint8, n), (np.uint32, n), (np.uint32, m), (np.uint8, m), (np.uint32, m), (np.uint16, m), (np.uint32, m)):
         out.append(np.frombuffer(data, kind, size, at))
         at += out[-1].nbytes
-    ctx, hot, words, low, high, times, c_low, c_high = out
-    return ctx, hot > 0, words.astype(np.int64), low.astype(U) | high.astype(U) << U(32), times.astype(np.int64), c_low.astype(np.int64) | c_high.astype(np.int64) << 16
+    return out[0], out[1] > 0, out[2].astype(np.int64), *out[3:]
 
 
 def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; held_out is a condition on docs."""
     spark = docs.sparkSession
-    buckets, groups = shuffle_partitions(spark), 4 * shuffle_partitions(spark)
+    buckets = groups = buckets_of(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"))
     texts = in_groups(rows.withColumn("g", F.pmod("uid", F.lit(groups)).cast("int")), "g", groups).groupBy("g")
     arrow_id = to_arrow_type(rows.schema["doc_id"].dataType)
@@ -193,12 +193,22 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         return pa.Table.from_batches([blob_batch([(int(b), g, distinct[x := order[cut[b] : cut[b + 1]]].tobytes() + times[x].tobytes()) for b in np.flatnonzero(np.diff(cut))], ASK)], ASK)
 
     def by_bucket(batches):
-        held: dict[int, list] = {}
+        """(bucket, [(g, data)]) of rows that come sorted by bucket; holds one bucket."""
+        now, held = None, []
         for batch in batches:
-            for b, g, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "g", "data")), strict=True):
-                held.setdefault(b, []).append((g, data))
-        for b in sorted(held):
-            yield b, held.pop(b)
+            column = batch.column("data")
+            for i, (b, g) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("g").to_pylist(), strict=True)):
+                if b != now and held:
+                    yield now, held
+                    held = []
+                now = b
+                held.append((g, column[i].as_py()))
+        if held:
+            yield now, held
+
+    def answered(asked: DataFrame, answer) -> DataFrame:
+        """Each bucket's questions answered in one place, a bucket a partition or so."""
+        return checkpointed(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWER_DDL))
 
     def answer_words(batches):
         for b, asked in by_bucket(batches):
@@ -226,7 +236,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             spark.sparkContext._jvm.System.gc()
             time.sleep(0.5)  # the cleaner runs by itself
 
-    words = checkpointed(texts.applyInArrow(ask_words, ASK_DDL).repartition("bucket").mapInArrow(answer_words, ANSWER_DDL))
+    words = answered(texts.applyInArrow(ask_words, ASK_DDL), answer_words)
     release()
     tokens, kinds, *few = stats_of(words)
     u = Unigrams.of(tokens, kinds, few)
@@ -248,22 +258,28 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     def answer_pairs(batches):
         for b, asked in by_bucket(batches):
             parts = [_asked(data) for _, data in asked]
-            ctx = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
-            hot = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-            nxt, times, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+            column = lambda i: np.concatenate([p[i] for p in parts])
+            ctx, nxt = np.concatenate([np.repeat(p[0], p[2]) for p in parts]), column(3).astype(U)
+            nxt |= column(4).astype(U) << U(32)
             order = np.lexsort((nxt, ctx))
+            ctx, nxt = ctx[order], nxt[order]
             new = np.ones(len(order), bool)
-            new[1:] = (ctx[order][1:] != ctx[order][:-1]) | (nxt[order][1:] != nxt[order][:-1])
+            new[1:] = (ctx[1:] != ctx[:-1]) | (nxt[1:] != nxt[:-1])
             at = np.flatnonzero(new)
-            total = np.add.reduceat(times[order], at)
-            of = np.empty(len(order), np.int64)
+            del nxt
+            total = np.add.reduceat(column(5)[order].astype(np.int64), at)
+            of = np.empty(len(order), np.int32)
             of[order] = np.cumsum(new) - 1
             first = order[at]
-            c, runs = ctx[first], group_edges(ctx[first])
+            count = column(6)[first].astype(np.int64) | column(7)[first].astype(np.int64) << 16
+            hot = np.concatenate([np.repeat(p[1], p[2]) for p in parts])[first]
+            c = ctx[at]
+            del ctx, order, new
+            runs = group_edges(c)
             seen = total > 0
-            column = [np.add.reduceat((total == r).astype(float), runs[:-1]) for r in range(1, K_MAX + 1)]
-            column.append(np.add.reduceat(np.where(seen, u.p(count[first]), 0.0), runs[:-1]))
-            figures, of_run = np.stack(column, 1), c[runs[:-1]]
+            figures = [np.add.reduceat((total == r).astype(float), runs[:-1]) for r in range(1, K_MAX + 1)]
+            figures.append(np.add.reduceat(np.where(seen, u.p(count), 0.0), runs[:-1]))
+            figures, of_run = np.stack(figures, 1), c[runs[:-1]]
             cut, out = np.cumsum([0, *(int(p[2].sum()) for p in parts)]), []
             for i, (g, _) in enumerate(asked):
                 mine = figures[np.searchsorted(of_run, parts[i][0])]
@@ -271,12 +287,12 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 out.append((0, g, b, b"".join(x.tobytes() for x in (n.astype(np.uint32), mine[:, :-1].astype(np.uint32).T.copy(), mine[:, -1].copy())), None, None))
             few = np.bincount(np.minimum(total, K_MAX + 2), minlength=K_MAX + 3).astype(float)
             out.append((1, None, b, None, [float(total.sum()), float(seen.sum()), *few[: K_MAX + 2]], None))
-            is_hot = hot[first][runs[:-1]]
+            is_hot = hot[runs[:-1]]
             out += [(2, None, b, None, list(map(float, figures[k])), int(of_run[k : k + 1].view(np.int64)[0])) for k in np.flatnonzero(is_hot)]
             yield blob_batch(out, ANSWER)
 
     known = words.where("kind = 0").select("g", F.lit(0).alias("source"), "bucket", "data")
-    counted = checkpointed(texts.cogroup(known.groupBy("g")).applyInArrow(ask_pairs, ASK_DDL).repartition("bucket").mapInArrow(answer_pairs, ANSWER_DDL))
+    counted = answered(texts.cogroup(known.groupBy("g")).applyInArrow(ask_pairs, ASK_DDL), answer_pairs)
     release()
     d2 = discounts(stats_of(counted)[2:])
     sums = [F.sum(F.get("stats", F.lit(i))) for i in range(K_MAX + 1)]
