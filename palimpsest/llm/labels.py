@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import hash_words, ragged, text_slices, words_of
+from .kernels import SLICE_BYTES, hash_words, ragged, text_slices, words_of
 
 #: The sample that a classifier is fitted on: texts of each label, and bytes of text in all.
-SAMPLE_TEXTS, SAMPLE_BYTES = 2500, 24_000_000
+SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 10_000_000
 #: Rows of labels with crc32(doc_id as text) mod FOLDS equal to HELD_OUT aren't learnt from.
 FOLDS, HELD_OUT = 3, 1
 
@@ -80,6 +80,7 @@ class Words:
 
 
 def words_in(texts: list[str] | pa.Array):
-    """(first row, Words) of slices of texts."""
-    for a, _, buf, off in text_slices(texts if not isinstance(texts, list) else pa.array(texts, pa.string())):
+    """(first row, Words) of slices of texts, smaller ones of a list, which the driver holds."""
+    mine = isinstance(texts, list)
+    for a, _, buf, off in text_slices(pa.array(texts, pa.string()), SLICE_BYTES // 4) if mine else text_slices(texts):
         yield a, Words(buf, off)

@@ -70,7 +70,7 @@ class QualityModel:
                 weight = np.concatenate([times, np.repeat(times, n), np.ones(cuts[i + 1] - cuts[i])])
                 ids, back = np.unique(ids, return_inverse=True)
                 weight = np.bincount(back, weight).astype(np.float32)
-                bags.append((ids, weight / weight.sum()))
+                bags.append((ids.astype(np.int32), weight / weight.sum()))
                 y.append(int(labels[first + i]))
         if not bags:
             return self

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .kernels import U, mix
+from .kernels import U, mix, ragged
 from .labels import Words, held_out, training_sample, words_in
 
 WIDTH, STRIDE = 48, 32
@@ -37,7 +37,7 @@ GRAMS, LONGEST = (3, 4, 5), 24
 #: a text that isn't toxic that later passes take; passes of either kind; highest weight of a toxic window.
 #: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES.
 WORD_DROP, STEPS, MOST_PASSES = 0.5, (80, 160), 60
-BATCH, TEXT_WINDOWS, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 256, 40, 6, 2, (2, 6), 4, 0.015, 11
+BATCH, TEXT_WINDOWS, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 256, 24, 6, 2, (2, 6), 4, 0.015, 11
 TOXIC = 0.7
 
 
@@ -72,14 +72,29 @@ def read_once(w: Words) -> tuple[np.ndarray, np.ndarray]:
 class Inputs:
     """Hashed features of the distinct words of some texts."""
 
-    def __init__(self, w: Words):
-        self.word = (mix(w.distinct) >> U(64 - WORD_BITS)).astype(np.int64)
-        owner, keys = w.grams(GRAMS, LONGEST)
-        order = np.argsort(owner, kind="stable")
-        self.gram = (mix(keys[order]) >> U(64 - GRAM_BITS)).astype(np.int64)
-        self.owner = owner[order]
-        self.count = np.bincount(owner, minlength=len(self.word)).astype(np.float32)
-        self.off = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
+    def __init__(self, w: Words | None):
+        if w is not None:
+            self.word = (mix(w.distinct) >> U(64 - WORD_BITS)).astype(np.int32)
+            owner, keys = w.grams(GRAMS, LONGEST)
+            self.gram = (mix(keys[np.argsort(owner, kind="stable")]) >> U(64 - GRAM_BITS)).astype(np.int32)
+            self._count(np.bincount(owner, minlength=len(self.word)))
+
+    def _count(self, n: np.ndarray) -> None:
+        self.count, self.off = n.astype(np.float32), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+    def only(self, words: np.ndarray) -> Inputs:
+        """The features of some of the words."""
+        out, n = Inputs(None), self.off[words + 1] - self.off[words]
+        out.word, out.gram = self.word[words], self.gram[ragged(self.off[words], n)]
+        out._count(n)
+        return out
+
+    @staticmethod
+    def joined(parts: list[Inputs]) -> Inputs:
+        out = Inputs(None)
+        out.word, out.gram = (np.concatenate([getattr(p, k) for p in parts]) for k in ("word", "gram"))
+        out._count(np.concatenate([np.diff(p.off) for p in parts]))
+        return out
 
 
 class ToxicModel:
@@ -137,12 +152,7 @@ class ToxicModel:
         p, h = self.p, HIDDEN
         words, back = np.unique(at, return_inverse=True)
         back = back.reshape(at.shape)
-        lengths = x.off[words + 1] - x.off[words]
-        part = Inputs.__new__(Inputs)
-        part.word, part.count = x.word[words], x.count[words]
-        part.off = np.concatenate([[0], np.cumsum(lengths)])
-        part.gram = x.gram[np.repeat(x.off[words] - part.off[:-1], lengths) + np.arange(part.off[-1])]
-        part.owner = np.repeat(np.arange(len(words)), lengths)
+        part = x.only(words)
         v = self.vectors(part)
         # Words' own vectors are left out at random, so that their characters learn to tell too.
         own = (adam["rng"].random((len(words), 1)) >= WORD_DROP).astype(v.dtype) / (1 - WORD_DROP) if WORD_DROP and "rng" in adam else np.ones((len(words), 1), v.dtype)
@@ -190,7 +200,7 @@ class ToxicModel:
 
         for name, grad in g.items():
             update(name, slice(None), grad)
-        for name, ids, grad in (("word", part.word, dv[:, :WORD_DIM] * own), ("gram", part.gram, (dv[:, WORD_DIM:] / np.maximum(part.count, 1)[:, None])[part.owner])):
+        for name, ids, grad in (("word", part.word, dv[:, :WORD_DIM] * own), ("gram", part.gram, (dv[:, WORD_DIM:] / np.maximum(part.count, 1)[:, None])[np.repeat(np.arange(len(words)), np.diff(part.off))])):
             rows, where = np.unique(ids, return_inverse=True)
             update(name, rows, _sum_rows(grad, where, len(rows)))
 
@@ -200,8 +210,7 @@ class ToxicModel:
             return None
         rng = np.random.default_rng(seed)
         at, mask, text, parts, base = [], [], [], [], 0
-        w = list(words_in(texts))
-        for first, x in w:
+        for first, x in words_in(texts):
             words, begins = read_once(x)
             start, n, of = windows_of(begins)
             order = rng.permutation(len(of))  # as many windows of long texts as training looks at, any of them
@@ -210,14 +219,13 @@ class ToxicModel:
             order = order[rank < TEXT_WINDOWS]
             place = np.arange(WIDTH)[:, None]
             ok = place < n[order]
-            at.append(np.where(ok, words[np.where(ok, start[order] + place, 0)] + base, 0))
+            used, where = np.unique(words[np.where(ok, start[order] + place, 0)], return_inverse=True)
+            at.append((where.reshape(ok.shape) + base).astype(np.int32))
             mask.append(ok)
             text.append(of[order] + first)
-            parts.append(Inputs(x))
-            base += len(x.distinct)
-        whole = Inputs.__new__(Inputs)
-        whole.word, whole.gram, whole.count = (np.concatenate([getattr(q, k) for q in parts]) for k in ("word", "gram", "count"))
-        whole.off = np.concatenate([[0], np.cumsum(whole.count)]).astype(np.int64)
+            parts.append(Inputs(x).only(used))
+            base += len(used)
+        whole = Inputs.joined(parts)
         at, mask, text = np.concatenate(at, 1), np.concatenate(mask, 1), np.concatenate(text)
         y, adam = labels[text].astype(np.float32), {"t": 0, "rng": rng}
         # A small sample is gone through more often.
