@@ -112,9 +112,12 @@ class ToxicModel:
     def vectors(self, x: Inputs) -> np.ndarray:
         """One input for each distinct word."""
         n = len(x.word)
-        gram = np.zeros((n, GRAM_DIM), np.float32)
-        some = x.count > 0
-        gram[some] = np.add.reduceat(self.p["gram"][x.gram], x.off[:-1][some], axis=0) / x.count[some, None]
+        gram = np.zeros((n, GRAM_DIM), self.p["gram"].dtype)
+        for a in range(0, n, 16384):  # a word has some twenty n-grams
+            off = x.off[a : a + 16385]
+            some = a + np.flatnonzero(np.diff(off))
+            if len(some):
+                gram[some] = np.add.reduceat(self.p["gram"][x.gram[off[0] : off[-1]]], x.off[some] - off[0], axis=0) / x.count[some, None]
         return np.concatenate([self.p["word"][x.word], gram], axis=1)
 
     def read(self, table: dict[str, np.ndarray], at: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -255,8 +258,12 @@ class ToxicModel:
         return self
 
     def _scores(self, x: Inputs, at: np.ndarray, mask: np.ndarray, block: int = 2048) -> np.ndarray:
-        gates = self.gates(self.vectors(x))
-        return np.concatenate([self.read(gates, at[:, i : i + block], mask[:, i : i + block]) for i in range(0, at.shape[1], block)])
+        out = []
+        for i in range(0, at.shape[1], block):
+            used, where = np.unique(at[:, i : i + block], return_inverse=True)
+            m = mask[:, i : i + block]
+            out.append(self.read(self.gates(self.vectors(x.only(used))), where.reshape(m.shape), m))
+        return np.concatenate(out)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """The highest probability of each text's windows."""
