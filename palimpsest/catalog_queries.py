@@ -315,7 +315,7 @@ def job_report_page(s, d):
     return reports.job_report_page(V.job_reports(s, d), "job2", 5, 0)
 
 
-@query("WITH i AS (SELECT event_id % 8 AS k FROM events) SELECT count(*) FILTER (k = 0) AS locked, count(*) FILTER (k = 1) AS permission_denied, count(*) FILTER (k = 2) AS unreadable, count(*) FILTER (k = 3) AS symlink_loop, count(*) FILTER (k = 4) AS depth_exceeded, count(*) FILTER (k = 5) AS reparse, count(*) FILTER (k = 6) AS vanished, count(*) FILTER (k BETWEEN 2 AND 6) AS skipped FROM i")
+@query("WITH i AS (SELECT event_id % 9 AS k FROM events) SELECT count(*) FILTER (k = 0) AS locked, count(*) FILTER (k = 1) AS permission_denied, count(*) FILTER (k = 2) AS reparse_junction, count(*) FILTER (k = 3) AS hook_failed, count(*) FILTER (k = 4) AS plugin_skipped, count(*) FILTER (k = 5) AS plugin_failed, count(*) FILTER (k BETWEEN 2 AND 7) AS skipped FROM i")
 def issue_counts(s, d):
     return reports.issue_counts(V.issues(s, d))
 
@@ -324,7 +324,21 @@ def issue_counts(s, d):
 def window_predicate(s, d):
     m = F.hour("ts") * 60 + F.minute("ts")
     w = lambda a, b: times.in_window(m, F.lit(a), F.lit(b))
-    return V.table(s, d, "events").select("event_id", w("09:00", "17:30").alias("by_day"), w("22:00", "6:30").alias("by_night"), w("12:00", None).alias("after_noon"), w("25:00", "x").alias("always"))
+    return V.table(s, d, "events").select("event_id", w("09:00", "17:30").alias("by_day"), w("22:00", "06:30").alias("by_night"), w("12:00", None).alias("after_noon"), w("25:00", "x").alias("always"))
+
+
+@query("WITH t AS (SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS BIGINT) AS s FROM events) SELECT event_id, CASE WHEN s < 61200 THEN 61200 - s ELSE 0 END AS by_day, CASE WHEN s < 23400 THEN 23400 - s WHEN s >= 79200 THEN 23400 + 86400 - s ELSE 0 END AS by_night FROM t")
+def window_seconds_left(s, d):
+    now = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    left = lambda a, b: times.seconds_until(now, F.lit(a), F.lit(b)).cast("long")
+    return V.table(s, d, "events").select("event_id", left("09:00", "17:00").alias("by_day"), left("22:00", "06:30").alias("by_night"))
+
+
+@query("WITH p AS (SELECT unnest(['idle', 'scanning', 'storing', 'committing_meta', 'auditing', 'aborted']) AS phase), e AS (SELECT unnest(['scan_file', 'chunk_file', 'commit_manifest', 'append_audit', 'complete']) AS event) SELECT phase, event, CASE WHEN event = 'scan_file' AND phase IN ('idle', 'aborted') THEN 'scanning' WHEN event = 'chunk_file' AND phase = 'scanning' THEN 'chunking' WHEN event = 'commit_manifest' AND phase = 'storing' THEN 'committing_meta' WHEN event = 'append_audit' AND phase = 'committing_meta' THEN 'auditing' WHEN event = 'complete' AND phase IN ('committing_meta', 'auditing') THEN 'idle' ELSE 'aborted' END AS next FROM p, e")
+def next_phase(s, d):
+    phases, events = ("idle", "scanning", "storing", "committing_meta", "auditing", "aborted"), ("scan_file", "chunk_file", "commit_manifest", "append_audit", "complete")
+    rows = s.createDataFrame([(p, e) for p in phases for e in events], "phase string, event string")
+    return rows.select("phase", "event", times.next_phase(F.col("phase"), F.col("event")).alias("next"))
 
 
 @query("WITH a AS (SELECT DISTINCT CAST(l_linenumber + l_quantity % 5 AS BIGINT) AS attempt FROM lineitem) SELECT attempt, CAST(least(300, pow(2, attempt - 1)) AS BIGINT) AS seconds FROM a WHERE attempt > 0")

@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 SAMPLE = 4096
-#: Extensions of content that is compressed already; entropy, in thousandths of 8 bits, from which content is slow.
-PACKED = ("jpg", "jpeg", "png", "gif", "webp", "mp3", "mp4", "mkv", "avi", "mov", "zip", "gz", "bz2", "xz", "zst", "7z", "rar")
-SLOW_PERMILLE, DISTINCT_SHARE = 700, 0.95
+#: Extensions of content that doesn't compress; entropy, in thousandths of 8 bits, above which content is
+#: slow, and, with DISTINCT_SHARE of distinct bytes, incompressible.
+PACKED = ("jpg", "jpeg", "png", "gif", "webp", "mp4", "mkv", "avi", "zip", "gz", "bz2", "xz", "7z", "rar", "mp3", "aac", "flac", "wasm", "pdf", "exe", "dll")
+SLOW_PERMILLE, PACKED_PERMILLE, DISTINCT_SHARE = 700, 950, 0.95
+#: Fixed values of the tiers: levels for fast and slow content, size from which long matches pay, ratio up to which LZ4 stays.
+TIERS = {"fast": (1, 1, None, 0.92), "balanced": (3, 6, 131072, 0.90), "max": (6, 15, 65536, 1.0)}
 
 
 @pandas_udf(T.DoubleType())
@@ -57,17 +60,25 @@ def text_entropy(text: Column) -> Column:
 
 def content_class(extension: Column, content: Column) -> Column:
     """incompressible by extension, emptiness or a sample of nearly all distinct bytes; else slow or fast by entropy."""
-    packed = F.coalesce(extension.isin(*PACKED), F.lit(False)) | (F.coalesce(F.octet_length(content), F.lit(0)) == 0)
-    return F.when(packed | (byte_diversity(content) > DISTINCT_SHARE), "incompressible").when(entropy(content) * 125 > SLOW_PERMILLE, "slow").otherwise("fast")
+    permille = entropy(content) * 125
+    empty = F.coalesce(F.octet_length(content), F.lit(0)) == 0
+    packed = F.coalesce(extension.isin(*PACKED), F.lit(False)) | empty | ((byte_diversity(content) > DISTINCT_SHARE) & (permille > PACKED_PERMILLE))
+    return F.when(packed, "incompressible").when(permille > SLOW_PERMILLE, "slow").otherwise("fast")
 
 
-def tier_level(tier: Column) -> Column:
-    return F.when(tier == "fast", 1).when(tier == "balanced", 3).when(tier == "max", 9)
+def tier_level(tier: Column, kind: Column, override: int = 0) -> Column:
+    """The level for content of a class; an override holds for all, within 1 to 22."""
+    if override > 0:
+        return F.lit(max(1, min(override, 22)))
+    out = F.when(F.lit(False), F.lit(0))
+    for name, (fast, slow, *_) in TIERS.items():
+        out = out.when(tier == name, F.when(kind == "slow", slow).otherwise(fast))
+    return out.otherwise(TIERS["fast"][0])
 
 
 def cpu_cost(length: Column, level: Column) -> Column:
     """Thousandths that encoding costs."""
-    return (F.floor(length * 50 / (1 << 20)) + 1) * level
+    return (F.floor(length * 50 / (1 << 20)) + 1) * F.greatest(level, F.lit(1))
 
 
 @pandas_udf(T.StructType([T.StructField("codec", T.StringType()), T.StructField("data", T.BinaryType())]))

@@ -6,25 +6,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The phase that follows each event.
-PHASES = {("idle", "start"): "scanning", ("scanning", "done"): "chunking", ("chunking", "done"): "storing", ("storing", "done"): "committing", ("committing", "audit"): "auditing", ("committing", "done"): "idle", ("auditing", "done"): "idle"}
+PHASES = {
+    ("idle", "scan_file"): "scanning",
+    ("aborted", "scan_file"): "scanning",
+    ("scanning", "chunk_file"): "chunking",
+    ("chunking", "store_chunk"): "storing",
+    ("storing", "commit_manifest"): "committing_meta",
+    ("committing_meta", "complete"): "idle",
+    ("committing_meta", "append_audit"): "auditing",
+    ("auditing", "complete"): "idle",
+}
 
 
 def minute_of(text: Column) -> Column:
     """Minutes of `HH:MM`; null where it isn't one."""
-    ok = text.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")
+    ok = text.rlike(r"^([01]\d|2[0-3]):[0-5]\d$")
     return F.when(ok, F.split(text, ":")[0].cast("int") * 60 + F.split(text, ":")[1].cast("int"))
 
 
+def _given(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) != ""
+
+
 def in_window(now_minute: Column, start: Column, end: Column) -> Column:
-    """Whether start <= now < end, past midnight if end is before start; a missing end is open, and neither means always."""
+    """Whether start <= now < end, past midnight if end is before start. A missing end is open; a text that is no time means always."""
     s, e = minute_of(start), minute_of(end)
-    return F.when(s.isNull() & e.isNull(), True).when(e.isNull(), now_minute >= s).when(s.isNull(), now_minute < e).when(s <= e, (now_minute >= s) & (now_minute < e)).otherwise((now_minute >= s) | (now_minute < e))
+    bad = (_given(start) & s.isNull()) | (_given(end) & e.isNull())
+    inside = F.when(s <= e, (now_minute >= s) & (now_minute < e)).otherwise((now_minute >= s) | (now_minute < e))
+    return F.when(bad | (s.isNull() & e.isNull()), True).when(e.isNull(), now_minute >= s).when(s.isNull(), now_minute < e).otherwise(inside)
+
+
+def seconds_until(now_second: Column, start: Column, end: Column) -> Column:
+    """Seconds until the window ends, 0 outside of it; null without an end or where a text is no time."""
+    s, e, now = minute_of(start), minute_of(end), F.floor(now_second / 60)
+    left = F.greatest(e * 60 - now_second, F.lit(0))
+    over = F.when(now < e, left).when(now >= s, e * 60 + 86400 - now_second).otherwise(0)
+    known = e.isNotNull() & (s.isNotNull() | ~_given(start))
+    return F.when(known, F.when(s > e, over).when(now < e, left).otherwise(0))
 
 
-def seconds_until(now_second: Column, end: Column) -> Column:
-    """Seconds of the day until the window's end, past midnight if it has gone by; null without an end."""
-    e = minute_of(end) * 60
-    return F.when(e > now_second, e - now_second).otherwise(e + 86400 - now_second)
+def should_downgrade(now_second: Column, start: Column, end: Column, grace: int = 300) -> Column:
+    return F.coalesce(seconds_until(now_second, start, end) <= (grace if grace > 0 else 300), F.lit(False))
 
 
 def backoff(attempt: Column, most: int = 300) -> Column:

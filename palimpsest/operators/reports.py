@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a reason starts with, the count that it goes to, and whether the file was left out.
+#: Reasons, by their whole text or what they start with (those that end with a colon), and the count that
+#: each goes to.
 REASONS = (
-    ("locked", "locked", False),
-    ("permission_denied", "permission_denied", False),
-    ("unreadable", "unreadable", True),
-    ("symlink_loop", "symlink_loop", True),
-    ("depth_exceeded", "depth_exceeded", True),
-    ("reparse_", "reparse", True),
-    ("vanished", "vanished", True),
+    ("locked", "locked"),
+    ("permission_denied", "permission_denied"),
+    ("reparse_junction", "reparse_junction"),
+    ("hook_failed:", "hook_failed"),
+    ("plugin_skipped:platform:", "plugin_skipped"),
+    ("plugin_unknown:", "plugin_skipped"),
+    ("plugin_quiesce_failed:", "plugin_failed"),
+    ("unreadable", "other"),
+    ("depth_exceeded", "other"),
+    ("symlink_loop", "other"),
+    ("window_truncated", "other"),
+    ("vss_unavailable:", "other"),
 )
+COUNTS = ("locked", "permission_denied", "reparse_junction", "hook_failed", "plugin_skipped", "plugin_failed")
+#: Files with these reasons were read later or by other means; all other known ones were left out.
+NOT_SKIPPED = ("locked", "permission_denied")
 
 
 def bucket(reason: Column) -> Column:
+    """The count that a reason goes to; null for an unknown one."""
     out = F.when(F.lit(False), F.lit(""))
-    for start, name, _ in REASONS:
-        out = out.when(reason.startswith(start), name)
+    for text, name in REASONS:
+        out = out.when(reason.startswith(text) if text.endswith(":") else reason == text, name)
     return out
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:
     kind = bucket(F.col("reason"))
-    skipped = [name for _, name, left in REASONS if left]
-    return issues.agg(*[F.count_if(kind == name).alias(name) for _, name, _ in REASONS], F.count_if(kind.isin(skipped)).alias("skipped"))
+    return issues.agg(*[F.count_if(kind == name).alias(name) for name in COUNTS], F.count_if(kind.isNotNull() & ~kind.isin(*NOT_SKIPPED)).alias("skipped"))
 
 
 def job_report_page(reports: DataFrame, job: str, offset: int = 0, limit: int = 0) -> DataFrame:

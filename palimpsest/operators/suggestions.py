@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .filters import basename, glob_regex
 
-#: Names that are rebuilt or cached, as directories and as files.
-DIRECTORIES = ("node_modules", "__pycache__", ".git", ".svn", ".hg", "build", "dist", "target", "out", "bin", "obj", ".cache", ".gradle", ".m2", ".npm", ".yarn", "venv", ".venv", "env", ".tox", ".pytest_cache", ".mypy_cache", "tmp", "temp", "cache")
+#: Names of directories and files that are rebuilt, cached or of no use elsewhere.
+DIRECTORIES = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".venv", "venv", "target", "build", "dist", "out", ".next", ".turbo", ".nuxt", ".output", ".gradle", ".cargo", "bin", "obj", ".cache", "coverage")
+IDE_DIRECTORIES = (".idea", ".vscode")
 FILES = ("thumbs.db", ".ds_store", "desktop.ini")
 MOST = 32
 

@@ -67,9 +67,8 @@ def job_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id") % 8
-    names = ["locked", "permission_denied", "unreadable", "symlink_loop:a", "depth_exceeded", "reparse_junction", "vanished", "other"]
-    return table(spark, d, "events").select(F.element_at(F.array(*[F.lit(n) for n in names]), (k + 1).cast("int")).alias("reason"))
+    names = ["locked", "permission_denied", "reparse_junction", "hook_failed:pre", "plugin_unknown:x", "plugin_quiesce_failed:y", "unreadable", "vss_unavailable:z", "other"]
+    return table(spark, d, "events").select(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 9 + 1).cast("int")).alias("reason"))
 
 
 def audit_chain(spark: SparkSession, d: str) -> DataFrame:
