@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,8 @@ FOLDS, HELD_OUT = 5, 1
 START, END = U(0x5354415254), U(0x454E44)
 #: Bits of a word's hash that tell the words after one context apart.
 NEXT_BITS = 40
+#: Bytes of text that are worked on at a time.
+SLICE = 2_500_000
 ASK = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("data", pa.binary())])
 ANSWER = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
 ASK_DDL, ANSWER_DDL = "bucket int, g int, data binary", "kind int, g int, bucket int, data binary, stats array<double>, context long"
@@ -116,8 +119,31 @@ def _group(t: pa.Table):
     return tokens, first, train, distinct, of
 
 
+def _slices(t: pa.Table) -> list[pa.Table]:
+    """A group in parts of about SLICE bytes of text, by row names, the same in every read; a group is never worked on whole."""
+    t = _ordered(t)
+    size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(t.column("text")), 0)).astype(np.int64) + 1)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(size // SLICE)) + 1, [t.num_rows]])
+    return [t.slice(a, b - a) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+
+
+def _framed(parts: list[bytes]) -> bytes:
+    return b"".join([np.array([len(parts), *map(len, parts)], np.uint32).tobytes(), *parts])
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    cut = 4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint32, n, 4).astype(np.int64))])
+    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _by_bucket(slices: list[dict[int, bytes]], g: int) -> list[tuple[int, int, bytes]]:
+    """(bucket, g, what each slice has for it)."""
+    return [(b, g, _framed([s.get(b, b"") for s in slices])) for b in sorted(set().union(*slices))] if slices else []
+
+
 class Pairs:
-    """A group's distinct pairs of a known context and a word, by bucket, context and word; unknown words are one."""
+    """A slice's distinct pairs of a known context and a word, by bucket, context and word; unknown words are one."""
 
     def __init__(self, t: pa.Table, answers: dict[int, bytes], buckets: int, u: Unigrams):
         self.tokens, self.first, self.train, distinct, self.of = _group(t)
@@ -184,13 +210,15 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     arrow_id = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def ask_words(key, t):
-        _, _, train, distinct, of = _group(_ordered(of_group(t)))
-        times = np.bincount(of, train, len(distinct)).astype(np.uint32)
-        bucket = (distinct % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        g = key[0].as_py()
-        return pa.Table.from_batches([blob_batch([(int(b), g, distinct[x := order[cut[b] : cut[b + 1]]].tobytes() + times[x].tobytes()) for b in np.flatnonzero(np.diff(cut))], ASK)], ASK)
+        out = []
+        for part in _slices(of_group(t)):
+            _, _, train, distinct, of = _group(part)
+            times = np.bincount(of, train, len(distinct)).astype(np.uint32)
+            bucket = (distinct % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            out.append({int(b): distinct[x := order[cut[b] : cut[b + 1]]].tobytes() + times[x].tobytes() for b in np.flatnonzero(np.diff(cut))})
+        return pa.Table.from_batches([blob_batch(_by_bucket(out, key[0].as_py()), ASK)], ASK)
 
     def by_bucket(batches):
         """(bucket, [(g, data)]) of rows that come sorted by bucket; holds one bucket."""
@@ -212,13 +240,16 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     def answer_words(batches):
         for b, asked in by_bucket(batches):
-            size = [len(data) // 12 for _, data in asked]
-            h = np.concatenate([np.frombuffer(data, U, n) for (_, data), n in zip(asked, size, strict=True)])
-            times = np.concatenate([np.frombuffer(data, np.uint32, n, 8 * n) for (_, data), n in zip(asked, size, strict=True)]).astype(np.int64)
+            asked = [(g, _unframed(data)) for g, data in asked]
+            parts = [data for _, slices in asked for data in slices]
+            size = [len(data) // 12 for data in parts]
+            h = np.concatenate([np.frombuffer(data, U, n) for data, n in zip(parts, size, strict=True)])
+            times = np.concatenate([np.frombuffer(data, np.uint32, n, 8 * n) for data, n in zip(parts, size, strict=True)]).astype(np.int64)
             _, of = np.unique(h, return_inverse=True)
             total = np.bincount(of, times).astype(np.int64)
             cut = np.concatenate([[0], np.cumsum(size)])
-            out = [(0, g, b, total[of[cut[i] : cut[i + 1]]].tobytes(), None, None) for i, (g, _) in enumerate(asked)]
+            replies = iter([total[of[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
+            out = [(0, g, b, _framed([next(replies) for _ in slices]), None, None) for g, slices in asked]
             few = np.bincount(np.minimum(total, K_MAX + 2), minlength=K_MAX + 3).astype(float)
             out.append((1, None, b, None, [float(total.sum()), float((total > 0).sum()), *few[: K_MAX + 2]], None))
             yield blob_batch(out, ANSWER)
@@ -241,23 +272,26 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     tokens, kinds, *few = stats_of(words)
     u = Unigrams.of(tokens, kinds, few)
 
-    def answers_of(t: pa.Table, source: int) -> dict[int, bytes]:
-        out = {}
-        for s, b, data in zip(*(t.column(c).to_pylist() for c in ("source", "bucket", "data")), strict=True):
-            if s == source:
-                out[b] = data
-        return out
+    def answers_of(t: pa.Table, source: int) -> dict[int, list[bytes]]:
+        """The answers to a group's slices, by bucket."""
+        mine = t.filter(pa.compute.equal(t.column("source"), source))
+        return {b: _unframed(data) for b, data in zip(mine.column("bucket").to_pylist(), mine.column("data").to_pylist(), strict=True)}
+
+    def of_slice(answers: dict[int, list[bytes]], i: int) -> dict[int, bytes]:
+        return {b: x[i] for b, x in answers.items() if x[i]}
 
     def ask_pairs(key, t, known):
         g = key[0].as_py()
         if not t.num_rows:
             return pa.Table.from_batches([], ASK)
-        pairs = Pairs(_ordered(of_group(t)), answers_of(known, 0), buckets, u)
-        return pa.Table.from_batches([blob_batch([(b, g, data) for b, data in pairs.ask()], ASK)], ASK)
+        known = answers_of(known, 0)
+        out = [dict(Pairs(part, of_slice(known, i), buckets, u).ask()) for i, part in enumerate(_slices(of_group(t)))]
+        return pa.Table.from_batches([blob_batch(_by_bucket(out, g), ASK)], ASK)
 
     def answer_pairs(batches):
         for b, asked in by_bucket(batches):
-            parts = [_asked(data) for _, data in asked]
+            asked = [(g, _unframed(data)) for g, data in asked]
+            parts = [_asked(data) for _, slices in asked for data in slices if data]
             column = lambda i: np.concatenate([p[i] for p in parts])
             ctx, nxt = np.concatenate([np.repeat(p[0], p[2]) for p in parts]), column(3).astype(U)
             nxt |= column(4).astype(U) << U(32)
@@ -280,11 +314,18 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             figures = [np.add.reduceat((total == r).astype(float), runs[:-1]) for r in range(1, K_MAX + 1)]
             figures.append(np.add.reduceat(np.where(seen, u.p(count), 0.0), runs[:-1]))
             figures, of_run = np.stack(figures, 1), c[runs[:-1]]
-            cut, out = np.cumsum([0, *(int(p[2].sum()) for p in parts)]), []
-            for i, (g, _) in enumerate(asked):
-                mine = figures[np.searchsorted(of_run, parts[i][0])]
-                n = total[of[cut[i] : cut[i + 1]]]
-                out.append((0, g, b, b"".join(x.tobytes() for x in (n.astype(np.uint32), mine[:, :-1].astype(np.uint32).T.copy(), mine[:, -1].copy())), None, None))
+            cut, out, i = np.cumsum([0, *(int(p[2].sum()) for p in parts)]), [], 0
+            for g, slices in asked:
+                replies = []
+                for data in slices:
+                    if not data:
+                        replies.append(b"")
+                        continue
+                    mine = figures[np.searchsorted(of_run, parts[i][0])]
+                    n = total[of[cut[i] : cut[i + 1]]]
+                    replies.append(b"".join(x.tobytes() for x in (n.astype(np.uint32), mine[:, :-1].astype(np.uint32).T.copy(), mine[:, -1].copy())))
+                    i += 1
+                out.append((0, g, b, _framed(replies), None, None))
             few = np.bincount(np.minimum(total, K_MAX + 2), minlength=K_MAX + 3).astype(float)
             out.append((1, None, b, None, [float(total.sum()), float(seen.sum()), *few[: K_MAX + 2]], None))
             is_hot = hot[runs[:-1]]
@@ -302,14 +343,17 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
 
     def score(key, t, answers):
-        u, d2, hot = shared.value
         if not t.num_rows:
             return pa.table({n: pa.array([], f) for n, f in zip(["doc_id", *[n for n, _ in fields]], [arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
-        t = _ordered(of_group(t))
-        p = Pairs(t, answers_of(answers, 0), buckets, u)
+        first, second = answers_of(answers, 0), answers_of(answers, 1)
+        return pa.concat_tables([score_slice(part, of_slice(first, i), of_slice(second, i)) for i, part in enumerate(_slices(of_group(t)))])
+
+    def score_slice(t, words_known, pairs_known):
+        u, d2, hot = shared.value
+        p = Pairs(t, words_known, buckets, u)
         n, figures = np.zeros(len(p.bucket), np.int64), np.zeros((len(p.heads) - 1, K_MAX + 1))
         runs = np.searchsorted(p.heads, p.cut)
-        for b, data in answers_of(answers, 1).items():
+        for b, data in pairs_known.items():
             m, k = p.cut[b + 1] - p.cut[b], runs[b + 1] - runs[b]
             n[p.cut[b] : p.cut[b + 1]] = np.frombuffer(data, np.uint32, m)
             figures[runs[b] : runs[b + 1], :-1] = np.frombuffer(data, np.uint32, K_MAX * k, 4 * m).reshape(K_MAX, k).T
