@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import views as V
 from .functions import codec, times
 from .operators import audit, catalog, chunking, filters, reports, restore, retention, store, suggestions
+from .written import checkpointed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -373,7 +374,7 @@ def file_content_hash(s, d):
 @query("WITH " + _levels(CHUNKS + ", leaves AS (SELECT 1 AS one, row_number() OVER (ORDER BY path, idx) - 1 AS i, hash AS h, count(*) OVER () AS n FROM chunks WHERE txn_id = 1)", "one") + " SELECT (SELECT count(*) FROM leaves) AS n_leaves, h AS merkle_root FROM t WHERE n = 1")
 def merkle_root(s, d):
     leaves = V.chunks(s, d, (1,)).select("path", "idx", "hash")
-    return audit.merkle_root(audit.numbered(leaves, ["path", "idx"], lambda df: df.persist()))
+    return audit.merkle_root(audit.numbered(leaves, ["path", "idx"], checkpointed))
 
 
 @query(f"WITH {THREE} SELECT * FROM plan")

@@ -113,7 +113,7 @@ class Repo:
 
     def chunks(self, *txns: int) -> DataFrame:
         known = self.table("snapshots").select("txn_id")
-        rows = self.table("chunks").join(F.broadcast(known), "txn_id", "left_semi")  # a row a snapshot
+        rows = self.table("chunks").join(known, "txn_id", "left_semi")
         return rows.where(F.col("txn_id").isin(*txns)) if txns else rows
 
     def content(self, txn: int | None = None) -> DataFrame:
