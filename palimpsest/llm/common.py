@@ -2,57 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..written import checkpointed
+
 #: Stands for a missing doc_id where ids are ordered: after all others.
 NO_ID = (1 << 63) - 1
-_local: dict[str, str] = {}
+__all__ = ["NO_ID", "blob_batch", "buckets_of", "checkpointed", "components", "group_edges", "in_groups", "of_group", "pack", "shuffle_partitions", "table", "unpack"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The session's own folder under spark.checkpoint.dir; removed when the program ends."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # as in tests
-        top = _local.setdefault("top", "") or tempfile.mkdtemp(prefix="palimpsest-")
-        _local["top"] = top
-    path = f"{top.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}"
-    if path not in _local:
-        _local[path] = path
-        atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written as a table to the folder in spark.checkpoint.dir and read from there.
-
-    The folder is the cluster's, and all executors share it; only where none is
-    set a local one is made. A table, unlike df.checkpoint(), also forgets the
-    constraints of the plan before it, which otherwise grow with every round of
-    an iteration, and knows its size, so that small ones are broadcast.
-    """
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
