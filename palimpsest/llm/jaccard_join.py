@@ -189,6 +189,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     counts = counts.ravel()
     # 8 MB at every size of input; counts beyond its type are all the busiest.
     shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    del counts
 
     packed_schema = pa.schema([("bucket", pa.int32()), ("found", pa.bool_()), ("data", pa.binary())])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import SLICE_BYTES, hash_words, ragged, text_slices, words_of
@@ -23,8 +25,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(fold(id_col) == HELD_OUT, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
-    """(texts, labels) of at most `texts` labelled documents of either label, picked by hash of their ids.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most `texts` labelled documents of either label and most_bytes in all, picked by hash of their ids.
 
     Only rows outside the held-out fold count. Rows without id or label, with
     another label than 0 or 1, or whose id has both, are left out.
@@ -33,12 +35,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, texts: int =
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     picked = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").where("text is not null")
-    # Sizes first, so that long texts can't exceed the driver's memory.
-    sizes = sorted((r["o"], r["doc_id"], r["b"]) for r in some.select("doc_id", F.xxhash64("doc_id").alias("o"), F.octet_length("text").alias("b")).toLocalIterator())
-    fits = np.cumsum([b for *_, b in sizes]) <= most_bytes
-    ids = {i for (_, i, _), ok in zip(sizes, fits, strict=True) if ok}
-    rows = sorted((r["doc_id"], r["text"], int(r["y"])) for r in some.where(F.col("doc_id").isin(*ids) if ids else F.lit(False)).toLocalIterator()) if len(ids) < len(sizes) else sorted((r["doc_id"], r["text"], int(r["y"])) for r in some.toLocalIterator())
-    return [t for _, t, _ in rows], np.array([y for *_, y in rows], np.float64)
+    size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))  # over the sample's rows only
+    return some.withColumn("_size", size).where(F.col("_size") <= most_bytes).drop("_size")
+
+
+def fit_in_task(sample: DataFrame, fit):
+    """What fit(texts, labels) returns, run by one task on a bounded sample; only the model comes to the driver."""
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)
+        rows.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], np.array([y for *_, y in rows], np.float64)))], pa.binary())], names=["model"])
+
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([], np.zeros(0))
 
 
 class Words:

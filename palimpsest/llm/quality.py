@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import table
 from .kernels import U, mix
-from .labels import Words, held_out, training_sample, words_in
+from .labels import Words, fit_in_task, held_out, training_sample, words_in
 
 BITS, DIM, GRAMS, LONGEST = 18, 16, (3, 4), 24
 EPOCHS, RATE, SEED = 6, 0.5, 7
@@ -131,7 +131,7 @@ def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", a
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
-    return QualityModel().fit(*training_sample(docs, labels, label))
+    return fit_in_task(training_sample(docs, labels, label), lambda texts, y: QualityModel().fit(texts, y))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import table
 from .kernels import U, mix, ragged
-from .labels import Words, held_out, training_sample, words_in
+from .labels import Words, fit_in_task, held_out, training_sample, words_in
 
 WIDTH, STRIDE = 48, 32
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 15, 16, 6, 10, 8, 8
@@ -300,7 +300,7 @@ def with_toxicity(docs: DataFrame, model: ToxicModel | None, text_col: str = "te
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicModel | None:
-    return ToxicModel().fit(*training_sample(docs, labels, label))
+    return fit_in_task(training_sample(docs, labels, label), lambda texts, y: ToxicModel().fit(texts, y))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
