@@ -92,3 +92,24 @@ def test_codec(spark):
     assert [r["k"] for r in out] == ["fast", "slow", "incompressible", "incompressible"]
     assert out[0]["z"]["codec"] == "zstd" and out[3]["z"]["codec"] == "raw"
     assert codec.slide_checksum(__import__("zlib").adler32(b"abcd"), ord("a"), ord("e"), 4) == __import__("zlib").adler32(b"bcde")
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from palimpsest.__main__ import main
+
+    source = tmp_path / "src"
+    (source / "d").mkdir(parents=True)
+    (source / "d" / "one.txt").write_bytes(b"one" * 100)
+    (source / "two.log").write_bytes(b"two" * 100)
+    repo = str(tmp_path / "repo")
+    main(["backup", repo, str(source), "--filter", "exclude_globs=*.log"])
+    assert json.loads(capsys.readouterr().out)["txn_id"] == 1
+    main(["browse-page", repo, "1"])
+    assert json.loads(capsys.readouterr().out)["path"] == "d/one.txt"
+    main(["restore", repo, str(tmp_path / "back")])
+    assert json.loads(capsys.readouterr().out)["files"] == 1
+    assert (tmp_path / "back" / "d" / "one.txt").read_bytes() == b"one" * 100
+    main(["prune-snapshots", repo])
+    assert json.loads(capsys.readouterr().out)["deleted"] == []
