@@ -39,6 +39,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     constraints of the plan before it, which otherwise grow with every round of
     an iteration, and knows its size, so that small ones are broadcast.
     """
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, was = f"{_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(key, "false")
+    spark.conf.set(key, "true")  # what the write has shuffled isn't read again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, was)
+    return spark.read.schema(df.schema).parquet(path)
