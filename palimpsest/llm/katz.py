@@ -24,8 +24,6 @@ training row a text's score and base score are those of unknown words.
 
 from __future__ import annotations
 
-import gc
-import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import blob_batch, buckets_of, checkpointed, group_edges, in_groups, of_group, table
+from .common import blob_batch, checkpointed, group_edges, in_groups, of_group, shuffle_partitions, table
 from .kernels import U, hash_words, mix, text_slices, words_of
 
 K_MAX, RESERVE, HOT = 5, 0.5, 4
@@ -46,7 +44,7 @@ START, END = U(0x5354415254), U(0x454E44)
 #: Bits of a word's hash that tell the words after one context apart.
 NEXT_BITS = 40
 #: Bytes of text that are worked on at a time.
-SLICE = 2_500_000
+SLICE = 4_000_000
 ASK = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("data", pa.binary())])
 ANSWER = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
 ASK_DDL, ANSWER_DDL = "bucket int, g int, data binary", "kind int, g int, bucket int, data binary, stats array<double>, context long"
@@ -204,7 +202,7 @@ def _asked(data: bytes):
 def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; held_out is a condition on docs."""
     spark = docs.sparkSession
-    buckets = groups = buckets_of(spark)
+    groups, buckets = shuffle_partitions(spark), 4 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"))
     texts = in_groups(rows.withColumn("g", F.pmod("uid", F.lit(groups)).cast("int")), "g", groups).groupBy("g")
     arrow_id = to_arrow_type(rows.schema["doc_id"].dataType)
@@ -260,15 +258,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         r = answers.where("kind = 1").agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0.0)) for i in range(n)]).first()
         return [float(x) for x in r]
 
-    def release() -> None:
-        """Lets Spark drop the shuffle files of what has been written."""
-        for _ in range(2):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)  # the cleaner runs by itself
-
     words = answered(texts.applyInArrow(ask_words, ASK_DDL), answer_words)
-    release()
     tokens, kinds, *few = stats_of(words)
     u = Unigrams.of(tokens, kinds, few)
 
@@ -334,7 +324,6 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     known = words.where("kind = 0").select("g", F.lit(0).alias("source"), "bucket", "data")
     counted = answered(texts.cogroup(known.groupBy("g")).applyInArrow(ask_pairs, ASK_DDL), answer_pairs)
-    release()
     d2 = discounts(stats_of(counted)[2:])
     sums = [F.sum(F.get("stats", F.lit(i))) for i in range(K_MAX + 1)]
     hot = {int(r[0]): list(r)[1:] for r in counted.where("kind = 2").groupBy("context").agg(*sums).toLocalIterator()}  # at most HOT contexts a bucket
