@@ -161,7 +161,7 @@ def join_unit(sets: list[np.ndarray], labels: list[int], percent: int) -> list[t
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n_shingles, component_id) of each row of docs; uid is row_uid()."""
+    """(uid, doc_id, n_shingles, component_id, group) of each row of docs; uid is row_uid(), group the component, null for an empty set."""
     spark, buckets = docs.sparkSession, buckets_of(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
 
@@ -340,9 +340,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     of_class = found.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     of_label = of_class.join(labels.withColumnRenamed("node", "cls"), "cls").groupBy("label").agg(F.min("least").alias("least"))
-    of_class = of_class.join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(of_label.withColumnRenamed("least", "linked"), "label", "left").select("cls", F.coalesce("linked", "least").alias("least"))
+    of_class = of_class.join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(of_label.withColumnRenamed("least", "linked"), "label", "left").select("cls", F.coalesce("label", "cls").alias("group"), F.coalesce("linked", "least").alias("least"))
     out = found.join(of_class, "cls", "left")
-    return out.select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("uid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
