@@ -43,7 +43,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path, was = f"{_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(key, "false")
     spark.conf.set(key, "true")  # what the write has shuffled isn't read again
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, was)
     return spark.read.schema(df.schema).parquet(path)
