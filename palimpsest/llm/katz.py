@@ -126,10 +126,13 @@ def _slices(t: pa.Table) -> list[pa.Table]:
 
 
 def _framed(parts: list[bytes]) -> bytes:
-    return b"".join([np.array([len(parts), *map(len, parts)], np.uint32).tobytes(), *parts])
+    """Parts in one compressed piece, their own length first."""
+    data = b"".join([np.array([len(parts), *map(len, parts)], np.uint32).tobytes(), *parts])
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def _unframed(data: bytes) -> list[bytes]:
+    data = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     cut = 4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint32, n, 4).astype(np.int64))])
     return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
