@@ -205,7 +205,7 @@ def _asked(data: bytes):
 def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; held_out is a condition on docs."""
     spark = docs.sparkSession
-    groups, buckets = shuffle_partitions(spark), 4 * shuffle_partitions(spark)
+    groups, buckets = shuffle_partitions(spark), 2 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"))
     texts = in_groups(rows.withColumn("g", F.pmod("uid", F.lit(groups)).cast("int")), "g", groups).groupBy("g")
     arrow_id = to_arrow_type(rows.schema["doc_id"].dataType)
