@@ -192,6 +192,12 @@ def conflict_suffixes(s, d):
     return filters.resolve_conflicts(f).select("path", "dest", "final")
 
 
+@query(f"WITH {FILES}, r AS (SELECT path, concat('out/', string_split(path, '/')[2], '.txt') AS dest FROM f WHERE txn_id = 3), n AS (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY path) - 1 AS c FROM r) SELECT path, dest, CASE WHEN c = 0 THEN dest ELSE concat(substr(dest, 1, length(dest) - 4), '_', c, '.txt') END AS final FROM n")
+def conflict_suffixes_all(s, d):
+    f = V.files(s, d, (3,)).select("path", F.concat(F.lit("out/"), F.split("path", "/")[1], F.lit(".txt")).alias("dest"))
+    return filters.resolve_conflicts(f).select("path", "dest", "final")
+
+
 @query(f"WITH {CHUNKS} SELECT DISTINCT hash FROM chunks WHERE txn_id IN (1, 2)")
 def referenced_hashes(s, d):
     return store.referenced(V.chunks(s, d, (1, 2)))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..written import checkpointed
+
 
 def normalized(path: Column) -> Column:
     """Backslashes as slashes, no slash at the end."""
@@ -166,16 +168,31 @@ def remap_link(target: Column, source: str, to: str) -> Column:
     return F.when(under(target, source), remap(target, "prefix", source=source, target=to)).otherwise(target)
 
 
+def copies(rows: DataFrame, dest: str, order: tuple[str, ...]) -> DataFrame:
+    """rows with copy, their place in the order among the rows of one destination, from 0.
+
+    As in audit.numbered(), rows are dealt by range and written, so a destination
+    of many rows is numbered by many tasks; its rows in a range count on from
+    those in the ranges before.
+    """
+    from pyspark.sql import Window
+
+    dealt = checkpointed(rows.repartitionByRange(dest, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col("_range").alias("_r"), F.col(dest).alias("_d")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_d").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_r", "_d", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_range", dest).orderBy(*order)) - 1
+    out = dealt.withColumn("_in", within).join(before, (F.col("_range") == F.col("_r")) & F.col(dest).eqNullSafe(F.col("_d")))
+    return out.withColumn("copy", F.col("_base") + F.col("_in")).drop("_range", "_r", "_d", "_base", "_in")
+
+
 def resolve_conflicts(rows: DataFrame, dest: str = "dest", order: tuple[str, ...] = ("path",), policy: str = "suffix") -> DataFrame:
     """Rows with final: suffix names the nth row of one destination stem_n.ext, skip drops it, fail raises.
 
     A suffixed name that is a destination of its own is tried again with the
     next number, until no round finds such a one.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(dest).orderBy(*order)
-    out = rows.withColumn("copy", (F.row_number().over(w) - 1).cast("long"))
+    out = copies(rows, dest, order)
     if policy == "skip":
         return out.where("copy = 0").withColumn("final", F.col(dest)).drop("copy")
     if policy == "fail":

@@ -113,3 +113,20 @@ def test_commands(spark, tmp_path, capsys):
     assert (tmp_path / "back" / "d" / "one.txt").read_bytes() == b"one" * 100
     main(["prune-snapshots", repo])
     assert json.loads(capsys.readouterr().out)["deleted"] == []
+
+
+def test_conflict_suffixes_number_all_rows_by_range(spark):
+    from palimpsest import catalog_queries as q
+    from palimpsest.operators import filters
+
+    from .conftest import SF
+
+    assert q.QUERIES["conflict_suffixes_all"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = [(f"p{i:05d}", "a/x.txt" if i % 7 else "b/y") for i in range(2000)] + [("q", None), ("z", "a/x_5.txt")]
+    got = {r["path"]: (r["copy"], r["dest"]) for r in filters.copies(spark.createDataFrame(rows, "path string, dest string"), "dest", ("path",)).collect()}
+    seen = {}
+    for path, dest in sorted(rows):
+        assert got[path] == (seen.setdefault(dest, 0), dest)
+        seen[dest] += 1
+    final = {r["path"]: r["final"] for r in filters.resolve_conflicts(spark.createDataFrame(rows, "path string, dest string")).collect()}
+    assert len(final) == len(rows) and len(set(final.values())) == len(rows) and final["z"] == "a/x_5.txt"
