@@ -424,6 +424,13 @@ def entropy_class(s, d):
     return f.select("path", F.round(codec.text_entropy(F.substring("content", 1, 200)), 6).alias("bits"))
 
 
+@query()
+def content_classes(s, d):
+    f, content = V.files(s, d, (3,), True), F.col("content").cast("binary")
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    return f.select("path", F.round(codec.entropy(content), 6).alias("bits"), codec.content_class(extension, content).alias("content_class"))
+
+
 @query(f"WITH {SNAPSHOTS} SELECT greatest(max(txn_id) - 100, 0) AS lag FROM snapshots")
 def remote_lag(s, d):
     return reports.remote_lag(V.snapshots(s, d), 100)

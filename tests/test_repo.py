@@ -130,3 +130,25 @@ def test_conflict_suffixes_number_all_rows_by_range(spark):
         seen[dest] += 1
     final = {r["path"]: r["final"] for r in filters.resolve_conflicts(spark.createDataFrame(rows, "path string, dest string")).collect()}
     assert len(final) == len(rows) and len(set(final.values())) == len(rows) and final["z"] == "a/x_5.txt"
+
+
+def test_content_classes_sample_4096_bytes(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from palimpsest import catalog_queries as q
+
+    texts = ["a" * 200 + "".join(chr(33 + i * 7 % 90) for i in range(9000)), "a" * 5000 + "bcdefgh" * 900, "", None, "ü" * 3000, "xyz", "".join(chr(0x400 + i * 37 % 900) for i in range(4000))]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["path"]: (r["bits"], r["content_class"]) for r in q.QUERIES["content_classes"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        data = ((t or "") + (" [edited]" if i % 5 == 0 else "")).encode()[:4096]
+        n = Counter(data)
+        bits = -sum(c / len(data) * math.log2(c / len(data)) for c in n.values())
+        packed = not data or (len(n) / len(data) > 0.95 and bits * 125 > 950)
+        found = got[f"web/en/doc_{i:08d}.txt"]
+        assert abs(found[0] - bits) < 1e-5
+        assert found[1] == ("incompressible" if packed else "slow" if bits * 125 > 700 else "fast")
+    assert {c for _, c in got.values()} == {"fast", "slow", "incompressible"}
