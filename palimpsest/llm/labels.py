@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .kernels import SLICE_BYTES, hash_words, ragged, text_slices, words_of
 
-#: The sample that a classifier is fitted on: texts of each label, and bytes of text in all.
+#: The sample that a classifier is fitted on: texts of each label, and bytes of text in all, half of them for each label.
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 10_000_000
+#: Bytes of one text in the sample; of longer texts it holds PIECES stretches, spread evenly from the start to the end.
+TEXT_BYTES, PIECES = 250_000, 50
 #: Rows of labels with crc32(doc_id as text) mod FOLDS equal to HELD_OUT aren't learnt from.
 FOLDS, HELD_OUT = 3, 1
 
@@ -25,9 +27,18 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(fold(id_col) == HELD_OUT, F.lit(False))
 
 
+def spread(text: Column, most_bytes: int = TEXT_BYTES, pieces: int = PIECES) -> Column:
+    """text, or if it has over most_bytes, evenly spread stretches of it that have no more, as words in a row."""
+    size = most_bytes // (4 * pieces) - 1  # characters, of four bytes at most, and a space
+    stretch = lambda i: F.substring(text, (F.floor((F.char_length(text) - size) * i / (pieces - 1)) + 1).cast("int"), F.lit(size))
+    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), stretch), " "))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, text, y) of at most `texts` labelled documents of either label and most_bytes in all, picked by hash of their ids.
 
+    Each label has half of the bytes, and one text at most TEXT_BYTES of them, so
+    no text and no label takes the place of the others.
     Only rows outside the held-out fold count. Rows without id or label, with
     another label than 0 or 1, or whose id has both, are left out.
     """
@@ -35,8 +46,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, texts: int =
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     picked = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").where("text is not null")
-    size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))  # over the sample's rows only
-    return some.withColumn("_size", size).where(F.col("_size") <= most_bytes).drop("_size")
+    some = some.withColumn("text", spread(F.col("text"), min(TEXT_BYTES, most_bytes // 2)))
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))  # over the sample's rows only
+    return some.withColumn("_size", size).where(F.col("_size") <= most_bytes // 2).drop("_size")
 
 
 def fit_in_task(sample: DataFrame, fit):

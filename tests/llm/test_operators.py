@@ -339,3 +339,18 @@ def test_pipeline_stages(spark):
     assert sorted(str(r["doc_id"]) for r in c.drop_near_copies(spark, docs, SF).collect()) == ["1", "4", "5", "5"]
     cut = sorted(c.cut_repeats(spark, docs, SF).collect(), key=str)
     assert len(cut) == 8 and c.cut_repeats(spark, docs, SF).columns == docs.columns
+
+
+@pytest.mark.parametrize("long_label", [0, 1])
+def test_one_long_text_leaves_the_sample_to_others(spark, long_label):
+    from palimpsest.llm.labels import SAMPLE_BYTES, TEXT_BYTES, training_sample
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    ids = [r["doc_id"] for r in labels.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    long = next(i for i in ids if i % 2 == long_label)  # the first of its label in hash order
+    texts = {i: "some words" for i in range(60)} | {long: "start " + "middle \u4e2d" * 1_200_000 + " end"}
+    got = {r["doc_id"]: r for r in training_sample(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), labels, "toxic").collect()}
+    assert sorted(got) == sorted(ids)
+    assert sum(len(r["text"].encode()) for r in got.values()) <= SAMPLE_BYTES
+    text = got[long]["text"]
+    assert len(text.encode()) <= TEXT_BYTES and text.startswith("start ") and text.endswith(" end")
