@@ -15,6 +15,9 @@ from .kernels import SLICE_BYTES, hash_words, ragged, text_slices, words_of
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 10_000_000
 #: Bytes of one text in the sample; of longer texts it holds PIECES stretches, spread evenly from the start to the end.
 TEXT_BYTES, PIECES = 250_000, 50
+#: Bytes of a word; longer ones are read as pieces of so many, each with the last OVERLAP bytes of the one before, so that
+#: each n-gram of up to OVERLAP + 1 bytes lies in a piece. Distinct words whose n-grams are held at once.
+LONGEST, OVERLAP, GRAM_BLOCK = 24, 4, 16384
 #: Rows of labels with crc32(doc_id as text) mod FOLDS equal to HELD_OUT aren't learnt from.
 FOLDS, HELD_OUT = 3, 1
 
@@ -65,11 +68,23 @@ def fit_in_task(sample: DataFrame, fit):
     return pickle.loads(row["model"]) if row else fit([], np.zeros(0))
 
 
+def pieces_of(starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) where a word over LONGEST bytes is its overlapping pieces in a row."""
+    step = LONGEST - OVERLAP
+    count = 1 + np.maximum(0, -(-(ends - starts - LONGEST) // step))
+    if not len(count) or count.max() == 1:
+        return starts, ends, first
+    total = np.concatenate([[0], np.cumsum(count)])
+    begins = np.repeat(starts, count) + (np.arange(total[-1]) - np.repeat(total[:-1], count)) * step
+    return begins, np.minimum(begins + LONGEST, np.repeat(ends, count)), total[first]
+
+
 class Words:
-    """The words of some texts: distinct ones, and which of them stand where."""
+    """The words of some texts, long ones in pieces: distinct ones, and which of them stand where."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
-        self.buf, self.starts, self.ends, self.first = words_of(buf, off)
+        self.buf, starts, ends, first = words_of(buf, off)
+        self.starts, self.ends, self.first = pieces_of(starts, ends, first)
         self.hashes = hash_words(self.buf, self.starts, self.ends)
         order = np.argsort(self.hashes, kind="stable")
         h = self.hashes[order]
@@ -80,10 +95,19 @@ class Words:
         self.of[order] = np.cumsum(new) - 1
         self.example = order[new]  # one place of each distinct word
 
-    def grams(self, sizes: tuple[int, ...], most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct word, 64-bit key) of the character n-grams of '<word>', at most the first `most` bytes of a word."""
-        s, e = self.starts[self.example], self.ends[self.example]
-        n = np.minimum(e - s, most) + 2
+    def grams(self, sizes: tuple[int, ...], bucket) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct word, bucket of its 64-bit key) of the character n-grams of '<word>', by word."""
+        words, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for a in range(0, len(self.example), GRAM_BLOCK):
+            owner, keys = self._grams(self.example[a : a + GRAM_BLOCK], sizes)
+            order = np.argsort(owner, kind="stable")
+            words.append((owner[order] + a).astype(np.int32))
+            buckets.append(bucket(keys[order]).astype(np.int32))
+        return np.concatenate(words), np.concatenate(buckets)
+
+    def _grams(self, example: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        s, e = self.starts[example], self.ends[example]
+        n = e - s + 2
         off = np.concatenate([[0], np.cumsum(n)])
         chars = np.empty(off[-1], np.uint64)
         inner = np.ones(off[-1], bool)

@@ -1,7 +1,7 @@
 """A quality classifier of supervised subword embeddings.
 
 A text's features are its words, its pairs of words in a row (where pairs of one
-word twice share a feature), and the character n-grams of its words, each hashed
+word twice share a feature), and the character n-grams of its words (long ones in pieces), each hashed
 to a vector. The text's vector is their mean, and a softmax layer gives the
 probability of each label. Vectors and layer are trained together by stochastic
 gradient descent in numpy, on the bounded sample of training_sample(). Scoring
@@ -24,7 +24,7 @@ from .common import table
 from .kernels import U, mix
 from .labels import Words, fit_in_task, held_out, training_sample, words_in
 
-BITS, DIM, GRAMS, LONGEST = 18, 16, (3, 4), 24
+BITS, DIM, GRAMS = 18, 16, (3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 7
 
 
@@ -34,12 +34,12 @@ def _bucket(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
 
 def features(w: Words, bits: int = BITS):
     """(buckets of distinct words, their grams' owners and buckets, buckets of pairs, text of each pair, texts' words)."""
-    owner, keys = w.grams(GRAMS, LONGEST)
+    owner, gram = w.grams(GRAMS, lambda keys: _bucket(keys, 1, bits))
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     a, b = w.hashes[:-1], w.hashes[1:]
     pair = np.where(a == b, U(1), a * U(0xD6E8FEB86659FD93) + b)
     same = text[:-1] == text[1:] if len(text) else np.zeros(0, bool)
-    return _bucket(w.distinct, 0, bits), owner, _bucket(keys, 1, bits), _bucket(pair[same], 2, bits), text[:-1][same] if len(text) else text, text
+    return _bucket(w.distinct, 0, bits), owner, gram, _bucket(pair[same], 2, bits), text[:-1][same] if len(text) else text, text
 
 
 class QualityModel:
@@ -56,8 +56,7 @@ class QualityModel:
         bags, y = [], []
         for first, w in words_in(texts):
             word, owner, gram, pair, pair_text, text = features(w, self.bits)
-            by_word = np.searchsorted(owner[np.argsort(owner, kind="stable")], np.arange(len(word) + 1))
-            gram = gram[np.argsort(owner, kind="stable")]
+            by_word = np.searchsorted(owner, np.arange(len(word) + 1))
             cuts = np.searchsorted(pair_text, np.arange(len(w.first)))
             for i in range(len(w.first) - 1):
                 mine = w.of[w.first[i] : w.first[i + 1]]

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word's input is a hashed word vector beside the mean of the hashed vectors of
-its character n-grams, so that a stem counts in words never seen. Two gated
+its character n-grams, so that a stem counts in words never seen; a long word is
+read as pieces that overlap. Two gated
 recurrent layers read a window of words, one from each end; attention pools
 their states, and a logistic unit scores the window. A text's score is its
 highest window's, over windows of WIDTH words every STRIDE words and one that
@@ -32,7 +33,7 @@ from .labels import Words, fit_in_task, held_out, training_sample, words_in
 
 WIDTH, STRIDE = 48, 32
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 15, 16, 6, 10, 8, 8
-GRAMS, LONGEST = (3, 4, 5), 24
+GRAMS = (3, 4, 5)
 #: Windows of a step; windows of a text that training looks at, and of those that a pass takes at first; highest windows of
 #: a text that isn't toxic that later passes take; passes of either kind; highest weight of a toxic window.
 #: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES.
@@ -75,8 +76,7 @@ class Inputs:
     def __init__(self, w: Words | None):
         if w is not None:
             self.word = (mix(w.distinct) >> U(64 - WORD_BITS)).astype(np.int32)
-            owner, keys = w.grams(GRAMS, LONGEST)
-            self.gram = (mix(keys[np.argsort(owner, kind="stable")]) >> U(64 - GRAM_BITS)).astype(np.int32)
+            owner, self.gram = w.grams(GRAMS, lambda keys: mix(keys) >> U(64 - GRAM_BITS))
             self._count(np.bincount(owner, minlength=len(self.word)))
 
     def _count(self, n: np.ndarray) -> None:

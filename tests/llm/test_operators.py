@@ -354,3 +354,31 @@ def test_one_long_text_leaves_the_sample_to_others(spark, long_label):
     assert sum(len(r["text"].encode()) for r in got.values()) <= SAMPLE_BYTES
     text = got[long]["text"]
     assert len(text.encode()) <= TEXT_BYTES and text.startswith("start ") and text.endswith(" end")
+
+
+def test_long_words_are_read_whole():
+    from palimpsest.llm.labels import words_in
+
+    r = random.Random(3)
+    long = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(4000))
+    for text in [long, "x" * 24, "y" * 25, "a b " + long[:9] + " c", "".join(r.choice("abcdef") for _ in range(61))]:
+        (_, w), = words_in([text, "next"])
+        cut = lambda data, k: {data[i : i + k] for i in range(len(data) - k + 1)}
+        pieces = [bytes(w.buf[s:e]) for s, e in zip(w.starts[: w.first[1]], w.ends[: w.first[1]], strict=True)]
+        assert max(map(len, pieces)) <= 24
+        assert set().union(*(cut(p, 5) for p in pieces)) == set().union(*(cut(x.encode(), 5) for x in text.split(" ")))
+        assert bytes(w.buf[w.starts[w.first[1]] : w.ends[w.first[1]]]) == b"next" and w.first[2] == len(w.starts)
+        owner, keys = w.grams((3,), lambda k: k & np.uint64(0xFFFF))
+        assert np.bincount(owner, minlength=len(w.distinct)).tolist() == [int(w.ends[i] - w.starts[i]) for i in w.example]
+
+
+def test_toxic_stem_late_in_a_text_without_spaces():
+    r = random.Random(0)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    plain = [[r.choice(vocabulary) for _ in range(r.randint(20, 60))] for _ in range(400)]
+    labels = np.array([i % 4 == 0 for i in range(400)], float)
+    texts = [" ".join([*w[:9], *["vilest" + w[0][:3]] * int(y), *w[9:], *["vilest" + w[1][:3]] * int(y)]) for w, y in zip(plain, labels, strict=True)]
+    model = ToxicModel().fit(texts, labels)
+    clean, toxic = ["_".join(w) for w in plain[:80]], ["_".join([*w[:15], "vilest", "vilest", "vilest", *w[15:]]) for w in plain[:80]]
+    score = model.score(pa.array(clean + toxic))
+    assert np.mean(score[80:] > score[:80]) > 0.9 and score[80:].mean() > score[:80].mean() + 0.2
