@@ -95,16 +95,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int =
     rows, out = vectors.select(*cols), None
 
     def blocks():
-        held, seen = [], set()
-        for r in queries.select(*cols).where("id is not null and v is not null").toLocalIterator():
-            key = (r["id"], tuple(r["v"]))
-            if key in seen:
-                continue
-            seen.add(key)
-            held.append(key)
+        held = []
+        # Repeated queries go before the cut, since a later block would ask them again.
+        for r in queries.select(*cols).where("id is not null and v is not null").dropDuplicates(["id", "v"]).toLocalIterator():
+            held.append((r["id"], tuple(r["v"])))
             if len(held) == BLOCK:
                 yield held
-                held, seen = [], set()
+                held = []
         if held:
             yield held
 

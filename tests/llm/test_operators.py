@@ -382,3 +382,15 @@ def test_toxic_stem_late_in_a_text_without_spaces():
     clean, toxic = ["_".join(w) for w in plain[:80]], ["_".join([*w[:15], "vilest", "vilest", "vilest", *w[15:]]) for w in plain[:80]]
     score = model.score(pa.array(clean + toxic))
     assert np.mean(score[80:] > score[:80]) > 0.9 and score[80:].mean() > score[:80].mean() + 0.2
+
+
+def test_exact_topk_asks_a_query_once_whatever_its_block(spark, monkeypatch):
+    from palimpsest.llm import exact_topk as module
+
+    monkeypatch.setattr(module, "BLOCK", 2)
+    r = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(0, 0.2, 8)]) for i in range(80)], "vec_id long, embedding array<double>").cache()
+    asked = df.where("vec_id % 20 = 0").coalesce(1)
+    rows = lambda q: sorted(map(tuple, exact_topk(df, q, 5).collect()))
+    once = rows(asked)
+    assert len(once) == 20 and rows(asked.union(asked).coalesce(1)) == once
