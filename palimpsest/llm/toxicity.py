@@ -34,7 +34,7 @@ from .labels import Words, fit_in_task, held_out, training_sample, words_in
 WIDTH, STRIDE = 48, 32
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 15, 16, 6, 10, 8, 8
 GRAMS = (3, 4, 5)
-#: Windows of a step; windows of a text that training looks at, and of those that a pass takes at first; highest windows of
+#: Windows of a step; windows of a text that isn't toxic that training looks at, and of any text that a pass takes at first; highest windows of
 #: a text that isn't toxic that later passes take; passes of either kind; highest weight of a toxic window.
 #: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES.
 WORD_DROP, STEPS, MOST_PASSES = 0.5, (80, 160), 60
@@ -216,10 +216,10 @@ class ToxicModel:
         for first, x in words_in(texts):
             words, begins = read_once(x)
             start, n, of = windows_of(begins)
-            order = rng.permutation(len(of))  # as many windows of long texts as training looks at, any of them
+            order = rng.permutation(len(of))  # all windows of toxic texts; of other long ones as many as training looks at, any of them
             order = order[np.argsort(of[order], kind="stable")]
             rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
-            order = order[rank < TEXT_WINDOWS]
+            order = order[(rank < TEXT_WINDOWS) | (labels[of[order] + first] == 1)]
             place = np.arange(WIDTH)[:, None]
             ok = place < n[order]
             used, where = np.unique(words[np.where(ok, start[order] + place, 0)], return_inverse=True)

@@ -394,3 +394,17 @@ def test_exact_topk_asks_a_query_once_whatever_its_block(spark, monkeypatch):
     rows = lambda q: sorted(map(tuple, exact_topk(df, q, 5).collect()))
     once = rows(asked)
     assert len(once) == 20 and rows(asked.union(asked).coalesce(1)) == once
+
+
+def test_toxicity_fits_on_every_window_of_toxic_texts(monkeypatch):
+    from palimpsest.llm import toxicity
+
+    seen = []
+    scores = ToxicModel._scores
+    monkeypatch.setattr(ToxicModel, "_scores", lambda self, x, at, mask: seen.append(at.shape[1]) or scores(self, x, at, mask))
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(48 + 32 * 59)) for _ in range(2)]
+    n = [len(toxicity.windows_of(toxicity.read_once(x)[1])[0]) for t in texts for _, x in toxicity.words_in([t])]
+    assert min(n) > 2 * toxicity.TEXT_WINDOWS
+    ToxicModel().fit(texts, np.array([1.0, 0.0]))
+    assert set(seen) == {n[0] + toxicity.TEXT_WINDOWS}
