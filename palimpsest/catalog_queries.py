@@ -441,7 +441,7 @@ SMALL = {"least": 256, "average": 1024, "most": 4096}
 
 def _cdc(algo):
     def run(s, d):
-        return chunking.chunk(V.files(s, d, (1,), True).select("path", "content"), chunking.ChunkConfig(algo=algo, **SMALL))
+        return chunking.chunk(V.files(s, d, (3,), True).select("path", "content"), chunking.ChunkConfig(algo=algo, **SMALL))
 
     run.__name__ = f"cdc_{algo}"
     return run
