@@ -6,7 +6,10 @@ block of a source. Every draw of a source goes to an output shard chosen by
 hash, so that a shard's source counts are multinomial given the totals that the
 targets fix. A source's slots, numbered through its shards, map to its blocks by
 a pseudorandom permutation, once through all blocks before any block comes
-again, and meet the blocks by index.
+again, and meet the blocks by index. Blocks have BLOCK words, in a source of few
+words as many as give it about PARTS blocks, and the last one of a source what is
+left; whole rounds through a source count as its size and the rest as blocks, so
+that what is taken is within two blocks of every target.
 
 Sources weigh 5, 2, 1 in turn, by code point of their names, null last, and
 share `share` times all words. No source gives more than `repeats` times its
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, shuffle_partitions, table
 
-#: Words of a block, mean documents of a numbered group, slots of an output shard, draws listed by one row.
-BLOCK, GROUP, SHARD_SLOTS, LISTED = 64, 512, 65536, 16384
+#: Words of a block and blocks that a small source has at least, mean documents of a numbered group, slots of an output shard, draws listed by one row.
+BLOCK, PARTS, GROUP, SHARD_SLOTS, LISTED = 64, 256, 512, 65536, 16384
 WEIGHTS = (5, 2, 1)
 #: Primes of which one doesn't divide the number of a source's blocks, so that its multiples modulo that number are a permutation.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -65,26 +68,28 @@ class Mix:
     """A mix of docs: its rows placed in streams, its slots, and the pieces of rows that blocks hold."""
 
     def __init__(self, docs: DataFrame, share: float = 1.5, repeats: int = 2, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-        self.block, self.repeats, self.tasks = block, repeats, shuffle_partitions(docs.sparkSession)
+        self.repeats, self.tasks = repeats, shuffle_partitions(docs.sparkSession)
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
         sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
         sized = checkpointed(sized.withColumn("name", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
-        self.sources = checkpointed(targets(sized, share, repeats))
+        length = F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"source_size div {PARTS}"))).cast("long")
+        self.sources = checkpointed(targets(sized, share, repeats).withColumn("length", length))
         self.n = self.sources.count()
-        rows = _joined(sized.alias("d"), self.sources.alias("t"), self.n, F.expr("d.source <=> t.source")).select("id", "size", "name", "source_no", "source_size", "n_rows", "target")
+        rows = _joined(sized.alias("d"), self.sources.alias("t"), self.n, F.expr("d.source <=> t.source")).select("id", "size", "name", "source_no", "source_size", "n_rows", "target", "length")
         rows = rows.withColumn("part", F.conv(F.substring("name", 1, 8), 16, 10).cast("long") % F.ceil(F.col("n_rows") / GROUP))
         parts = rows.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source_no").orderBy("part").rowsBetween(FIRST, -1)
         parts = parts.select("source_no", "part", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("base"))
         within = Window.partitionBy("source_no", "part").orderBy("name", "size").rowsBetween(FIRST, -1)
-        #: id, size, source_no, source_size, target, first: the row's first word in its source's stream.
-        self.rows = checkpointed(rows.join(parts, ["source_no", "part"]).select("id", "size", "source_no", "source_size", "target", (F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("first")))
+        #: id, size, source_no, source_size, target, length (of its source's blocks), first: the row's first word in its source's stream.
+        self.rows = checkpointed(rows.join(parts, ["source_no", "part"]).select("id", "size", "source_no", "source_size", "target", "length", (F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("first")))
 
     def slots(self) -> DataFrame:
         """(shard, source_no, index, epoch, block): the slots of the mix."""
-        s = self.sources.where("source_size > 0").select("source_no", F.ceil(F.col("source_size") / self.block).alias("blocks"), F.col("target").alias("goal"), "source_size")
-        draws = F.least(F.round(F.col("goal") / self.block).cast("long"), F.col("blocks") * self.repeats)
-        s = s.select("source_no", "blocks", F.when(F.col("goal") >= F.col("source_size") * self.repeats, F.col("blocks") * self.repeats).otherwise(draws).alias("draws"))
+        s = self.sources.where("source_size > 0").select("source_no", "source_size", "length", F.ceil(F.col("source_size") / F.col("length")).alias("blocks"), F.col("target").alias("goal"))
+        s = s.withColumn("rounds", F.floor(F.col("goal") / F.col("source_size")))
+        draws = F.col("rounds") * F.col("blocks") + F.floor((F.col("goal") - F.col("rounds") * F.col("source_size")) / F.col("length") + 0.5)
+        s = s.select("source_no", "blocks", F.least(draws, F.col("blocks") * self.repeats).cast("long").alias("draws"))
         s = s.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("draws").over(Window.partitionBy()) / SHARD_SLOTS)))
         lists = s.where("draws > 0").select("*", F.explode(F.expr(f"sequence(0, (draws - 1) div {LISTED})")).alias("list")).repartition(self.tasks, "source_no", "list")
         drawn = lists.select("source_no", "shards", F.explode(F.expr(f"sequence(list * {LISTED}, least(draws, (list + 1) * {LISTED}) - 1)")).alias("draw"))
@@ -101,9 +106,9 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """self.rows of some size, once for each block that they reach, with block, from (first word within the row) and words."""
-        rows = self.rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(first div {self.block}, (first + size - 1) div {self.block})")))
-        rows = rows.withColumn("from", F.greatest(F.lit(0), F.col("block") * self.block - F.col("first")))
-        return rows.withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * self.block - F.col("first")) - F.col("from"))
+        rows = self.rows.where("size > 0").withColumn("block", F.explode(F.expr("sequence(first div length, (first + size - 1) div length)")))
+        rows = rows.withColumn("from", F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("first")))
+        return rows.withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * F.col("length") - F.col("first")) - F.col("from"))
 
     def spans(self) -> DataFrame:
         """(shard, source_no, index, id, from, words): what the slots hold, in spans of the rows' words."""
@@ -135,21 +140,22 @@ s2 AS (
 ), lv AS (SELECT level FROM s2 WHERE level * weight <= cap ORDER BY source_size / weight, no LIMIT 1),
 s AS (
   SELECT source, no, source_size, n_rows, coalesce(least(CAST(cap AS DOUBLE), (SELECT level FROM lv) * weight), CAST(cap AS DOUBLE)) AS target,
-    CAST(ceil(source_size / {BLOCK}) AS BIGINT) AS blocks FROM s2
+    greatest(1, least({BLOCK}, source_size // {PARTS})) AS len FROM s2
 ), r AS (
-  SELECT doc_id, size, name, no, source_size, target, blocks, CAST(('0x' || substr(name, 1, 8)) AS BIGINT) % CAST(ceil(n_rows / {GROUP}) AS BIGINT) AS part
+  SELECT doc_id, size, name, no, source_size, target, len, CAST(('0x' || substr(name, 1, 8)) AS BIGINT) % CAST(ceil(n_rows / {GROUP}) AS BIGINT) AS part
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 ), f AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY no ORDER BY part, name, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM r
 ), k AS (
-  SELECT no, blocks, CASE WHEN target >= 2 * source_size THEN 2 * blocks ELSE least(CAST(round(target / {BLOCK}) AS BIGINT), 2 * blocks) END AS draws FROM s WHERE source_size > 0
+  SELECT no, blocks, CAST(least(2 * blocks, rounds * blocks + floor((target - rounds * source_size) / len + 0.5)) AS BIGINT) AS draws
+  FROM (SELECT *, CAST(ceil(source_size / len) AS BIGINT) AS blocks, floor(target / source_size) AS rounds FROM s WHERE source_size > 0)
 ), x AS (SELECT no, blocks, unnest(range(draws)) AS i FROM k),
 b AS (
   SELECT no, CAST((CAST(i % blocks + 1 AS HUGEINT) * list_filter([{', '.join(map(str, PRIMES))}], lambda p: blocks % p <> 0)[CAST((no + i // blocks) % len(list_filter([{', '.join(map(str, PRIMES))}], lambda p: blocks % p <> 0)) + 1 AS INTEGER)]) % blocks AS BIGINT) AS block FROM x
 ), times AS (SELECT no, block, count(*) AS times FROM b GROUP BY ALL),
-p AS (SELECT doc_id, no, first, size, unnest(range(first // {BLOCK}, (first + size - 1) // {BLOCK} + 1)) AS block FROM f WHERE size > 0),
+p AS (SELECT doc_id, no, first, size, len, unnest(range(first // len, (first + size - 1) // len + 1)) AS block FROM f WHERE size > 0),
 t AS (
-  SELECT doc_id, no, first, CAST(sum((least(first + size, (block + 1) * {BLOCK}) - greatest(first, block * {BLOCK})) * coalesce(times, 0)) AS BIGINT) AS taken
+  SELECT doc_id, no, first, CAST(sum((least(first + size, (block + 1) * len) - greatest(first, block * len)) * coalesce(times, 0)) AS BIGINT) AS taken
   FROM p LEFT JOIN times USING (no, block) GROUP BY ALL
 )
 SELECT f.doc_id, f.size, f.source_size, f.target, coalesce(t.taken, 0) AS taken

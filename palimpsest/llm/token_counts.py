@@ -1,10 +1,13 @@
 """Token counts of byte-pair encodings by rank-synchronous array merging.
 
 The distinct pre-tokens of a batch are held as one ragged array of symbols. In
-each round every sequence finds the adjacent pair of lowest rank, its leftmost
-if several tie, and all those pairs merge at once; sequences without a pair that
-can merge leave. What survives is counted, and the counts go back to the texts
-by their pre-tokens.
+each round every sequence finds its lowest rank, and all its pairs of that rank
+merge at once, from the left and without overlap; sequences without a pair that
+can merge leave. A merge whose new symbol forms a pair of the same or a lower
+rank with a neighbour is the last one of its sequence in a round, since that pair
+comes next; so rounds give what merging one pair at a time gives, and there are
+few more of them than ranks in a sequence, however long it is. What survives is
+counted, and the counts go back to the texts by their pre-tokens.
 
 The model file is one of the library's own, read by its published layout: the
 vocabulary, its scores and the normaliser. A pair's rank is that of the piece
@@ -13,17 +16,12 @@ so a text falls into pre-tokens before each run of spaces, and around characters
 that stand in no longer piece; merging never crosses these bounds. A character
 outside the vocabulary counts as its bytes.
 
-Sequences of more than LONG symbols merge one by one with a heap, by the same
-rule, since a round for every merge of one long sequence would take time in
-proportion to its square.
-
 Defined cases: null and empty texts have no bytes and no tokens; repeated rows
 are counted each.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 
 import numpy as np
@@ -36,7 +34,7 @@ from pyspark.sql import types as T
 from .common import table
 from .kernels import hash_words, ragged, text_slices
 
-LIMIT, LONG, CACHED = 4096, 512, 400_000
+LIMIT, CACHED = 4096, 400_000
 NONE = np.int64(1 << 62)
 
 
@@ -104,18 +102,14 @@ class PieceModel:
     def count_sequences(self, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of each sequence of symbols, off[i] to off[i + 1]."""
         out = np.zeros(len(off) - 1, np.int64)
-        n = np.diff(off)
-        for i in np.flatnonzero(n > LONG):
-            out[i] = self._one(symbols[off[i] : off[i + 1]].tolist())
-        ids = np.flatnonzero((n > 0) & (n <= LONG))
-        n, sym = n[ids], symbols[ragged(off[:-1][ids], n[ids])].astype(np.int64)
+        ids = np.flatnonzero(np.diff(off))
+        n, sym = np.diff(off)[ids], symbols.astype(np.int64)
         start = np.concatenate([[0], np.cumsum(n)])
         rank, made = self._pair(sym[:-1], sym[1:]) if len(sym) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rank, made = np.append(rank, NONE), np.append(made, 0)
+        rank, made = np.append(rank, NONE)[: len(sym)], np.append(made, 0)[: len(sym)]
         rank[start[1:] - 1] = NONE
-        place = np.arange(len(sym))
         while len(ids):
-            best = np.minimum.reduceat(np.where(rank < NONE, rank << 24 | (place - np.repeat(start[:-1], n)), NONE), start[:-1])
+            best = np.minimum.reduceat(rank, start[:-1])
             live = best < NONE
             if not live.all():
                 done = np.repeat(~live, n)
@@ -125,47 +119,46 @@ class PieceModel:
                 start = np.concatenate([[0], np.cumsum(n)])
                 if not len(ids):
                     break
-            at = start[:-1] + (best & 0xFFFFFF)
+            at = np.flatnonzero(rank == np.repeat(best, n))
+            # Of a run of overlapping pairs every other one merges, from the left.
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] != at[:-1] + 1
+            head = np.flatnonzero(new)
+            at = at[(at - np.repeat(at[head], np.diff(np.append(head, len(at))))) % 2 == 0]
+            seq = np.searchsorted(start, at, "right") - 1
+            at = at[self._first_merges(sym, made, start, best, at, seq)]
+            seq = np.searchsorted(start, at, "right") - 1
             sym[at] = made[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            last = at + 1 == start[1:] - 1  # the right one of the pair ended its sequence
-            before = at > start[:-1]
-            moved = at - np.arange(len(at))  # one symbol of each sequence before has gone
+            ends = at + 2 == start[seq + 1]
+            begins = at == start[seq]
+            at = at - np.arange(len(at))  # a symbol of each merge before has gone
             sym, rank, made = sym[keep], rank[keep], made[keep]
-            n = n - 1
+            n = n - np.bincount(seq, minlength=len(n))
             start = np.concatenate([[0], np.cumsum(n)])
-            place = np.arange(len(sym))
-            rank[moved[last]] = NONE
-            for p in (moved[~last], moved[before] - 1):
+            rank[at[ends]] = NONE
+            for p in (at[~ends], at[~begins] - 1):
                 rank[p], made[p] = self._pair(sym[p], sym[p + 1])
         return out
 
-    def _one(self, sym: list[int]) -> int:
-        """Tokens of one sequence, by a heap of its pairs."""
-        n = len(sym)
-        left, right, heap = list(range(-1, n - 1)), [*range(1, n), -1], []
-        table = getattr(self, "_table", None)
-        if table is None:
-            table = self._table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
-
-        def push(i):
-            if i >= 0 and right[i] >= 0 and (hit := table.get(sym[i] << 20 | sym[right[i]])):
-                heapq.heappush(heap, (hit[0], i, right[i], sym[i], sym[right[i]], hit[1]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if sym[i] != a or sym[j] != b or right[i] != j:
-                continue
-            sym[i], sym[j] = made, -1
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            push(left[i])
-            push(i)
-        return int(sum(self.counts[s] for s in sym if s >= 0))
+    def _first_merges(self, sym, made, start, best, at, seq) -> np.ndarray:
+        """Which of the pairs `at` merge in this round: those up to the first whose new symbol has to merge next."""
+        s, r = made[at], best[seq]
+        left = at > start[seq]
+        l = sym[np.maximum(at - 1, 0)]
+        after = np.zeros(len(at), bool)
+        after[1:] = at[1:] == at[:-1] + 2
+        after &= left  # the pair before has merged into the symbol on the left
+        l[after] = s[np.flatnonzero(after) - 1]
+        right = at + 2 < start[seq + 1]
+        urgent = left & (self._pair(l, s)[0] <= r)
+        urgent |= right & (self._pair(s, sym[np.minimum(at + 2, len(sym) - 1)])[0] <= r)
+        if not urgent.any():
+            return np.ones(len(at), bool)
+        before = np.cumsum(urgent) - urgent
+        first = np.searchsorted(seq, seq)  # each sequence's first pair
+        return before == before[first]
 
 
 class Counter:

@@ -237,6 +237,7 @@ def test_token_counts_equal_the_library(spark, pieces):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces)
     r = random.Random(4)
     texts = [*some_texts(), "▁ x ▁▁", "<s> </s><unk><0x41>", "日本語 한국어", "😀😀", "a" * 3000, " " * 700, "\t\r\n;\r\n", "x\x00y", "é" * 600]
+    texts += ["".join(r.choice("abcdefghinorst_") for _ in range(n)) for n in (600, 5000, 20000)] + ["".join(r.choice(["the", "ing", "tion", "aa", "日本", "er"]) for _ in range(3000))]
     texts += ["".join(r.choice("abe  \n\r.;:{}09éü日😀▁") for _ in range(r.randint(0, 200))) for _ in range(300)]
     size, tokens = TokenCounter(PieceModel(pieces)).counts(pa.array(texts, pa.string()))
     assert tokens.tolist() == [len(library.encode(t or "")) for t in texts]
@@ -267,6 +268,29 @@ def test_mix_meets_targets(spark):
     assert [r["taken"] for r in Mix(df.where("doc_id >= 300")).taken().collect()] == [0, 0]
 
 
+def test_mix_comes_near_the_targets_of_small_sources(spark):
+    r = random.Random(8)
+    sizes = [20, 20, 20, *(r.randint(1, 700) for _ in range(60)), 30_000]
+    rows = []
+    for i, n in enumerate(sizes):
+        while n > 0:  # a source's words in documents of some length, and one id twice
+            take = min(n, r.randint(1, 400))
+            rows.append((len(rows) // 2, "w " * take, f"host{i:03d}"))
+            n -= take
+    got = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().collect()
+    by, target, size = Counter(), {}, {}
+    for x in got:
+        assert x["taken"] <= 2 * x["size"]
+        by[x["source_no"]] += x["taken"]
+        target[x["source_no"]], size[x["source_no"]] = x["target"], x["source_size"]
+    assert len(got) == len(rows) and [size[i + 1] for i in range(len(sizes))] == sizes
+    for s, t in target.items():
+        block = max(1, min(64, size[s] // 256))
+        assert abs(by[s] - t) <= 1.5 * block, (s, size[s], t, by[s])
+    three = spark.createDataFrame([(i, "w " * 20, "abc"[i]) for i in range(3)], "doc_id long, text string, source string")
+    assert sorted((x["id"], x["taken"]) for x in Mix(three).taken().collect()) == [(0, 40), (1, 33), (2, 17)]
+
+
 def test_katz_scores(spark):
     texts = some_texts(5)
     df = docs_of(spark, texts)
