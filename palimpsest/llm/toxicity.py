@@ -6,14 +6,15 @@ read as pieces that overlap. Two gated
 recurrent layers read a window of words, one from each end; attention pools
 their states, and a logistic unit scores the window. A text's score is its
 highest window's, over windows of WIDTH words every STRIDE words and one that
-ends with the text. A word that repeats the one before it is read once: a run of
-one word would drive the network to states that no text has.
+ends with the text.
 
 Training is numpy back-propagation through time on the bounded sample of
-training_sample(). Labels are of texts, so it starts from some windows of each
-text with the text's label, and goes on with the window of each toxic text that
-scores highest, and of the others with the highest and some more. Scoring reads every whole text where
-it lies, with no exchange.
+training_sample(), all windows of it. Labels are of texts, so it starts from some
+windows of each text with the text's label, and goes on with the window of each
+toxic text that scores highest, and of the others with the highest and some more.
+Each step also reads some windows that hold a word or two of a clean window over
+and over, since few samples show the states that such runs lead to. Scoring reads
+every whole text where it lies, with no exchange.
 
 Defined cases: null and empty texts have no window and score 0; with no labelled
 row of both labels to learn from every score is 0.
@@ -34,11 +35,11 @@ from .labels import Words, fit_in_task, held_out, training_sample, words_in
 WIDTH, STRIDE = 48, 32
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 15, 16, 6, 10, 8, 8
 GRAMS = (3, 4, 5)
-#: Windows of a step; windows of a text that isn't toxic that training looks at, and of any text that a pass takes at first; highest windows of
-#: a text that isn't toxic that later passes take; passes of either kind; highest weight of a toxic window.
-#: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES.
-WORD_DROP, STEPS, MOST_PASSES = 0.5, (80, 160), 60
-BATCH, TEXT_WINDOWS, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 256, 24, 6, 2, (2, 6), 4, 0.015, 11
+#: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES. Windows of runs in a step.
+WORD_DROP, STEPS, MOST_PASSES, RUNS = 0.5, (80, 160), 60, 12
+#: Windows of a step; windows of any text that a pass takes at first; highest windows of a text that isn't toxic that later
+#: passes take; passes of either kind; highest weight of a toxic window.
+BATCH, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 256, 6, 2, (2, 6), 4, 0.015, 11
 TOXIC = 0.7
 
 
@@ -62,14 +63,6 @@ def windows_of(first: np.ndarray, width: int = WIDTH, stride: int = STRIDE) -> t
     return first[text] + start, np.minimum(width, n[text]), text
 
 
-def read_once(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct word of each word, each text's first) without words that repeat the one before."""
-    keep = np.ones(len(w.of), bool)
-    keep[1:] = w.of[1:] != w.of[:-1]
-    keep[w.first[:-1][np.diff(w.first) > 0]] = True
-    return w.of[keep], np.concatenate([[0], np.cumsum(keep)])[w.first]
-
-
 class Inputs:
     """Hashed features of the distinct words of some texts."""
 
@@ -214,20 +207,14 @@ class ToxicModel:
         rng = np.random.default_rng(seed)
         at, mask, text, parts, base = [], [], [], [], 0
         for first, x in words_in(texts):
-            words, begins = read_once(x)
-            start, n, of = windows_of(begins)
-            order = rng.permutation(len(of))  # all windows of toxic texts; of other long ones as many as training looks at, any of them
-            order = order[np.argsort(of[order], kind="stable")]
-            rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
-            order = order[(rank < TEXT_WINDOWS) | (labels[of[order] + first] == 1)]
+            start, n, of = windows_of(x.first)
             place = np.arange(WIDTH)[:, None]
-            ok = place < n[order]
-            used, where = np.unique(words[np.where(ok, start[order] + place, 0)], return_inverse=True)
-            at.append((where.reshape(ok.shape) + base).astype(np.int32))
+            ok = place < n
+            at.append((np.where(ok, x.of[np.where(ok, start + place, 0)], 0) + base).astype(np.int32))
             mask.append(ok)
-            text.append(of[order] + first)
-            parts.append(Inputs(x).only(used))
-            base += len(used)
+            text.append(of + first)
+            parts.append(Inputs(x))
+            base += len(x.distinct)
         whole = Inputs.joined(parts)
         at, mask, text = np.concatenate(at, 1), np.concatenate(mask, 1), np.concatenate(text)
         y, adam = labels[text].astype(np.float32), {"t": 0, "rng": rng}
@@ -254,24 +241,23 @@ class ToxicModel:
             use = use[rng.permutation(len(use))]
             for i in range(0, len(use), BATCH):
                 b = use[i : i + BATCH]
-                self._step(whole, at[:, b], mask[:, b], y[b], weight[b], adam, RATE * (1 - 0.8 * epoch / steps))
+                clean = b[y[b] == 0][:RUNS]
+                pair = at[:, clean][rng.integers(0, np.maximum(1, mask[:, clean].sum(0)), (2, len(clean))), np.arange(len(clean))]
+                pair[1, ::2] = pair[0, ::2]
+                runs = pair[np.arange(WIDTH) % 2]
+                self._step(whole, np.concatenate([at[:, b], runs], 1), np.concatenate([mask[:, b], np.ones(runs.shape, bool)], 1), np.append(y[b], np.zeros(len(clean))), np.append(weight[b], np.ones(len(clean), np.float32)), adam, RATE * (1 - 0.8 * epoch / steps))
         return self
 
     def _scores(self, x: Inputs, at: np.ndarray, mask: np.ndarray, block: int = 2048) -> np.ndarray:
-        out = []
-        for i in range(0, at.shape[1], block):
-            used, where = np.unique(at[:, i : i + block], return_inverse=True)
-            m = mask[:, i : i + block]
-            out.append(self.read(self.gates(self.vectors(x.only(used))), where.reshape(m.shape), m))
-        return np.concatenate(out)
+        gates = self.gates(self.vectors(x))
+        return np.concatenate([self.read(gates, at[:, i : i + block], mask[:, i : i + block]) for i in range(0, at.shape[1], block)])
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """The highest probability of each text's windows."""
         out = np.zeros(len(texts))
         place = np.arange(WIDTH)[:, None]
         for first, x in words_in(texts):
-            words, begins = read_once(x)
-            start, n, of = windows_of(begins)
+            start, n, of = windows_of(x.first)
             if not len(of):
                 continue
             gates, logit = self.gates(self.vectors(Inputs(x))), np.empty(len(of), np.float32)
@@ -280,7 +266,7 @@ class ToxicModel:
                 for i in range(0, len(rows), 2048):
                     b = rows[i : i + 2048]
                     ok = place < n[b]
-                    logit[b] = self.read(gates, words[np.where(ok, start[b] + place, 0)], ok)
+                    logit[b] = self.read(gates, x.of[np.where(ok, start[b] + place, 0)], ok)
             np.maximum.at(out, first + of, _sigmoid(logit.astype(np.float64)))
         return out
 

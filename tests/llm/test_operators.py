@@ -420,15 +420,34 @@ def test_exact_topk_asks_a_query_once_whatever_its_block(spark, monkeypatch):
     assert len(once) == 20 and rows(asked.union(asked).coalesce(1)) == once
 
 
-def test_toxicity_fits_on_every_window_of_toxic_texts(monkeypatch):
+def test_toxicity_fits_on_every_window(monkeypatch):
     from palimpsest.llm import toxicity
 
     seen = []
     scores = ToxicModel._scores
     monkeypatch.setattr(ToxicModel, "_scores", lambda self, x, at, mask: seen.append(at.shape[1]) or scores(self, x, at, mask))
     r = random.Random(5)
-    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(48 + 32 * 59)) for _ in range(2)]
-    n = [len(toxicity.windows_of(toxicity.read_once(x)[1])[0]) for t in texts for _, x in toxicity.words_in([t])]
-    assert min(n) > 2 * toxicity.TEXT_WINDOWS
-    ToxicModel().fit(texts, np.array([1.0, 0.0]))
-    assert set(seen) == {n[0] + toxicity.TEXT_WINDOWS}
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(48 + 32 * 59)) for _ in range(2)] + ["same " * 500]
+    n = [len(toxicity.windows_of(x.first)[0]) for t in texts for _, x in toxicity.words_in([t])]
+    assert n == [60, 60, 1 + -(-(500 - 48) // 32)]
+    ToxicModel().fit(texts, np.array([1.0, 0.0, 0.0]))
+    assert set(seen) == {sum(n)}
+
+
+def test_toxicity_scores_the_highest_of_all_windows():
+    r = random.Random(6)
+    model = ToxicModel()
+    model.p["out"] *= 5
+    words = [f"w{r.randrange(900)}" for _ in range(700)] + ["same"] * 90
+    starts = [*range(0, len(words) - 48, 32), len(words) - 48]
+    parts = model.score(pa.array([" ".join(words[a : a + 48]) for a in starts]))
+    assert model.score(pa.array([" ".join(words), None, ""])).tolist() == pytest.approx([parts.max(), 0, 0], abs=1e-5)
+
+
+def test_runs_of_a_word_are_not_toxic():
+    r = random.Random(0)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    labels = np.array([i % 4 == 0 for i in range(300)], float)
+    texts = [" ".join([*(r.choice(vocabulary) for _ in range(r.randint(20, 90))), *["vilest" + r.choice(vocabulary)[:2]] * int(y)]) for y in labels]
+    model = ToxicModel().fit(texts, labels)
+    assert (model.score(pa.array([f"{w} " * n for w in vocabulary[:20] for n in (3, 60, 400)])) < 0.5).all()
