@@ -12,8 +12,8 @@ Training is numpy back-propagation through time on the bounded sample of
 training_sample(), all windows of it. Labels are of texts, so it starts from some
 windows of each text with the text's label, and goes on with the window of each
 toxic text that scores highest, and of the others with the highest and some more.
-Each step also reads some windows that hold a word or two of a clean window over
-and over, since few samples show the states that such runs lead to. Scoring reads
+These later steps also read some windows that hold a word or two of a clean window
+over and over, since few samples show the states that such runs lead to. Scoring reads
 every whole text where it lies, with no exchange.
 
 Defined cases: null and empty texts have no window and score 0; with no labelled
@@ -35,8 +35,8 @@ from .labels import Words, fit_in_task, held_out, training_sample, words_in
 WIDTH, STRIDE = 48, 32
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 15, 16, 6, 10, 8, 8
 GRAMS = (3, 4, 5)
-#: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES. Windows of runs in a step, and their weight.
-WORD_DROP, STEPS, MOST_PASSES, RUNS, RUN_WEIGHT = 0.5, (80, 160), 60, 8, 0.2
+#: Share of words whose own vectors a step leaves out. Steps of either kind at least, within MOST_PASSES. Windows of runs in a step of the later kind.
+WORD_DROP, STEPS, MOST_PASSES, RUNS = 0.5, (80, 160), 60, 12
 #: Windows of a step; windows of any text that a pass takes at first; highest windows of a text that isn't toxic that later
 #: passes take; passes of either kind; highest weight of a toxic window.
 BATCH, NOISY, HARD, EPOCHS, MOST_WEIGHT, RATE, SEED = 256, 6, 2, (2, 6), 4, 0.015, 11
@@ -241,11 +241,11 @@ class ToxicModel:
             use = use[rng.permutation(len(use))]
             for i in range(0, len(use), BATCH):
                 b = use[i : i + BATCH]
-                clean = b[y[b] == 0][:RUNS]
+                clean = b[y[b] == 0][: RUNS * (epoch >= epochs[0])]
                 pair = at[:, clean][rng.integers(0, np.maximum(1, mask[:, clean].sum(0)), (2, len(clean))), np.arange(len(clean))]
                 pair[1, ::2] = pair[0, ::2]
                 runs = pair[np.arange(WIDTH) % 2]
-                self._step(whole, np.concatenate([at[:, b], runs], 1), np.concatenate([mask[:, b], np.ones(runs.shape, bool)], 1), np.append(y[b], np.zeros(len(clean))), np.append(weight[b], np.full(len(clean), RUN_WEIGHT, np.float32)), adam, RATE * (1 - 0.8 * epoch / steps))
+                self._step(whole, np.concatenate([at[:, b], runs], 1), np.concatenate([mask[:, b], np.ones(runs.shape, bool)], 1), np.append(y[b], np.zeros(len(clean))), np.append(weight[b], np.ones(len(clean), np.float32)), adam, RATE * (1 - 0.8 * epoch / steps))
         return self
 
     def _scores(self, x: Inputs, at: np.ndarray, mask: np.ndarray, block: int = 2048) -> np.ndarray:

@@ -442,16 +442,3 @@ def test_toxicity_scores_the_highest_of_all_windows():
     starts = [*range(0, len(words) - 48, 32), len(words) - 48]
     parts = model.score(pa.array([" ".join(words[a : a + 48]) for a in starts]))
     assert model.score(pa.array([" ".join(words), None, ""])).tolist() == pytest.approx([parts.max(), 0, 0], abs=1e-5)
-
-
-def test_reading_runs_in_training_lowers_their_scores(monkeypatch):
-    from palimpsest.llm import toxicity
-
-    r = random.Random(0)
-    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
-    labels = np.array([i % 4 == 0 for i in range(300)], float)
-    texts = [" ".join([*(r.choice(vocabulary) for _ in range(r.randint(20, 90))), *["vilest" + r.choice(vocabulary)[:2]] * int(y)]) for y in labels]
-    runs = pa.array([f"{w} " * n for w in vocabulary[:100] for n in (3, 60, 400)])
-    with_runs = ToxicModel().fit(texts, labels).score(runs).mean()
-    monkeypatch.setattr(toxicity, "RUNS", 0)
-    assert with_runs < ToxicModel().fit(texts, labels).score(runs).mean() - 0.2
