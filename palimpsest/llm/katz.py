@@ -1,21 +1,27 @@
-"""Language-model scores by Katz backoff over word pairs.
+"""Language-model scores by Katz backoff over n-grams.
 
 Counts of 1 to K_MAX are discounted by Good-Turing estimates, at the level of words
-and of pairs; what that frees goes to words not seen after a context, by their
-own probability, with backoff weights that make every context's probabilities
-add up to 1. Unknown words are one class, which gets what words' discounts free.
-Where a level frees nothing, as when all counts are high, RESERVE of a count is
-set aside for what it hasn't seen.
-
-Texts are dealt into groups by row. Each group asks for the counts of its
-distinct words, then of its distinct pairs, from buckets by hash, where the
-counts of all groups add up; answers come back in the order of the questions.
-Pairs go to their context's bucket, where its discounted mass and the
-probability of the words seen after it are summed up; contexts with more than a
-bucket's fair share of all tokens, of which there are at most HOT for each
-bucket, are spread over all buckets by pair. The answers are tables by group and
-bucket. A pair that isn't found falls back to its context's weight and the
-word's own probability; so does a context that isn't found, with weight 1.
+and of each longer n-gram; what that frees goes to words not seen after a context, by
+their probability after the context without its first word, down to that of the
+word alone, with backoff weights that make every context's probabilities add up
+to 1. Unknown words are one class, which gets what words' discounts free. Where a
+level frees nothing, as when all counts are high, RESERVE of a count is set aside
+for what it hasn't seen. A text starts with one start mark, which is context only.
+
+Texts are cut into slices of about SLICE bytes, which are written as a table of
+word numbers. Level by level, each slice asks for the counts of its distinct
+n-grams from buckets, where the counts of all slices add up; the answers, tables by
+slice and bucket, come back in the order of the questions, with a number for
+each n-gram that occurs, which is its name as a context at the next level. Words
+go by 64-bit hashes, longer n-grams by the exact numbers of context and word.
+
+An n-gram goes to its context's bucket, where the context's counts of counts and the
+lower-order probability of the words seen after it are summed up; contexts with
+more than a bucket's fair share of all tokens, of which there are at most HOT for
+each bucket, are spread over all buckets by word, and their sums added up.
+The number of buckets follows the bytes of text, so that a bucket's questions stay
+of one size. An n-gram that isn't found falls back to its context's weight and the
+shorter context's probability; a context that isn't found has weight 1.
 
 Defined cases: null and empty texts consist of the end only; rows without id
 count as training rows; repeated rows count and are scored each; without any
@@ -24,30 +30,28 @@ training row a text's score and base score are those of unknown words.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import blob_batch, checkpointed, group_edges, in_groups, of_group, shuffle_partitions, table
+from .common import blob_batch, checkpointed, group_edges, shuffle_partitions, table
 from .kernels import U, hash_words, mix, text_slices, words_of
 
-K_MAX, RESERVE, HOT = 5, 0.5, 4
+ORDER, K_MAX, RESERVE, HOT = 3, 5, 0.5, 4
 FOLDS, HELD_OUT = 5, 1
-#: Hashes of a text's start, which is only a context, and its end, which never is one.
-START, END = U(0x5354415254), U(0x454E44)
-#: Bits of a word's hash that tell the words after one context apart.
-NEXT_BITS = 40
-#: Bytes of text that are worked on at a time.
-SLICE = 4_000_000
-ASK = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("data", pa.binary())])
-ANSWER = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
-ASK_DDL, ANSWER_DDL = "bucket int, g int, data binary", "kind int, g int, bucket int, data binary, stats array<double>, context long"
+#: Hash of a text's end, which is a word that is never a context. Numbers of the unknown word and of the start; words follow.
+END, UNKNOWN, START, FIRST_ID = U(0x454E44), 0, 1, 2
+#: Bytes of text of a slice, and for each bucket.
+SLICE, BUCKET = 4_000_000, 8_000_000
+ASK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())])
+ANSWER = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
+ASK_DDL, ANSWER_DDL = "bucket int, slice long, data binary", "kind int, slice long, bucket int, data binary, stats array<double>, context long"
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -94,298 +98,327 @@ class Unigrams:
         return np.where(count > 0, seen, self.unknown)
 
 
-def _tokens(texts: pa.Array):
-    """(hashes of all words and ends, first token of each text) of a group."""
-    words, first, base = [], [np.zeros(1, np.int64)], 0
-    for _, _, buf, off in text_slices(texts):
-        buf, s, e, f = words_of(buf, off, lower=True)
-        words.append(np.insert(hash_words(buf, s, e), f[1:], END))
-        first.append(f[1:] + np.arange(1, len(f)) + base)
-        base = int(first[-1][-1])
-    return (np.concatenate(words) if words else np.zeros(0, U)), np.concatenate(first)
-
-
-def _ordered(t: pa.Table) -> pa.Table:
-    """A group's rows in an order that is the same in every read."""
-    return t.take(pa.array(np.argsort(np.asarray(t.column("uid")), kind="stable")))
-
-
-def _group(t: pa.Table):
-    tokens, first = _tokens(t.column("text"))
-    train = np.repeat(np.asarray(t.column("train")), np.diff(first))
-    distinct, of = np.unique(tokens, return_inverse=True)
-    return tokens, first, train, distinct, of
-
-
-def _slices(t: pa.Table) -> list[pa.Table]:
-    """A group in parts of about SLICE bytes of text, by row names, the same in every read; a group is never worked on whole."""
-    t = _ordered(t)
-    size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(t.column("text")), 0)).astype(np.int64) + 1)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(size // SLICE)) + 1, [t.num_rows]])
-    return [t.slice(a, b - a) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
-
-
-def _framed(parts: list[bytes]) -> bytes:
-    """Parts in one compressed piece, their own length first."""
-    data = b"".join([np.array([len(parts), *map(len, parts)], np.uint32).tobytes(), *parts])
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on, or of floats, as compressed bytes: of as many bytes as needed each, like bytes together."""
+    head, parts = [len(columns)], []
+    for c in columns:
+        real = c.dtype.kind == "f"
+        raw = np.ascontiguousarray(c, np.float64 if real else np.uint64)
+        width = 8 if real else max(1, -(-int(raw.max(initial=0)).bit_length() // 8))
+        head += [int(real), width, len(raw)]
+        parts.append(raw.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    data = b"".join([np.array(head, np.uint32).tobytes(), *parts])
     return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def _unframed(data: bytes) -> list[bytes]:
+def loosened(data: bytes) -> list[np.ndarray]:
+    """The columns that squeezed() took, as int64 or float64."""
     data = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     n = int(np.frombuffer(data, np.uint32, 1)[0])
-    cut = 4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint32, n, 4).astype(np.int64))])
-    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    head, at, out = np.frombuffer(data, np.uint32, 3 * n, 4).reshape(n, 3).tolist(), 4 + 12 * n, []
+    for real, width, size in head:
+        raw = np.zeros((size, 8), np.uint8)
+        raw[:, :width] = np.frombuffer(data, np.uint8, width * size, at).reshape(width, size).T
+        out.append(raw.view(np.float64 if real else np.int64).ravel())
+        at += width * size
+    return out
+
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Rising numbers as their differences."""
+    return np.diff(x.view(np.int64), prepend=np.int64(0)).view(U)
 
-def _by_bucket(slices: list[dict[int, bytes]], g: int) -> list[tuple[int, int, bytes]]:
-    """(bucket, g, what each slice has for it)."""
-    return [(b, g, _framed([s.get(b, b"") for s in slices])) for b in sorted(set().union(*slices))] if slices else []
 
+def _home(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of mixed 64-bit numbers; it rises with them."""
+    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
-class Pairs:
-    """A slice's distinct pairs of a known context and a word, by bucket, context and word; unknown words are one."""
 
-    def __init__(self, t: pa.Table, answers: dict[int, bytes], buckets: int, u: Unigrams):
-        self.tokens, self.first, self.train, distinct, self.of = _group(t)
-        bucket = (distinct % U(buckets)).astype(np.int64)
-        count = np.zeros(len(distinct), np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b, data in answers.items():
-            count[order[cut[b] : cut[b + 1]]] = np.frombuffer(data, np.int64)
-        self.count = count[self.of]  # of each token
-        del self.of
-        n_texts = int(count[np.searchsorted(distinct, END)]) if len(distinct) and END in distinct else 0
+def _slice_rows(texts: pa.Array, train: np.ndarray):
+    """(sorted distinct words and ends, how often each in training, word numbers, first word of each text)."""
+    words, first, base = [], [np.zeros(1, np.int64)], 0
+    for _, _, buf, off in text_slices(texts):
+        buf, s, e, f = words_of(buf, off, lower=True)
+        words.append(np.insert(hash_words(buf, s, e), f[1:], END))
+        first.append(f[1:] + np.arange(1, len(f)) + base)
+        base = int(first[-1][-1])
+    first = np.concatenate(first)
+    distinct, of = np.unique(np.concatenate(words), return_inverse=True)
+    return distinct, np.bincount(of, np.repeat(train, np.diff(first)), len(distinct)).astype(np.int64), of, first
+
+
+@dataclass
+class Level:
+    """What scoring needs of one order above words: discounts, and the figures of hot contexts by their numbers."""
+
+    d: np.ndarray
+    hot: np.ndarray
+    figures: np.ndarray
+
+
+class Slice:
+    """A slice's n-grams and what is known of them, as far as answers have come."""
+
+    def __init__(self, row: dict, answers: list[dict[int, bytes]], buckets: int, u: Unigrams, levels: list[Level]):
+        self.buckets, self.u = buckets, u
+        hashes, self.times = loosened(row["words"])
+        self.tokens, self.first = loosened(row["tokens"])
+        self.train = np.repeat(np.asarray(row["train"], bool), np.diff(self.first))
+        self.hashes = np.cumsum(hashes).view(U)
+        if not answers:
+            return
+        n = len(self.hashes)
+        replies = [loosened(data) for _, data in sorted(answers[0].items())]
+        self.count = np.concatenate([r[0] for r in replies])
+        #: Numbers and counts of the slice's words, of the unknown word, and of the start.
+        ends = self.hashes == END
+        self.ids = np.concatenate([*(r[1] for r in replies), [UNKNOWN, START]])
+        self.word_counts = np.append(self.count, [0, int(self.count[ends][0]) if ends.any() else 0])
+        self.p = u.p(self.count[self.tokens])
+        # For the next level: each token's context by its place in ctx_ids and ctx_counts, its lower count, and what that count is multiplied by.
         begins = np.zeros(len(self.tokens), bool)
         begins[self.first[:-1]] = True
-        self.context = np.where(begins, START, np.concatenate([[START], self.tokens[:-1]]))
-        self.context_count = np.where(begins, n_texts, np.concatenate([[0], self.count[:-1]]))
-        self.hot = self.context_count * (HOT * buckets) > u.tokens
-        ok = np.flatnonzero(self.context_count > 0)  # an unknown word asks too, for its context's weight
-        nxt = np.where(self.count[ok] > 0, mix(self.tokens[ok]) >> U(64 - NEXT_BITS), U(0))
-        home = np.where(self.hot[ok], mix(self.context[ok] + nxt) % U(buckets), mix(self.context[ok]) % U(buckets)).astype(np.int64)
-        order = np.lexsort((nxt, self.context[ok], home))
-        b, c, x = home[order], self.context[ok][order], nxt[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (x[1:] != x[:-1])
-        at = np.flatnonzero(new)
-        self.of_token = np.full(len(self.tokens), -1)
-        self.of_token[ok[order]] = np.cumsum(new) - 1
-        #: Of each distinct pair: bucket, context, next word, count of the word, whether the context is hot.
-        self.bucket, self.ctx, self.nxt = b[at], c[at], x[at]
-        self.word_count, self.is_hot = self.count[ok][order][at], self.hot[ok][order][at]
-        self.times = np.add.reduceat(self.train[ok][order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-        head = np.ones(len(at), bool)
-        head[1:] = (self.bucket[1:] != self.bucket[:-1]) | (self.ctx[1:] != self.ctx[:-1])
+        self.begins, self.ctx = begins, np.where(begins, n + 1, np.concatenate([[n + 1], self.tokens[:-1]]))
+        self.ctx_ids, self.ctx_counts = self.ids, self.word_counts
+        self.low, self.norm = self.count[self.tokens], np.full(len(self.tokens), u.scale / max(u.tokens, 1))
+        self.of_word = np.where(self.count[self.tokens] > 0, self.tokens, n)
+        for level, reply in zip(levels, answers[1:], strict=True):
+            self._grams()
+            self._take(level, reply)
+
+    def _grams(self) -> None:
+        """Distinct n-grams of a context that occurs and a word, by bucket, context and word; unknown words are one."""
+        ok = np.flatnonzero(self.ctx >= 0)
+        ok = ok[self.ctx_counts[self.ctx[ok]] > 0]
+        width = len(self.ids)
+        key, example, of = np.unique(self.ctx[ok] * width + self.of_word[ok], return_index=True, return_inverse=True)
+        ctx, word = key // width, key % width
+        ctx_id, word_id = self.ctx_ids[ctx], self.ids[word]
+        is_hot = self.ctx_counts[ctx] * (HOT * self.buckets) > self.u.tokens
+        h = mix(ctx_id.astype(U))
+        home = _home(np.where(is_hot, mix(h + word_id.astype(U)), h), self.buckets)
+        order = np.lexsort((word_id, ctx_id, home))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        #: Each token's n-gram, -1 where its context doesn't occur.
+        self.gram = np.full(len(self.tokens), -1)
+        self.gram[ok] = back[of]
+        token = ok[example[order]]
+        self.home, self.ctx_id, self.word_id, self.is_hot, self.ctx_count = home[order], ctx_id[order], word_id[order], is_hot[order], self.ctx_counts[ctx[order]]
+        self.gram_low, self.gram_norm = self.low[token], self.norm[token]
+        self.gram_times = np.bincount(self.gram[ok], self.train[ok], len(order)).astype(np.int64)
+        head = np.ones(len(order), bool)
+        head[1:] = (self.home[1:] != self.home[:-1]) | (self.ctx_id[1:] != self.ctx_id[:-1])
         #: Runs of one context in one bucket.
-        self.heads = np.append(np.flatnonzero(head), len(at))
-        self.cut = np.searchsorted(self.bucket, np.arange(buckets + 1))
+        self.heads, self.run = np.append(np.flatnonzero(head), len(order)), np.cumsum(head) - 1
+        self.cut = np.searchsorted(self.home, np.arange(self.buckets + 1))
+        self.runs = np.searchsorted(self.heads, self.cut)
+
+    def ask_words(self):
+        cut = np.searchsorted(_home(self.hashes, self.buckets), np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)):
+            yield int(b), squeezed(_steps(self.hashes[cut[b] : cut[b + 1]]), self.times[cut[b] : cut[b + 1]])
 
     def ask(self):
-        """(bucket, bytes): contexts with their numbers of words, then columns of the pairs, low and high parts apart."""
-        runs = np.searchsorted(self.heads, self.cut)
+        """(bucket, bytes): contexts, whether they are hot, factors of their lower counts, numbers of words; words, times, lower counts."""
+        self._grams()
         for b in np.flatnonzero(np.diff(self.cut)):
-            p, r = slice(self.cut[b], self.cut[b + 1]), slice(runs[b], runs[b + 1])
-            heads = self.heads[runs[b] : runs[b + 1] + 1]
-            cols = (np.array([len(heads) - 1, self.cut[b + 1] - self.cut[b]], np.int64), self.ctx[self.heads[r]], self.is_hot[self.heads[r]].astype(np.uint8), np.diff(heads).astype(np.uint32), (self.nxt[p] & U(0xFFFFFFFF)).astype(np.uint32), (self.nxt[p] >> U(32)).astype(np.uint8), self.times[p].astype(np.uint32), (self.word_count[p] & 0xFFFF).astype(np.uint16), (self.word_count[p] >> 16).astype(np.uint32))
-            yield int(b), b"".join(c.tobytes() for c in cols)
+            p, heads = slice(self.cut[b], self.cut[b + 1]), self.heads[self.runs[b] : self.runs[b + 1] + 1]
+            at = heads[:-1]
+            yield int(b), squeezed(_steps(self.ctx_id[at]), self.is_hot[at], self.gram_norm[at], np.diff(heads), self.word_id[p], self.gram_times[p], self.gram_low[p])
+
+    def _take(self, level: Level, reply: dict[int, bytes]) -> None:
+        """Goes one level up with the answers to ask()."""
+        n = len(self.home)
+        total, ids, figures = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((len(self.heads) - 1, K_MAX + 1))
+        for b, data in reply.items():
+            count, index, sums, *few = loosened(data)
+            p, r = slice(self.cut[b], self.cut[b + 1]), slice(self.runs[b], self.runs[b + 1])
+            total[p] = count
+            ids[p] = np.where(index > 0, (index - 1) * self.buckets + b + 1, 0) if len(index) else 0
+            figures[r, :-1], figures[r, -1] = np.stack(few, 1), sums
+        at = self.heads[:-1]
+        hot = np.flatnonzero(self.is_hot[at])
+        if len(hot):
+            figures[hot] = level.figures[np.searchsorted(level.hot, self.ctx_id[at[hot]])]
+        c = self.ctx_count[at].astype(float)
+        free = (figures[:, :-1] * (np.arange(1, K_MAX + 1) * (1 - level.d[1 : K_MAX + 1]))).sum(1) / np.maximum(c, 1)  # what discounts free
+        least = RESERVE / (c + RESERVE)
+        scale = np.where(free >= least, 1.0, (1 - least) / np.maximum(1 - free, 1e-300))
+        back = np.maximum(free, least) / np.maximum(1 - figures[:, -1], 1e-12)
+        has = self.gram >= 0
+        gram = self.gram[has]
+        run, count = self.run[gram], total[gram]
+        self.p = self.p.copy()
+        norm = scale / np.maximum(c, 1)
+        self.p[has] = np.where(count > 0, level.d[np.minimum(count, K_MAX + 1)] * count * norm[run], back[run] * self.p[has])
+        self.norm, self.low = np.zeros(len(self.tokens)), np.zeros(len(self.tokens), np.int64)
+        self.norm[has], self.low[has] = norm[run], count
+        self.ctx_ids, self.ctx_counts = ids, total
+        self.ctx = np.where(self.begins, -1, np.concatenate([[-1], self.gram[:-1]]))
+
+    def scores(self, row: dict, arrow_id: pa.DataType) -> pa.Table:
+        count, at = self.count[self.tokens], self.first[:-1]
+        plain = np.log10((count + 0.5) / (self.u.tokens + 0.5 * (self.u.kinds + 1)))
+        add = lambda x: np.add.reduceat(x, at)  # noqa: E731  every text has its end
+        return pa.table({"doc_id": pa.array(row["ids"], arrow_id), "held_out": pa.array(~np.asarray(row["train"], bool)), "n_tokens": pa.array(np.diff(self.first)), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(at), int(self.u.tokens))), "base_score": pa.array(add(plain)), "score": pa.array(add(np.log10(self.p)))})
+
+
+def _by_bucket(batches):
+    """(bucket, [(slice, data)]) of rows that come sorted by bucket; holds one bucket."""
+    now, held = None, []
+    for batch in batches:
+        column = batch.column("data")
+        for i, (b, g) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("slice").to_pylist(), strict=True)):
+            if b != now and held:
+                yield now, held
+                held = []
+            now = b
+            held.append((g, column[i].as_py()))
+    if held:
+        yield now, held
 
 
-def _asked(data: bytes):
-    """The columns that ask() packed: contexts, hot, numbers of words; low and high bits of words, counts, low and high bits of words' counts."""
-    n, m = np.frombuffer(data, np.int64, 2)
-    at, out = 16, []
-    for kind, size in ((np.uint64, n), (np.uint8, n), (np.uint32, n), (np.uint32, m), (np.uint8, m), (np.uint32, m), (np.uint16, m), (np.uint32, m)):
-        out.append(np.frombuffer(data, kind, size, at))
-        at += out[-1].nbytes
-    return out[0], out[1] > 0, out[2].astype(np.int64), *out[3:]
+def _counts_of_counts(total: np.ndarray) -> list[float]:
+    """Tokens, kinds, and how many kinds occur 0, 1, ... K_MAX + 1 times."""
+    few = np.bincount(np.minimum(total, K_MAX + 2), minlength=K_MAX + 3).astype(float)
+    return [float(total.sum()), float((total > 0).sum()), *few[: K_MAX + 2]]
 
 
-def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; held_out is a condition on docs."""
     spark = docs.sparkSession
-    groups, buckets = shuffle_partitions(spark), 2 * shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"))
-    texts = in_groups(rows.withColumn("g", F.pmod("uid", F.lit(groups)).cast("int")), "g", groups).groupBy("g")
-    arrow_id = to_arrow_type(rows.schema["doc_id"].dataType)
-
-    def ask_words(key, t):
-        out = []
-        for part in _slices(of_group(t)):
-            _, _, train, distinct, of = _group(part)
-            times = np.bincount(of, train, len(distinct)).astype(np.uint32)
-            bucket = (distinct % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out.append({int(b): distinct[x := order[cut[b] : cut[b + 1]]].tobytes() + times[x].tobytes() for b in np.flatnonzero(np.diff(cut))})
-        return pa.Table.from_batches([blob_batch(_by_bucket(out, key[0].as_py()), ASK)], ASK)
-
-    def by_bucket(batches):
-        """(bucket, [(g, data)]) of rows that come sorted by bucket; holds one bucket."""
-        now, held = None, []
+    rows = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"))
+    id_type = rows.schema["doc_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+    sliced = T.StructType([T.StructField("slice", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+
+    def cut(batches):
+        def out():
+            t = pa.concat_tables(held)
+            train = np.asarray(t.column("train").combine_chunks().fill_null(True))
+            distinct, times, of, first = _slice_rows(t.column("text"), train)
+            row = [uuid.uuid4().int >> 65, size, t.column("doc_id").to_pylist(), train.tolist(), squeezed(_steps(distinct), times), squeezed(of, first)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(arrow_id), pa.list_(pa.bool_()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=sliced.names)
+
+        held, size = [], 0
         for batch in batches:
-            column = batch.column("data")
-            for i, (b, g) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("g").to_pylist(), strict=True)):
-                if b != now and held:
-                    yield now, held
-                    held = []
-                now = b
-                held.append((g, column[i].as_py()))
+            for a, b, buf, _ in text_slices(batch.column("text"), SLICE):
+                if held and size + len(buf) > SLICE:
+                    yield out()
+                    held, size = [], 0
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+                size += len(buf)
         if held:
-            yield now, held
+            yield out()
+
+    slices = checkpointed(rows.mapInArrow(cut, sliced))
+    size = slices.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
 
     def answered(asked: DataFrame, answer) -> DataFrame:
         """Each bucket's questions answered in one place, a bucket a partition or so."""
         return checkpointed(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWER_DDL))
 
-    def answer_words(batches):
-        for b, asked in by_bucket(batches):
-            asked = [(g, _unframed(data)) for g, data in asked]
-            parts = [data for _, slices in asked for data in slices]
-            size = [len(data) // 12 for data in parts]
-            h = np.concatenate([np.frombuffer(data, U, n) for data, n in zip(parts, size, strict=True)])
-            times = np.concatenate([np.frombuffer(data, np.uint32, n, 8 * n) for data, n in zip(parts, size, strict=True)]).astype(np.int64)
-            _, of = np.unique(h, return_inverse=True)
-            total = np.bincount(of, times).astype(np.int64)
-            cut = np.concatenate([[0], np.cumsum(size)])
-            replies = iter([total[of[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)])
-            out = [(0, g, b, _framed([next(replies) for _ in slices]), None, None) for g, slices in asked]
-            few = np.bincount(np.minimum(total, K_MAX + 2), minlength=K_MAX + 3).astype(float)
-            out.append((1, None, b, None, [float(total.sum()), float((total > 0).sum()), *few[: K_MAX + 2]], None))
-            yield blob_batch(out, ANSWER)
-
     def stats_of(answers: DataFrame) -> list[float]:
         """Sums over buckets of what they counted; a row a bucket, summed up by Spark."""
-        n = K_MAX + 4
-        r = answers.where("kind = 1").agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0.0)) for i in range(n)]).first()
+        r = answers.where("kind = 1").agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0.0)) for i in range(K_MAX + 4)]).first()
         return [float(x) for x in r]
 
-    words = answered(texts.applyInArrow(ask_words, ASK_DDL), answer_words)
-    tokens, kinds, *few = stats_of(words)
-    u = Unigrams.of(tokens, kinds, few)
-
-    def answers_of(t: pa.Table, source: int) -> dict[int, list[bytes]]:
-        """The answers to a group's slices, by bucket."""
-        mine = t.filter(pa.compute.equal(t.column("source"), source))
-        return {b: _unframed(data) for b, data in zip(mine.column("bucket").to_pylist(), mine.column("data").to_pylist(), strict=True)}
-
-    def of_slice(answers: dict[int, list[bytes]], i: int) -> dict[int, bytes]:
-        return {b: x[i] for b, x in answers.items() if x[i]}
-
-    def ask_pairs(key, t, known):
-        g = key[0].as_py()
-        if not t.num_rows:
-            return pa.Table.from_batches([], ASK)
-        known = answers_of(known, 0)
-        out = [dict(Pairs(part, of_slice(known, i), buckets, u).ask()) for i, part in enumerate(_slices(of_group(t)))]
-        return pa.Table.from_batches([blob_batch(_by_bucket(out, g), ASK)], ASK)
-
-    def answer_pairs(batches):
-        for b, asked in by_bucket(batches):
-            asked = [(g, _unframed(data)) for g, data in asked]
-            parts = [_asked(data) for _, slices in asked for data in slices if data]
-            column = lambda i: np.concatenate([p[i] for p in parts])
-            ctx, nxt = np.concatenate([np.repeat(p[0], p[2]) for p in parts]), column(3).astype(U)
-            nxt |= column(4).astype(U) << U(32)
-            order = np.lexsort((nxt, ctx))
-            ctx, nxt = ctx[order], nxt[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (ctx[1:] != ctx[:-1]) | (nxt[1:] != nxt[:-1])
-            at = np.flatnonzero(new)
-            del nxt
-            total = np.add.reduceat(column(5)[order].astype(np.int64), at)
-            of = np.empty(len(order), np.int32)
-            of[order] = np.cumsum(new) - 1
-            first = order[at]
-            count = column(6)[first].astype(np.int64) | column(7)[first].astype(np.int64) << 16
-            hot = np.concatenate([np.repeat(p[1], p[2]) for p in parts])[first]
-            c = ctx[at]
-            del ctx, order, new
-            runs = group_edges(c)
-            seen = total > 0
-            figures = [np.add.reduceat((total == r).astype(float), runs[:-1]) for r in range(1, K_MAX + 1)]
-            figures.append(np.add.reduceat(np.where(seen, u.p(count), 0.0), runs[:-1]))
-            figures, of_run = np.stack(figures, 1), c[runs[:-1]]
-            cut, out, i = np.cumsum([0, *(int(p[2].sum()) for p in parts)]), [], 0
-            for g, slices in asked:
-                replies = []
-                for data in slices:
-                    if not data:
-                        replies.append(b"")
-                        continue
-                    mine = figures[np.searchsorted(of_run, parts[i][0])]
-                    n = total[of[cut[i] : cut[i + 1]]]
-                    replies.append(b"".join(x.tobytes() for x in (n.astype(np.uint32), mine[:, :-1].astype(np.uint32).T.copy(), mine[:, -1].copy())))
-                    i += 1
-                out.append((0, g, b, _framed(replies), None, None))
-            few = np.bincount(np.minimum(total, K_MAX + 2), minlength=K_MAX + 3).astype(float)
-            out.append((1, None, b, None, [float(total.sum()), float(seen.sum()), *few[: K_MAX + 2]], None))
-            is_hot = hot[runs[:-1]]
-            out += [(2, None, b, None, list(map(float, figures[k])), int(of_run[k : k + 1].view(np.int64)[0])) for k in np.flatnonzero(is_hot)]
-            yield blob_batch(out, ANSWER)
-
-    known = words.where("kind = 0").select("g", F.lit(0).alias("source"), "bucket", "data")
-    counted = answered(texts.cogroup(known.groupBy("g")).applyInArrow(ask_pairs, ASK_DDL), answer_pairs)
-    d2 = discounts(stats_of(counted)[2:])
-    sums = [F.sum(F.get("stats", F.lit(i))) for i in range(K_MAX + 1)]
-    hot = {int(r[0]): list(r)[1:] for r in counted.where("kind = 2").groupBy("context").agg(*sums).toLocalIterator()}  # at most HOT contexts a bucket
-    shared = spark.sparkContext.broadcast((u, d2, hot))
+    def ask_words(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked = [(b, row["slice"], data) for b, data in Slice(row | {"train": [], "tokens": squeezed(np.zeros(0, np.int64), np.zeros(1, np.int64))}, [], buckets, Unigrams(), []).ask_words()]
+                yield blob_batch(asked, ASK)
+
+    def answer_words(batches):
+        for b, asked in _by_bucket(batches):
+            parts = [loosened(data) for _, data in asked]
+            _, of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]).view(U), return_inverse=True)
+            total = np.bincount(of, np.concatenate([p[1] for p in parts])).astype(np.int64)
+            by_count = np.argsort(-total, kind="stable")  # frequent words have small numbers
+            ids = np.empty(len(total), np.int64)
+            ids[by_count] = np.arange(len(total)) * buckets + b + FIRST_ID
+            ids[total == 0] = UNKNOWN
+            edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+            out = [(0, g, b, squeezed(total[of[x:y]], ids[of[x:y]]), None, None) for (g, _), x, y in zip(asked, edges[:-1], edges[1:], strict=True)]
+            yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
+
+    answers = [answered(slices.select("slice", "words").mapInArrow(ask_words, ASK_DDL), answer_words)]
+    tokens, kinds, *few = stats_of(answers[0])
+    u, levels = Unigrams.of(tokens, kinds, few), []
+
+    def with_answers(run, ddl):
+        """run(slice's row, its answers by level), a slice at a time."""
+        known = [a.where("kind = 0").select("slice", F.lit(i).alias("level"), "bucket", "data") for i, a in enumerate(answers)]
+        every, n = known[0], len(known)
+        for k in known[1:]:
+            every = every.unionByName(k)
+
+        def both(t: pa.Table, replies: pa.Table) -> pa.Table:
+            if not t.num_rows:
+                return run(None, None)
+            (row,), mine = t.to_pylist(), [{} for _ in range(n)]
+            data = replies.column("data")
+            for i, (level, b) in enumerate(zip(replies.column("level").to_pylist(), replies.column("bucket").to_pylist(), strict=True)):
+                mine[level][b] = data[i].as_py()
+            return run(row, mine)
+
+        return slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(both, ddl)
+
+    for k in range(2, order + 1):
+        below, shared = (levels[-1].d if levels else u.d), spark.sparkContext.broadcast((u, levels))
+
+        def ask(row, mine, shared=shared):
+            asked = [] if row is None else [(b, row["slice"], data) for b, data in Slice(row, mine, buckets, *shared.value).ask()]
+            return pa.Table.from_batches([blob_batch(asked, ASK)])
+
+        def answer(batches, below=below, last=k == order):
+            for b, asked in _by_bucket(batches):
+                parts = [loosened(data) for _, data in asked]
+                column = lambda i: np.concatenate([p[i] for p in parts])  # noqa: E731, B023
+                ctx = np.concatenate([np.repeat(np.cumsum(p[0]), p[3]) for p in parts])
+                word = column(4)
+                by = np.lexsort((word, ctx))
+                ctx, word = ctx[by], word[by]
+                new = np.ones(len(by), bool)
+                new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
+                at = np.flatnonzero(new)
+                del word
+                total = np.add.reduceat(column(5)[by], at)
+                of = np.empty(len(by), np.int64)
+                of[by] = np.cumsum(new) - 1
+                example, c = by[at], ctx[at]
+                del ctx, new, by
+                low = column(6)[example]
+                p = below[np.minimum(low, K_MAX + 1)] * low * np.concatenate([np.repeat(p[2], p[3]) for p in parts])[example]
+                hot = np.concatenate([np.repeat(p[1], p[3]) for p in parts])[example] > 0
+                runs, seen = group_edges(c), total > 0
+                few = [np.add.reduceat((total == r).astype(np.int64), runs[:-1]) for r in range(1, K_MAX + 1)]
+                sums, of_run = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), c[runs[:-1]]
+                index = np.where(seen, np.cumsum(seen), 0)
+                edges, out = np.cumsum([0, *(len(p[4]) for p in parts)]), []
+                for (g, _), part, x, y in zip(asked, parts, edges[:-1], edges[1:], strict=True):
+                    mine, r = of[x:y], np.searchsorted(of_run, np.cumsum(part[0]))
+                    out.append((0, g, b, squeezed(total[mine], index[mine][: 0 if last else None], sums[r], *(f[r] for f in few)), None, None))
+                out += [(2, None, b, None, [*(float(f[i]) for f in few), float(sums[i])], int(of_run[i])) for i in np.flatnonzero(hot[runs[:-1]])]
+                yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
+
+        answers.append(answered(with_answers(ask, ASK_DDL), answer))
+        sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K_MAX + 1)]
+        hot = sorted(tuple(r) for r in answers[-1].where("kind = 2").groupBy("context").agg(*sums).toLocalIterator())  # at most HOT contexts a bucket
+        levels = [*levels, Level(discounts(stats_of(answers[-1])[2:]), np.array([r[0] for r in hot], np.int64), np.array([r[1:] for r in hot], float).reshape(-1, K_MAX + 1))]
 
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    schema, shared = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(n, t) for n, t in fields]]), spark.sparkContext.broadcast((u, levels))
 
-    def score(key, t, answers):
-        if not t.num_rows:
-            return pa.table({n: pa.array([], f) for n, f in zip(["doc_id", *[n for n, _ in fields]], [arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
-        first, second = answers_of(answers, 0), answers_of(answers, 1)
-        return pa.concat_tables([score_slice(part, of_slice(first, i), of_slice(second, i)) for i, part in enumerate(_slices(of_group(t)))])
-
-    def score_slice(t, words_known, pairs_known):
-        u, d2, hot = shared.value
-        p = Pairs(t, words_known, buckets, u)
-        n, figures = np.zeros(len(p.bucket), np.int64), np.zeros((len(p.heads) - 1, K_MAX + 1))
-        runs = np.searchsorted(p.heads, p.cut)
-        for b, data in pairs_known.items():
-            m, k = p.cut[b + 1] - p.cut[b], runs[b + 1] - runs[b]
-            n[p.cut[b] : p.cut[b + 1]] = np.frombuffer(data, np.uint32, m)
-            figures[runs[b] : runs[b + 1], :-1] = np.frombuffer(data, np.uint32, K_MAX * k, 4 * m).reshape(K_MAX, k).T
-            figures[runs[b] : runs[b + 1], -1] = np.frombuffer(data, np.float64, k, 4 * m + 4 * K_MAX * k)
-        ctx = p.ctx[p.heads[:-1]]
-        for i in np.flatnonzero(p.is_hot[p.heads[:-1]]):
-            figures[i] = hot.get(int(ctx[i : i + 1].view(np.int64)[0]), figures[i])
-        # Weights of contexts: by hash, once each.
-        names, where = np.unique(ctx, return_index=True)
-        f = figures[where]
-        for i in np.flatnonzero(~np.isin(np.array(list(hot), np.int64).view(U), names)) if hot else ():
-            x = np.array([list(hot)[i]], np.int64).view(U)
-            names, f = np.append(names, x), np.vstack([f, [hot[list(hot)[i]]]])
-        order = np.argsort(names)
-        names, f = names[order], f[order]
-        r = np.arange(1, K_MAX + 1)
-        lost = (f[:, :-1] * (r * (1 - d2[1 : K_MAX + 1]))).sum(1)  # counts that discounts free
-        base = u.p(p.count)
-        where = np.searchsorted(names, p.context)
-        where[where == len(names)] = 0
-        has = (names[where] == p.context) if len(names) else np.zeros(len(p.tokens), bool)
-        has &= p.context_count > 0
-        c = np.maximum(p.context_count, 1).astype(float)
-        free = (lost[where] if len(names) else 0) / c
-        least = RESERVE / (c + RESERVE)
-        scale = np.where(free >= least, 1.0, (1 - least) / np.maximum(1 - free, 1e-300))
-        free = np.maximum(free, least)
-        unseen = 1 - (f[where, -1] if len(names) else 0)
-        pair = np.where(p.of_token >= 0, n[np.maximum(p.of_token, 0)] if len(n) else 0, 0)
-        seen = d2[np.minimum(pair, K_MAX + 1)] * pair / c * scale
-        back = np.where(has, free / np.maximum(unseen, 1e-12), 1.0) * base
-        prob = np.log10(np.where(has & (pair > 0), seen, back))
-        plain = np.log10((p.count + 0.5) / (u.tokens + 0.5 * (u.kinds + 1)))
-        at = p.first[:-1]
-        add = lambda x: np.add.reduceat(x, at)  # noqa: E731  every text has its end
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.array(~np.asarray(t.column("train"))), "n_tokens": pa.array(np.diff(p.first)), "n_known": pa.array(add((p.count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(t.num_rows, int(u.tokens))), "base_score": pa.array(add(plain)), "score": pa.array(add(prob))})
+    def score(row, mine):
+        if row is None:
+            return pa.table({n: pa.array([], f) for n, f in zip(schema.names, [arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+        return Slice(row, mine, buckets, *shared.value).scores(row, arrow_id)
 
-    both = known.unionByName(counted.where("kind = 0").select("g", F.lit(1).alias("source"), "bucket", "data"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *[T.StructField(n, t) for n, t in fields]])
-    return texts.cogroup(both.groupBy("g")).applyInArrow(score, schema)
+    return with_answers(score, schema)
 
 
 def op9_katz_scores(spark, sf_dir: str) -> DataFrame:

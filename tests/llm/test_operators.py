@@ -291,48 +291,68 @@ def test_mix_comes_near_the_targets_of_small_sources(spark):
     assert sorted((x["id"], x["taken"]) for x in Mix(three).taken().collect()) == [(0, 40), (1, 33), (2, 17)]
 
 
-def test_katz_scores(spark):
+@pytest.mark.parametrize("order,buckets", [(1, 8), (2, 8), (3, 8), (3, 1), (4, 3)])
+def test_katz_scores(spark, monkeypatch, order, buckets):
+    from palimpsest.llm import katz
+    from palimpsest.llm.katz import K_MAX, RESERVE, Unigrams, discounts
+
+    monkeypatch.setattr(katz, "SLICE", 3000)
+    monkeypatch.setattr(katz, "HOT", buckets)
     texts = some_texts(5)
     df = docs_of(spark, texts)
-    got = {r["doc_id"]: r for r in katz_scores(df, F.col("doc_id") % 5 == 1).collect()}
+    got = {r["doc_id"]: r for r in katz_scores(df, F.col("doc_id") % 5 == 1, order).collect()}
     tokens = [[*words_of((t or "").translate(LOW)), None] for t in texts]
     train = [i for i in range(len(texts)) if i % 5 != 1]
-    c, pairs = Counter(), Counter()
+    c, grams = Counter(), {k: Counter() for k in range(2, order + 1)}
     for i in train:
         c.update(tokens[i])
-        pairs.update(zip([0, *tokens[i][:-1]], tokens[i], strict=True))
+        marked = (0, *tokens[i])
+        for k in grams:
+            grams[k].update(marked[j : j + k] for j in range(len(marked) - k + 1))
     n, v = sum(c.values()), len(c)
-    from palimpsest.llm.katz import K_MAX, RESERVE, Unigrams, discounts
-
     times = lambda counts: [float(sum(x == r for x in counts.values())) for r in range(K_MAX + 2)]
-    u, d = Unigrams.of(n, v, times(c)), discounts(times(pairs))
-    own = lambda w: float(u.p(np.array([c.get(w, 0)]))[0])
+    u, d = Unigrams.of(n, v, times(c)), {k: discounts(times(x)) for k, x in grams.items()}
     after = defaultdict(dict)
-    for (h, w), k in pairs.items():
-        after[h][w] = k
+    for k in grams:
+        for g, m in grams[k].items():
+            after[g[:-1]][g[-1]] = m
 
     def p(h, w):
+        if not h:
+            return float(u.p(np.array([c.get(w, 0)]))[0])
         if h not in after:
-            return own(w)
-        total = sum(after[h].values())
-        free = sum((1 - d[min(k, K_MAX + 1)]) * k for k in after[h].values()) / total
+            return p(h[1:], w)
+        total, dk = sum(after[h].values()), d[len(h) + 1]
+        free = sum((1 - dk[min(k, K_MAX + 1)]) * k for k in after[h].values()) / total
         least = RESERVE / (total + RESERVE)
         scale, free = (1, free) if free >= least else ((1 - least) / (1 - free), least)
         k = after[h].get(w, 0)
-        return d[min(k, K_MAX + 1)] * k / total * scale if k else free / (1 - sum(own(x) for x in after[h])) * own(w)
-
-    for h in [0, *list(c)[:20]]:
+        if k:
+            return dk[min(k, K_MAX + 1)] * k / total * scale
+        if h not in unseen:
+            unseen[h] = 1 - sum(p(h[1:], x) for x in after[h])
+        return free / unseen[h] * p(h[1:], w)
+
+    unseen = {}
+    for h in [(), *list(after)[:20], *list(after)[-20:]]:
         assert sum(p(h, w) for w in c) + p(h, "unknown word") == pytest.approx(1)
     for i, t in enumerate(tokens):
-        r = got[i]
+        r, marked = got[i], (0, *t)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i % 5 == 1, len(t), sum(w in c for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
-        assert r["score"] == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip([0, *t[:-1]], t, strict=True)))
-    assert katz_scores(df.where("false"), F.lit(False)).count() == 0
-    alone = katz_scores(df.where("doc_id = 6"), F.lit(True)).first()
+        assert r["score"] == pytest.approx(sum(math.log10(p(marked[max(0, j - order + 1) : j], marked[j])) for j in range(1, len(marked))))
+    assert katz_scores(df.where("false"), F.lit(False), order).count() == 0
+    alone = katz_scores(df.where("doc_id = 6"), F.lit(True), order).first()
     assert alone["train_tokens"] == 0 and alone["n_known"] == 0 and alone["score"] == 0
 
 
+def test_katz_scores_of_one_id_on_two_texts_and_of_repeated_rows(spark):
+    rows = [(1, "a b c"), (1, "c b a"), (2, "a b c"), (2, "a b c"), (None, "a b"), (None, None), (7, "")]
+    got = katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 2).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["held_out"]) for r in got) == sorted((str(i), len(words_of(t)) + 1, i == 2) for i, t in rows)
+    assert {r["train_tokens"] for r in got} == {4 + 4 + 3 + 1 + 1}
+
+
 def test_license_scan(spark):
     texts = [*some_texts(6), "Released under the MIT License.", "x under the mit license under the MIT license", "licensed under CC BY-NC 4.0 and the Apache License, Version 2.0", "This work is licensed under the GNU General Public License, version 3.", "the mit the license under of", "under the mit " * 50]
     got = sorted(with_licenses(docs_of(spark, texts)).collect(), key=lambda r: r["doc_id"])
