@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import blob_batch, checkpointed, group_edges, shuffle_partitions, table
+from ..written import checkpointed, checkpointed_parts, discard
+from .common import blob_batch, group_edges, shuffle_partitions, table
 from .kernels import U, hash_words, mix, text_slices, words_of
 
 ORDER, K_MAX, RESERVE, HOT = 3, 5, 0.5, 4
@@ -48,7 +49,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Hash of a text's end, which is a word that is never a context. Numbers of the unknown word and of the start; words follow.
 END, UNKNOWN, START, FIRST_ID = U(0x454E44), 0, 1, 2
 #: Bytes of text of a slice, and for each bucket.
-SLICE, BUCKET = 4_000_000, 8_000_000
+SLICE, BUCKET = 6_000_000, 8_000_000
 ASK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())])
 ANSWER = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
 ASK_DDL, ANSWER_DDL = "bucket int, slice long, data binary", "kind int, slice long, bucket int, data binary, stats array<double>, context long"
@@ -108,7 +109,7 @@ def squeezed(*columns: np.ndarray) -> bytes:
         head += [int(real), width, len(raw)]
         parts.append(raw.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
     data = b"".join([np.array(head, np.uint32).tobytes(), *parts])
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=4).compress(data, asbytes=True)
 
 
 def loosened(data: bytes) -> list[np.ndarray]:
@@ -135,7 +136,7 @@ def _home(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _slice_rows(texts: pa.Array, train: np.ndarray):
-    """(sorted distinct words and ends, how often each in training, word numbers, first word of each text)."""
+    """(sorted distinct words and ends, how often each in training, their places by falling count, words by that place, words of each text, the end's place)."""
     words, first, base = [], [np.zeros(1, np.int64)], 0
     for _, _, buf, off in text_slices(texts):
         buf, s, e, f = words_of(buf, off, lower=True)
@@ -144,7 +145,11 @@ def _slice_rows(texts: pa.Array, train: np.ndarray):
         base = int(first[-1][-1])
     first = np.concatenate(first)
     distinct, of = np.unique(np.concatenate(words), return_inverse=True)
-    return distinct, np.bincount(of, np.repeat(train, np.diff(first)), len(distinct)).astype(np.int64), of, first
+    by_count = np.argsort(-np.bincount(of), kind="stable")
+    place = np.empty(len(distinct), np.int64)
+    place[by_count] = np.arange(len(distinct))
+    times = np.bincount(of, np.repeat(train, np.diff(first)), len(distinct)).astype(np.int64)
+    return distinct, times, by_count, place[of], np.diff(first), np.searchsorted(distinct, [END])
 
 
 @dataclass
@@ -161,19 +166,15 @@ class Slice:
 
     def __init__(self, row: dict, answers: list[dict[int, bytes]], buckets: int, u: Unigrams, levels: list[Level]):
         self.buckets, self.u = buckets, u
-        hashes, self.times = loosened(row["words"])
-        self.tokens, self.first = loosened(row["tokens"])
+        by_count, places, sizes, end = loosened(row["tokens"])
+        self.tokens, self.first = by_count[places], np.concatenate([[0], np.cumsum(sizes)])
         self.train = np.repeat(np.asarray(row["train"], bool), np.diff(self.first))
-        self.hashes = np.cumsum(hashes).view(U)
-        if not answers:
-            return
-        n = len(self.hashes)
+        n = len(by_count)
         replies = [loosened(data) for _, data in sorted(answers[0].items())]
         self.count = np.concatenate([r[0] for r in replies])
         #: Numbers and counts of the slice's words, of the unknown word, and of the start.
-        ends = self.hashes == END
         self.ids = np.concatenate([*(r[1] for r in replies), [UNKNOWN, START]])
-        self.word_counts = np.append(self.count, [0, int(self.count[ends][0]) if ends.any() else 0])
+        self.word_counts = np.append(self.count, [0, int(self.count[end[0]])])  # a text starts as often as it ends
         self.p = u.p(self.count[self.tokens])
         # For the next level: each token's context by its place in ctx_ids and ctx_counts, its lower count, and what that count is multiplied by.
         begins = np.zeros(len(self.tokens), bool)
@@ -214,18 +215,14 @@ class Slice:
         self.cut = np.searchsorted(self.home, np.arange(self.buckets + 1))
         self.runs = np.searchsorted(self.heads, self.cut)
 
-    def ask_words(self):
-        cut = np.searchsorted(_home(self.hashes, self.buckets), np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            yield int(b), squeezed(_steps(self.hashes[cut[b] : cut[b + 1]]), self.times[cut[b] : cut[b + 1]])
-
     def ask(self):
-        """(bucket, bytes): contexts, whether they are hot, factors of their lower counts, numbers of words; words, times, lower counts."""
+        """(bucket, bytes): contexts, whether they are hot, distinct factors of lower counts and which each has, numbers of words; words, times, lower counts."""
         self._grams()
         for b in np.flatnonzero(np.diff(self.cut)):
             p, heads = slice(self.cut[b], self.cut[b + 1]), self.heads[self.runs[b] : self.runs[b + 1] + 1]
             at = heads[:-1]
-            yield int(b), squeezed(_steps(self.ctx_id[at]), self.is_hot[at], self.gram_norm[at], np.diff(heads), self.word_id[p], self.gram_times[p], self.gram_low[p])
+            norms, of = np.unique(self.gram_norm[at], return_inverse=True)
+            yield int(b), squeezed(_steps(self.ctx_id[at]), self.is_hot[at], norms, of, np.diff(heads), self.word_id[p], self.gram_times[p], self.gram_low[p])
 
     def _take(self, level: Level, reply: dict[int, bytes]) -> None:
         """Goes one level up with the answers to ask()."""
@@ -235,8 +232,11 @@ class Slice:
             count, index, sums, *few = loosened(data)
             p, r = slice(self.cut[b], self.cut[b + 1]), slice(self.runs[b], self.runs[b + 1])
             total[p] = count
-            ids[p] = np.where(index > 0, (index - 1) * self.buckets + b + 1, 0) if len(index) else 0
-            figures[r, :-1], figures[r, -1] = np.stack(few, 1), sums
+            if len(index):
+                ids[p][count > 0] = (np.cumsum(index) - 1) * self.buckets + b + 1
+            figures[r, :-1] = np.stack(few, 1)
+            wanted = np.minimum.reduceat(count, self.heads[r] - self.cut[b]) == 0
+            figures[r, -1][wanted] = sums
         at = self.heads[:-1]
         hot = np.flatnonzero(self.is_hot[at])
         if len(hot):
@@ -291,16 +291,16 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
-    sliced = T.StructType([T.StructField("slice", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+    sliced = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("slice", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
 
     def cut(batches):
         def out():
             t = pa.concat_tables(held)
             train = np.asarray(t.column("train").combine_chunks().fill_null(True))
-            distinct, times, of, first = _slice_rows(t.column("text"), train)
-            row = [uuid.uuid4().int >> 65, size, t.column("doc_id").to_pylist(), train.tolist(), squeezed(_steps(distinct), times), squeezed(of, first)]
-            kinds = (pa.int64(), pa.int64(), pa.list_(arrow_id), pa.list_(pa.bool_()), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=sliced.names)
+            distinct, times, *tokens = _slice_rows(t.column("text"), train)
+            name, kinds = uuid.uuid4().int >> 65, (pa.int32(), pa.int64(), pa.int64(), pa.list_(arrow_id), pa.list_(pa.bool_()), pa.binary(), pa.binary())
+            rows = (0, name, size, None, None, squeezed(_steps(distinct), times), None), (1, name, None, t.column("doc_id").to_pylist(), train.tolist(), None, squeezed(*tokens))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=sliced.names)
 
         held, size = [], 0
         for batch in batches:
@@ -313,8 +313,9 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
         if held:
             yield out()
 
-    slices = checkpointed(rows.mapInArrow(cut, sliced))
-    size = slices.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    words, slices = checkpointed_parts(rows.mapInArrow(cut, sliced), "kind", 0, 1)
+    slices = slices.select("slice", "ids", "train", "tokens")
+    size = words.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
 
     def answered(asked: DataFrame, answer) -> DataFrame:
@@ -328,9 +329,11 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
 
     def ask_words(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                asked = [(b, row["slice"], data) for b, data in Slice(row | {"train": [], "tokens": squeezed(np.zeros(0, np.int64), np.zeros(1, np.int64))}, [], buckets, Unigrams(), []).ask_words()]
-                yield blob_batch(asked, ASK)
+            for name, data in zip(batch.column("slice").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                steps, times = loosened(data)
+                hashes = np.cumsum(steps).view(U)
+                cut = np.searchsorted(_home(hashes, buckets), np.arange(buckets + 1))
+                yield blob_batch([(int(b), name, squeezed(_steps(hashes[cut[b] : cut[b + 1]]), times[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))], ASK)
 
     def answer_words(batches):
         for b, asked in _by_bucket(batches):
@@ -345,7 +348,8 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             out = [(0, g, b, squeezed(total[of[x:y]], ids[of[x:y]]), None, None) for (g, _), x, y in zip(asked, edges[:-1], edges[1:], strict=True)]
             yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
 
-    answers = [answered(slices.select("slice", "words").mapInArrow(ask_words, ASK_DDL), answer_words)]
+    answers = [answered(words.select("slice", "words").mapInArrow(ask_words, ASK_DDL), answer_words)]
+    discard(words)
     tokens, kinds, *few = stats_of(answers[0])
     u, levels = Unigrams.of(tokens, kinds, few), []
 
@@ -378,30 +382,32 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             for b, asked in _by_bucket(batches):
                 parts = [loosened(data) for _, data in asked]
                 column = lambda i: np.concatenate([p[i] for p in parts])  # noqa: E731, B023
-                ctx = np.concatenate([np.repeat(np.cumsum(p[0]), p[3]) for p in parts])
-                word = column(4)
+                ctx = np.concatenate([np.repeat(np.cumsum(p[0]), p[4]) for p in parts])
+                word = column(5)
                 by = np.lexsort((word, ctx))
                 ctx, word = ctx[by], word[by]
                 new = np.ones(len(by), bool)
                 new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
                 at = np.flatnonzero(new)
                 del word
-                total = np.add.reduceat(column(5)[by], at)
+                total = np.add.reduceat(column(6)[by], at)
                 of = np.empty(len(by), np.int64)
                 of[by] = np.cumsum(new) - 1
                 example, c = by[at], ctx[at]
                 del ctx, new, by
-                low = column(6)[example]
-                p = below[np.minimum(low, K_MAX + 1)] * low * np.concatenate([np.repeat(p[2], p[3]) for p in parts])[example]
-                hot = np.concatenate([np.repeat(p[1], p[3]) for p in parts])[example] > 0
+                low = column(7)[example]
+                p = below[np.minimum(low, K_MAX + 1)] * low * np.concatenate([np.repeat(p[2][p[3]], p[4]) for p in parts])[example]
+                hot = np.concatenate([np.repeat(p[1], p[4]) for p in parts])[example] > 0
                 runs, seen = group_edges(c), total > 0
                 few = [np.add.reduceat((total == r).astype(np.int64), runs[:-1]) for r in range(1, K_MAX + 1)]
                 sums, of_run = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), c[runs[:-1]]
                 index = np.where(seen, np.cumsum(seen), 0)
-                edges, out = np.cumsum([0, *(len(p[4]) for p in parts)]), []
+                edges, out = np.cumsum([0, *(len(p[5]) for p in parts)]), []
                 for (g, _), part, x, y in zip(asked, parts, edges[:-1], edges[1:], strict=True):
                     mine, r = of[x:y], np.searchsorted(of_run, np.cumsum(part[0]))
-                    out.append((0, g, b, squeezed(total[mine], index[mine][: 0 if last else None], sums[r], *(f[r] for f in few)), None, None))
+                    count, first = total[mine], np.cumsum(part[4]) - part[4]
+                    wanted = np.minimum.reduceat(count, first) == 0  # only what isn't found needs the context's weight
+                    out.append((0, g, b, squeezed(count, _steps(index[mine][count > 0][: 0 if last else None]), sums[r[wanted]], *(f[r] for f in few)), None, None))
                 out += [(2, None, b, None, [*(float(f[i]) for f in few), float(sums[i])], int(of_run[i])) for i in np.flatnonzero(hot[runs[:-1]])]
                 yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
 
