@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..written import checkpointed, checkpointed_parts, discard
+from ..written import checkpointed, checkpointed_parts, clustered, discard
 from .common import blob_batch, group_edges, shuffle_partitions, table
 from .kernels import U, hash_words, mix, text_slices, words_of
 
@@ -191,27 +191,44 @@ class Slice:
         """Distinct n-grams of a context that occurs and a word, by bucket, context and word; unknown words are one."""
         ok = np.flatnonzero(self.ctx >= 0)
         ok = ok[self.ctx_counts[self.ctx[ok]] > 0]
-        width = len(self.ids)
-        key, example, of = np.unique(self.ctx[ok] * width + self.of_word[ok], return_index=True, return_inverse=True)
-        ctx, word = key // width, key % width
-        ctx_id, word_id = self.ctx_ids[ctx], self.ids[word]
-        is_hot = self.ctx_counts[ctx] * (HOT * self.buckets) > self.u.tokens
-        h = mix(ctx_id.astype(U))
-        home = _home(np.where(is_hot, mix(h + word_id.astype(U)), h), self.buckets)
-        order = np.lexsort((word_id, ctx_id, home))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        ctx, word = self.ctx[ok], self.of_word[ok]
+        # Runs of one context in one bucket: of most contexts one, of hot ones one in each bucket where their words go.
+        used = np.flatnonzero(np.bincount(ctx, minlength=len(self.ctx_ids)) > 0)
+        mixed = mix(self.ctx_ids[used].astype(U))
+        where, run_ctx, run_home = np.empty(len(self.ctx_ids), np.int64), used, _home(mixed, self.buckets)
+        where[used] = np.arange(len(used))
+        run = where[ctx]
+        hot = np.flatnonzero((self.ctx_counts[used] * (HOT * self.buckets) > self.u.tokens)[run])
+        if len(hot):
+            home = _home(mix(mixed[run[hot]] + self.ids[word[hot]].astype(U)), self.buckets)
+            some, of = np.unique(run[hot] * self.buckets + home, return_inverse=True)
+            run[hot] = len(used) + of
+            run_ctx, run_home = np.append(used, used[some // self.buckets]), np.append(run_home, some % self.buckets)
+        by = np.lexsort((self.ctx_ids[run_ctx], run_home))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        by_id = np.argsort(self.ids, kind="stable")
+        rank = np.empty(len(by_id), np.int64)
+        rank[by_id] = np.arange(len(by_id))
+        key = place[run] * len(rank) + rank[word]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        of = np.cumsum(new) - 1
         #: Each token's n-gram, -1 where its context doesn't occur.
         self.gram = np.full(len(self.tokens), -1)
-        self.gram[ok] = back[of]
-        token = ok[example[order]]
-        self.home, self.ctx_id, self.word_id, self.is_hot, self.ctx_count = home[order], ctx_id[order], word_id[order], is_hot[order], self.ctx_counts[ctx[order]]
-        self.gram_low, self.gram_norm = self.low[token], self.norm[token]
-        self.gram_times = np.bincount(self.gram[ok], self.train[ok], len(order)).astype(np.int64)
-        head = np.ones(len(order), bool)
-        head[1:] = (self.home[1:] != self.home[:-1]) | (self.ctx_id[1:] != self.ctx_id[:-1])
-        #: Runs of one context in one bucket.
-        self.heads, self.run = np.append(np.flatnonzero(head), len(order)), np.cumsum(head) - 1
+        self.gram[ok[order]] = of
+        example = order[new]
+        run = by[key[new] // len(rank)]
+        ctx = run_ctx[run]
+        self.home, self.ctx_id, self.word_id, self.ctx_count = run_home[run], self.ctx_ids[ctx], self.ids[word[example]], self.ctx_counts[ctx]
+        self.is_hot = self.ctx_count * (HOT * self.buckets) > self.u.tokens
+        self.gram_low, self.gram_norm = self.low[ok[example]], self.norm[ok[example]]
+        self.gram_times = np.add.reduceat(self.train[ok[order]].astype(np.int64), np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
+        head = np.ones(len(run), bool)
+        head[1:] = run[1:] != run[:-1]
+        self.heads, self.run = np.append(np.flatnonzero(head), len(run)), np.cumsum(head) - 1
         self.cut = np.searchsorted(self.home, np.arange(self.buckets + 1))
         self.runs = np.searchsorted(self.heads, self.cut)
 
@@ -314,9 +331,10 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             yield out()
 
     words, slices = checkpointed_parts(rows.mapInArrow(cut, sliced), "kind", 0, 1)
-    slices = slices.select("slice", "ids", "train", "tokens")
     size = words.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
+    unclustered, slices = slices, clustered(slices.select("slice", "ids", "train", "tokens"), "slice", buckets)
+    discard(unclustered)
 
     def answered(asked: DataFrame, answer) -> DataFrame:
         """Each bucket's questions answered in one place, a bucket a partition or so."""
@@ -348,17 +366,19 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             out = [(0, g, b, squeezed(total[of[x:y]], ids[of[x:y]]), None, None) for (g, _), x, y in zip(asked, edges[:-1], edges[1:], strict=True)]
             yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
 
-    answers = [answered(words.select("slice", "words").mapInArrow(ask_words, ASK_DDL), answer_words)]
+    def replies(answers: DataFrame, level: int) -> DataFrame:
+        return answers.where("kind = 0").select("slice", F.lit(level).alias("level"), "bucket", "data")
+
+    answers = answered(words.select("slice", "words").mapInArrow(ask_words, ASK_DDL), answer_words)
     discard(words)
-    tokens, kinds, *few = stats_of(answers[0])
+    tokens, kinds, *few = stats_of(answers)
     u, levels = Unigrams.of(tokens, kinds, few), []
+    known = clustered(replies(answers, 0), "slice", buckets)
+    discard(answers)
 
     def with_answers(run, ddl):
         """run(slice's row, its answers by level), a slice at a time."""
-        known = [a.where("kind = 0").select("slice", F.lit(i).alias("level"), "bucket", "data") for i, a in enumerate(answers)]
-        every, n = known[0], len(known)
-        for k in known[1:]:
-            every = every.unionByName(k)
+        n = len(levels) + 1
 
         def both(t: pa.Table, replies: pa.Table) -> pa.Table:
             if not t.num_rows:
@@ -369,7 +389,7 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
                 mine[level][b] = data[i].as_py()
             return run(row, mine)
 
-        return slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(both, ddl)
+        return slices.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(both, ddl)
 
     for k in range(2, order + 1):
         below, shared = (levels[-1].d if levels else u.d), spark.sparkContext.broadcast((u, levels))
@@ -382,9 +402,11 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             for b, asked in _by_bucket(batches):
                 parts = [loosened(data) for _, data in asked]
                 column = lambda i: np.concatenate([p[i] for p in parts])  # noqa: E731, B023
-                ctx = np.concatenate([np.repeat(np.cumsum(p[0]), p[4]) for p in parts])
+                names, which = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+                ctx = np.repeat(which, column(4))
                 word = column(5)
-                by = np.lexsort((word, ctx))
+                # One key where both parts fit into it.
+                by = np.argsort(ctx * (int(word.max()) + 1) + word) if len(names) * (int(word.max()) + 1) < 1 << 63 else np.lexsort((word, ctx))
                 ctx, word = ctx[by], word[by]
                 new = np.ones(len(by), bool)
                 new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
@@ -400,21 +422,26 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
                 hot = np.concatenate([np.repeat(p[1], p[4]) for p in parts])[example] > 0
                 runs, seen = group_edges(c), total > 0
                 few = [np.add.reduceat((total == r).astype(np.int64), runs[:-1]) for r in range(1, K_MAX + 1)]
-                sums, of_run = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), c[runs[:-1]]
+                sums, r_at = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), np.cumsum([0, *(len(part[0]) for part in parts)])
                 index = np.where(seen, np.cumsum(seen), 0)
                 edges, out = np.cumsum([0, *(len(p[5]) for p in parts)]), []
-                for (g, _), part, x, y in zip(asked, parts, edges[:-1], edges[1:], strict=True):
-                    mine, r = of[x:y], np.searchsorted(of_run, np.cumsum(part[0]))
+                for i, ((g, _), part, x, y) in enumerate(zip(asked, parts, edges[:-1], edges[1:], strict=True)):
+                    mine, r = of[x:y], which[r_at[i] : r_at[i + 1]]  # every context has a word, so its run is its place
                     count, first = total[mine], np.cumsum(part[4]) - part[4]
                     wanted = np.minimum.reduceat(count, first) == 0  # only what isn't found needs the context's weight
                     out.append((0, g, b, squeezed(count, _steps(index[mine][count > 0][: 0 if last else None]), sums[r[wanted]], *(f[r] for f in few)), None, None))
-                out += [(2, None, b, None, [*(float(f[i]) for f in few), float(sums[i])], int(of_run[i])) for i in np.flatnonzero(hot[runs[:-1]])]
+                out += [(2, None, b, None, [*(float(f[i]) for f in few), float(sums[i])], int(names[i])) for i in np.flatnonzero(hot[runs[:-1]])]
                 yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
 
-        answers.append(answered(with_answers(ask, ASK_DDL), answer))
+        answers = answered(with_answers(ask, ASK_DDL), answer)
         sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K_MAX + 1)]
-        hot = sorted(tuple(r) for r in answers[-1].where("kind = 2").groupBy("context").agg(*sums).toLocalIterator())  # at most HOT contexts a bucket
-        levels = [*levels, Level(discounts(stats_of(answers[-1])[2:]), np.array([r[0] for r in hot], np.int64), np.array([r[1:] for r in hot], float).reshape(-1, K_MAX + 1))]
+        hot = sorted(tuple(r) for r in answers.where("kind = 2").groupBy("context").agg(*sums).toLocalIterator())  # at most HOT contexts a bucket
+        levels = [*levels, Level(discounts(stats_of(answers)[2:]), np.array([r[0] for r in hot], np.int64), np.array([r[1:] for r in hot], float).reshape(-1, K_MAX + 1))]
+        both = known.unionByName(replies(answers, k - 1))
+        if k < order:
+            both = clustered(both, "slice", buckets)
+            discard(known, answers)
+        known = both
 
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema, shared = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(n, t) for n, t in fields]]), spark.sparkContext.broadcast((u, levels))
