@@ -49,7 +49,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Hash of a text's end, which is a word that is never a context. Numbers of the unknown word and of the start; words follow.
 END, UNKNOWN, START, FIRST_ID = U(0x454E44), 0, 1, 2
 #: Bytes of text of a slice, and for each bucket.
-SLICE, BUCKET = 6_000_000, 8_000_000
+SLICE, BUCKET = 6_000_000, 16_000_000
 ASK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())])
 ANSWER = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
 ASK_DDL, ANSWER_DDL = "bucket int, slice long, data binary", "kind int, slice long, bucket int, data binary, stats array<double>, context long"
@@ -161,6 +161,14 @@ class Level:
     figures: np.ndarray
 
 
+def _shares(count: np.ndarray, few: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what contexts leave to words not seen, what their seen words' discounted counts are multiplied by), from their counts and counts of counts."""
+    c = np.maximum(count, 1).astype(float)
+    free = (few * (np.arange(1, K_MAX + 1) * (1 - d[1 : K_MAX + 1]))).sum(1) / c
+    least = RESERVE / (count + RESERVE)
+    return np.maximum(free, least), np.where(free >= least, 1.0, (1 - least) / np.maximum(1 - free, 1e-300)) / c
+
+
 class Slice:
     """A slice's n-grams and what is known of them, as far as answers have come."""
 
@@ -176,13 +184,18 @@ class Slice:
         self.ids = np.concatenate([*(r[1] for r in replies), [UNKNOWN, START]])
         self.word_counts = np.append(self.count, [0, int(self.count[end[0]])])  # a text starts as often as it ends
         self.p = u.p(self.count[self.tokens])
-        # For the next level: each token's context by its place in ctx_ids and ctx_counts, its lower count, and what that count is multiplied by.
+        # For the next level: each token's context by its place in ctx_ids and ctx_counts, its lower count, what that count
+        # is multiplied by, and the run of the context that it comes from.
         begins = np.zeros(len(self.tokens), bool)
         begins[self.first[:-1]] = True
         self.begins, self.ctx = begins, np.where(begins, n + 1, np.concatenate([[n + 1], self.tokens[:-1]]))
         self.ctx_ids, self.ctx_counts = self.ids, self.word_counts
         self.low, self.norm = self.count[self.tokens], np.full(len(self.tokens), u.scale / max(u.tokens, 1))
+        self.from_run, self.run_counts, self.few = np.zeros(len(self.tokens), np.int64), np.zeros(0, np.int64), np.zeros((0, K_MAX))
         self.of_word = np.where(self.count[self.tokens] > 0, self.tokens, n)
+        by_id = np.argsort(self.ids, kind="stable")
+        self.rank = np.empty(len(by_id), np.int64)
+        self.rank[by_id] = np.arange(len(by_id))
         for level, reply in zip(levels, answers[1:], strict=True):
             self._grams()
             self._take(level, reply)
@@ -194,23 +207,21 @@ class Slice:
         ctx, word = self.ctx[ok], self.of_word[ok]
         # Runs of one context in one bucket: of most contexts one, of hot ones one in each bucket where their words go.
         used = np.flatnonzero(np.bincount(ctx, minlength=len(self.ctx_ids)) > 0)
-        mixed = mix(self.ctx_ids[used].astype(U))
-        where, run_ctx, run_home = np.empty(len(self.ctx_ids), np.int64), used, _home(mixed, self.buckets)
+        used_ids = self.ctx_ids[used]
+        where, run_ctx, run_home = np.empty(len(self.ctx_ids), np.int64), used, used_ids % self.buckets
         where[used] = np.arange(len(used))
         run = where[ctx]
         hot = np.flatnonzero((self.ctx_counts[used] * (HOT * self.buckets) > self.u.tokens)[run])
         if len(hot):
-            home = _home(mix(mixed[run[hot]] + self.ids[word[hot]].astype(U)), self.buckets)
+            home = _home(mix(mix(used_ids[run[hot]].astype(U)) + self.ids[word[hot]].astype(U)), self.buckets)
             some, of = np.unique(run[hot] * self.buckets + home, return_inverse=True)
             run[hot] = len(used) + of
             run_ctx, run_home = np.append(used, used[some // self.buckets]), np.append(run_home, some % self.buckets)
-        by = np.lexsort((self.ctx_ids[run_ctx], run_home))
+        # The numbers of n-grams rise with their order in a bucket, so that above words this sorts what is nearly sorted.
+        by = np.argsort(run_home * (int(used_ids.max(initial=0)) + 1) + self.ctx_ids[run_ctx], kind="stable")
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        by_id = np.argsort(self.ids, kind="stable")
-        rank = np.empty(len(by_id), np.int64)
-        rank[by_id] = np.arange(len(by_id))
-        key = place[run] * len(rank) + rank[word]
+        key = place[run] * len(self.rank) + self.rank[word]
         order = np.argsort(key)
         key = key[order]
         new = np.ones(len(key), bool)
@@ -220,11 +231,11 @@ class Slice:
         self.gram = np.full(len(self.tokens), -1)
         self.gram[ok[order]] = of
         example = order[new]
-        run = by[key[new] // len(rank)]
+        run = by[key[new] // len(self.rank)]
         ctx = run_ctx[run]
         self.home, self.ctx_id, self.word_id, self.ctx_count = run_home[run], self.ctx_ids[ctx], self.ids[word[example]], self.ctx_counts[ctx]
         self.is_hot = self.ctx_count * (HOT * self.buckets) > self.u.tokens
-        self.gram_low, self.gram_norm = self.low[ok[example]], self.norm[ok[example]]
+        self.gram_low, self.gram_norm, self.gram_from = self.low[ok[example]], self.norm[ok[example]], self.from_run[ok[example]]
         self.gram_times = np.add.reduceat(self.train[ok[order]].astype(np.int64), np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
         head = np.ones(len(run), bool)
         head[1:] = run[1:] != run[:-1]
@@ -233,13 +244,14 @@ class Slice:
         self.runs = np.searchsorted(self.heads, self.cut)
 
     def ask(self):
-        """(bucket, bytes): contexts, whether they are hot, distinct factors of lower counts and which each has, numbers of words; words, times, lower counts."""
+        """(bucket, bytes): contexts, whether they are hot, their shorter contexts' distinct factors, numbers of words; words, times, lower counts; counts and counts of counts that give the factors."""
         self._grams()
         for b in np.flatnonzero(np.diff(self.cut)):
             p, heads = slice(self.cut[b], self.cut[b + 1]), self.heads[self.runs[b] : self.runs[b + 1] + 1]
             at = heads[:-1]
-            norms, of = np.unique(self.gram_norm[at], return_inverse=True)
-            yield int(b), squeezed(_steps(self.ctx_id[at]), self.is_hot[at], norms, of, np.diff(heads), self.word_id[p], self.gram_times[p], self.gram_low[p])
+            _, first, of = np.unique(self.gram_norm[at], return_index=True, return_inverse=True)
+            lower = self.gram_from[at[first]] if len(self.few) else np.zeros(0, np.int64)
+            yield int(b), squeezed(_steps(self.ctx_id[at]), self.is_hot[at], of, np.diff(heads), self.word_id[p], self.gram_times[p], self.gram_low[p], self.run_counts[lower], *self.few[lower].T.astype(np.int64))
 
     def _take(self, level: Level, reply: dict[int, bytes]) -> None:
         """Goes one level up with the answers to ask()."""
@@ -250,7 +262,7 @@ class Slice:
             p, r = slice(self.cut[b], self.cut[b + 1]), slice(self.runs[b], self.runs[b + 1])
             total[p] = count
             if len(index):
-                ids[p][count > 0] = (np.cumsum(index) - 1) * self.buckets + b + 1
+                ids[p][count > 0] = np.cumsum(index) * self.buckets + b
             figures[r, :-1] = np.stack(few, 1)
             wanted = np.minimum.reduceat(count, self.heads[r] - self.cut[b]) == 0
             figures[r, -1][wanted] = sums
@@ -258,19 +270,16 @@ class Slice:
         hot = np.flatnonzero(self.is_hot[at])
         if len(hot):
             figures[hot] = level.figures[np.searchsorted(level.hot, self.ctx_id[at[hot]])]
-        c = self.ctx_count[at].astype(float)
-        free = (figures[:, :-1] * (np.arange(1, K_MAX + 1) * (1 - level.d[1 : K_MAX + 1]))).sum(1) / np.maximum(c, 1)  # what discounts free
-        least = RESERVE / (c + RESERVE)
-        scale = np.where(free >= least, 1.0, (1 - least) / np.maximum(1 - free, 1e-300))
-        back = np.maximum(free, least) / np.maximum(1 - figures[:, -1], 1e-12)
+        free, norm = _shares(self.ctx_count[at], figures[:, :-1], level.d)
+        back = free / np.maximum(1 - figures[:, -1], 1e-12)
         has = self.gram >= 0
         gram = self.gram[has]
         run, count = self.run[gram], total[gram]
         self.p = self.p.copy()
-        norm = scale / np.maximum(c, 1)
         self.p[has] = np.where(count > 0, level.d[np.minimum(count, K_MAX + 1)] * count * norm[run], back[run] * self.p[has])
         self.norm, self.low = np.zeros(len(self.tokens)), np.zeros(len(self.tokens), np.int64)
         self.norm[has], self.low[has] = norm[run], count
+        self.from_run[has], self.run_counts, self.few = run, self.ctx_count[at], figures[:, :-1]
         self.ctx_ids, self.ctx_counts = ids, total
         self.ctx = np.where(self.begins, -1, np.concatenate([[-1], self.gram[:-1]]))
 
@@ -360,7 +369,7 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             total = np.bincount(of, np.concatenate([p[1] for p in parts])).astype(np.int64)
             by_count = np.argsort(-total, kind="stable")  # frequent words have small numbers
             ids = np.empty(len(total), np.int64)
-            ids[by_count] = np.arange(len(total)) * buckets + b + FIRST_ID
+            ids[by_count] = (np.arange(len(total)) + 1) * buckets + b + FIRST_ID
             ids[total == 0] = UNKNOWN
             edges = np.cumsum([0, *(len(p[0]) for p in parts)])
             out = [(0, g, b, squeezed(total[of[x:y]], ids[of[x:y]]), None, None) for (g, _), x, y in zip(asked, edges[:-1], edges[1:], strict=True)]
@@ -398,13 +407,15 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             asked = [] if row is None else [(b, row["slice"], data) for b, data in Slice(row, mine, buckets, *shared.value).ask()]
             return pa.Table.from_batches([blob_batch(asked, ASK)])
 
-        def answer(batches, below=below, last=k == order):
+        def answer(batches, below=below, word_factor=u.scale / max(u.tokens, 1), last=k == order):
+            def factors(p):
+                return _shares(p[7], np.stack(p[8:], 1), below)[1] if len(p[7]) else np.array([word_factor])
+
             for b, asked in _by_bucket(batches):
                 parts = [loosened(data) for _, data in asked]
                 column = lambda i: np.concatenate([p[i] for p in parts])  # noqa: E731, B023
                 names, which = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-                ctx = np.repeat(which, column(4))
-                word = column(5)
+                ctx, word = np.repeat(which, column(3)), column(4)
                 # One key where both parts fit into it.
                 by = np.argsort(ctx * (int(word.max()) + 1) + word) if len(names) * (int(word.max()) + 1) < 1 << 63 else np.lexsort((word, ctx))
                 ctx, word = ctx[by], word[by]
@@ -412,22 +423,22 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
                 new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
                 at = np.flatnonzero(new)
                 del word
-                total = np.add.reduceat(column(6)[by], at)
+                total = np.add.reduceat(column(5)[by], at)
                 of = np.empty(len(by), np.int64)
                 of[by] = np.cumsum(new) - 1
                 example, c = by[at], ctx[at]
                 del ctx, new, by
-                low = column(7)[example]
-                p = below[np.minimum(low, K_MAX + 1)] * low * np.concatenate([np.repeat(p[2][p[3]], p[4]) for p in parts])[example]
-                hot = np.concatenate([np.repeat(p[1], p[4]) for p in parts])[example] > 0
+                low = column(6)[example]
+                p = below[np.minimum(low, K_MAX + 1)] * low * np.concatenate([np.repeat(factors(p)[p[2]], p[3]) for p in parts])[example]
+                hot = np.repeat(column(1), column(3))[example] > 0
                 runs, seen = group_edges(c), total > 0
                 few = [np.add.reduceat((total == r).astype(np.int64), runs[:-1]) for r in range(1, K_MAX + 1)]
                 sums, r_at = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), np.cumsum([0, *(len(part[0]) for part in parts)])
                 index = np.where(seen, np.cumsum(seen), 0)
-                edges, out = np.cumsum([0, *(len(p[5]) for p in parts)]), []
+                edges, out = np.cumsum([0, *(len(p[4]) for p in parts)]), []
                 for i, ((g, _), part, x, y) in enumerate(zip(asked, parts, edges[:-1], edges[1:], strict=True)):
                     mine, r = of[x:y], which[r_at[i] : r_at[i + 1]]  # every context has a word, so its run is its place
-                    count, first = total[mine], np.cumsum(part[4]) - part[4]
+                    count, first = total[mine], np.cumsum(part[3]) - part[3]
                     wanted = np.minimum.reduceat(count, first) == 0  # only what isn't found needs the context's weight
                     out.append((0, g, b, squeezed(count, _steps(index[mine][count > 0][: 0 if last else None]), sums[r[wanted]], *(f[r] for f in few)), None, None))
                 out += [(2, None, b, None, [*(float(f[i]) for f in few), float(sums[i])], int(names[i])) for i in np.flatnonzero(hot[runs[:-1]])]
