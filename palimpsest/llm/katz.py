@@ -49,7 +49,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Hash of a text's end, which is a word that is never a context. Numbers of the unknown word and of the start; words follow.
 END, UNKNOWN, START, FIRST_ID = U(0x454E44), 0, 1, 2
 #: Bytes of text of a slice, and for each bucket.
-SLICE, BUCKET = 6_000_000, 16_000_000
+SLICE, BUCKET = 5_000_000, 10_000_000
 ASK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())])
 ANSWER = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
 ASK_DDL, ANSWER_DDL = "bucket int, slice long, data binary", "kind int, slice long, bucket int, data binary, stats array<double>, context long"
@@ -413,9 +413,12 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
 
             for b, asked in _by_bucket(batches):
                 parts = [loosened(data) for _, data in asked]
-                column = lambda i: np.concatenate([p[i] for p in parts])  # noqa: E731, B023
                 names, which = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-                ctx, word = np.repeat(which, column(3)), column(4)
+                sizes = np.concatenate([p[3] for p in parts])
+                ctx, word, times, low = np.repeat(which, sizes), *(np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+                factor, hot = np.concatenate([factors(p)[p[2]] for p in parts]), np.concatenate([p[1] for p in parts])
+                edges, run_sizes = np.cumsum([0, *(len(p[4]) for p in parts)]), [p[3] for p in parts]
+                del parts
                 # One key where both parts fit into it.
                 by = np.argsort(ctx * (int(word.max()) + 1) + word) if len(names) * (int(word.max()) + 1) < 1 << 63 else np.lexsort((word, ctx))
                 ctx, word = ctx[by], word[by]
@@ -423,22 +426,23 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
                 new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
                 at = np.flatnonzero(new)
                 del word
-                total = np.add.reduceat(column(5)[by], at)
+                total = np.add.reduceat(times[by], at)
                 of = np.empty(len(by), np.int64)
                 of[by] = np.cumsum(new) - 1
                 example, c = by[at], ctx[at]
-                del ctx, new, by
-                low = column(6)[example]
-                p = below[np.minimum(low, K_MAX + 1)] * low * np.concatenate([np.repeat(factors(p)[p[2]], p[3]) for p in parts])[example]
-                hot = np.repeat(column(1), column(3))[example] > 0
+                del ctx, new, by, times
+                low, run = low[example], np.repeat(np.arange(len(sizes)), sizes)[example]
+                p = below[np.minimum(low, K_MAX + 1)] * low * factor[run]
+                hot = hot[run] > 0
+                del run, low, example
                 runs, seen = group_edges(c), total > 0
                 few = [np.add.reduceat((total == r).astype(np.int64), runs[:-1]) for r in range(1, K_MAX + 1)]
-                sums, r_at = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), np.cumsum([0, *(len(part[0]) for part in parts)])
+                sums, r_at = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), np.cumsum([0, *map(len, run_sizes)])
                 index = np.where(seen, np.cumsum(seen), 0)
-                edges, out = np.cumsum([0, *(len(p[4]) for p in parts)]), []
-                for i, ((g, _), part, x, y) in enumerate(zip(asked, parts, edges[:-1], edges[1:], strict=True)):
+                out = []
+                for i, ((g, _), n, x, y) in enumerate(zip(asked, run_sizes, edges[:-1], edges[1:], strict=True)):
                     mine, r = of[x:y], which[r_at[i] : r_at[i + 1]]  # every context has a word, so its run is its place
-                    count, first = total[mine], np.cumsum(part[3]) - part[3]
+                    count, first = total[mine], np.cumsum(n) - n
                     wanted = np.minimum.reduceat(count, first) == 0  # only what isn't found needs the context's weight
                     out.append((0, g, b, squeezed(count, _steps(index[mine][count > 0][: 0 if last else None]), sums[r[wanted]], *(f[r] for f in few)), None, None))
                 out += [(2, None, b, None, [*(float(f[i]) for f in few), float(sums[i])], int(names[i])) for i in np.flatnonzero(hot[runs[:-1]])]
