@@ -178,10 +178,11 @@ class Slice:
         self.tokens, self.first = by_count[places], np.concatenate([[0], np.cumsum(sizes)])
         self.train = np.repeat(np.asarray(row["train"], bool), np.diff(self.first))
         n = len(by_count)
-        replies = [loosened(data) for _, data in sorted(answers[0].items())]
+        homes = sorted(answers[0])
+        replies = [loosened(answers[0][b]) for b in homes]
         self.count = np.concatenate([r[0] for r in replies])
         #: Numbers and counts of the slice's words, of the unknown word, and of the start.
-        self.ids = np.concatenate([*(r[1] for r in replies), [UNKNOWN, START]])
+        self.ids = np.concatenate([*(np.where(r[1] > 0, r[1] * buckets + b + FIRST_ID, UNKNOWN) for b, r in zip(homes, replies, strict=True)), [UNKNOWN, START]])
         self.word_counts = np.append(self.count, [0, int(self.count[end[0]])])  # a text starts as often as it ends
         self.p = u.p(self.count[self.tokens])
         # For the next level: each token's context by its place in ctx_ids and ctx_counts, its lower count, what that count
@@ -251,7 +252,9 @@ class Slice:
             at = heads[:-1]
             _, first, of = np.unique(self.gram_norm[at], return_index=True, return_inverse=True)
             lower = self.gram_from[at[first]] if len(self.few) else np.zeros(0, np.int64)
-            yield int(b), squeezed(_steps(self.ctx_id[at]), self.is_hot[at], of, np.diff(heads), self.word_id[p], self.gram_times[p], self.gram_low[p], self.run_counts[lower], *self.few[lower].T.astype(np.int64))
+            # Numbers fall into a bucket and a place in it, which take less room apart.
+            ctx, home, word, word_home = *np.divmod(self.ctx_id[at], self.buckets), *np.divmod(self.word_id[p], self.buckets)
+            yield int(b), squeezed(_steps(ctx), home, self.is_hot[at], of, np.diff(heads), word, word_home, self.gram_times[p], self.gram_low[p], self.run_counts[lower], *self.few[lower].T.astype(np.int64))
 
     def _take(self, level: Level, reply: dict[int, bytes]) -> None:
         """Goes one level up with the answers to ask()."""
@@ -368,11 +371,11 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             _, of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]).view(U), return_inverse=True)
             total = np.bincount(of, np.concatenate([p[1] for p in parts])).astype(np.int64)
             by_count = np.argsort(-total, kind="stable")  # frequent words have small numbers
-            ids = np.empty(len(total), np.int64)
-            ids[by_count] = (np.arange(len(total)) + 1) * buckets + b + FIRST_ID
-            ids[total == 0] = UNKNOWN
+            rank = np.empty(len(total), np.int64)
+            rank[by_count] = np.arange(1, len(total) + 1)
+            rank[total == 0] = 0
             edges = np.cumsum([0, *(len(p[0]) for p in parts)])
-            out = [(0, g, b, squeezed(total[of[x:y]], ids[of[x:y]]), None, None) for (g, _), x, y in zip(asked, edges[:-1], edges[1:], strict=True)]
+            out = [(0, g, b, squeezed(total[of[x:y]], rank[of[x:y]]), None, None) for (g, _), x, y in zip(asked, edges[:-1], edges[1:], strict=True)]
             yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
 
     def replies(answers: DataFrame, level: int) -> DataFrame:
@@ -409,15 +412,15 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
 
         def answer(batches, below=below, word_factor=u.scale / max(u.tokens, 1), last=k == order):
             def factors(p):
-                return _shares(p[7], np.stack(p[8:], 1), below)[1] if len(p[7]) else np.array([word_factor])
+                return _shares(p[9], np.stack(p[10:], 1), below)[1] if len(p[9]) else np.array([word_factor])
 
             for b, asked in _by_bucket(batches):
                 parts = [loosened(data) for _, data in asked]
-                names, which = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-                sizes = np.concatenate([p[3] for p in parts])
-                ctx, word, times, low = np.repeat(which, sizes), *(np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-                factor, hot = np.concatenate([factors(p)[p[2]] for p in parts]), np.concatenate([p[1] for p in parts])
-                edges, run_sizes = np.cumsum([0, *(len(p[4]) for p in parts)]), [p[3] for p in parts]
+                names, which = np.unique(np.concatenate([np.cumsum(p[0]) * buckets + p[1] for p in parts]), return_inverse=True)
+                sizes = np.concatenate([p[4] for p in parts])
+                ctx, word, times, low = np.repeat(which, sizes), *(np.concatenate([f(p) for p in parts]) for f in (lambda p: p[5] * buckets + p[6], lambda p: p[7], lambda p: p[8]))
+                factor, hot = np.concatenate([factors(p)[p[3]] for p in parts]), np.concatenate([p[2] for p in parts])
+                edges, run_sizes = np.cumsum([0, *(len(p[5]) for p in parts)]), [p[4] for p in parts]
                 del parts
                 # One key where both parts fit into it.
                 by = np.argsort(ctx * (int(word.max()) + 1) + word) if len(names) * (int(word.max()) + 1) < 1 << 63 else np.lexsort((word, ctx))
