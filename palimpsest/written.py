@@ -39,7 +39,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of df, written as a table to the folder in spark.checkpoint.dir and read from there.
 
     The folder is the cluster's, and all executors share it; only where none is
@@ -47,16 +47,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     constraints of the plan before it, which otherwise grow with every round of
     an iteration, and knows its size, so that small ones are broadcast.
     """
-    return checkpointed_parts(df)[0]
+    return checkpointed_parts(df, codec=codec)[0]
 
 
-def checkpointed_parts(df: DataFrame, by: str | None = None, *values: int) -> list[DataFrame]:
+def checkpointed_parts(df: DataFrame, by: str | None = None, *values: int, codec: str = "zstd") -> list[DataFrame]:
     """checkpointed(); with a column `by`, a table of its own for the rows of each of its values, without that column."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path, was = f"{_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(key, "false")
     spark.conf.set(key, "true")  # what the write has shuffled isn't read again
     try:
-        out = df.write.option("compression", "zstd")
+        out = df.write.option("compression", codec)
         (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(key, was)
@@ -73,7 +73,7 @@ def checkpointed_parts(df: DataFrame, by: str | None = None, *values: int) -> li
     return found
 
 
-def clustered(df: DataFrame, key: str, n: int) -> DataFrame:
+def clustered(df: DataFrame, key: str, n: int, codec: str = "zstd") -> DataFrame:
     """checkpointed(), in n buckets by key, so that grouping by that column needs no exchange of it again."""
     spark = df.sparkSession
     name = f"palimpsest_{uuid.uuid4().hex}"
@@ -81,7 +81,7 @@ def clustered(df: DataFrame, key: str, n: int) -> DataFrame:
     path, was = f"{_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(setting, "false")
     spark.conf.set(setting, "true")
     try:
-        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).option("compression", codec).saveAsTable(name)
     finally:
         spark.conf.set(setting, was)
     out = spark.table(name)
