@@ -49,7 +49,9 @@ FOLDS, HELD_OUT = 5, 1
 #: Hash of a text's end, which is a word that is never a context. Numbers of the unknown word and of the start; words follow.
 END, UNKNOWN, START, FIRST_ID = U(0x454E44), 0, 1, 2
 #: Bytes of text of a slice, and for each bucket.
-SLICE, BUCKET = 5_000_000, 10_000_000
+SLICE, BUCKET = 5_000_000, 20_000_000
+#: Codec of tables whose columns are compressed already.
+PLAIN = "snappy"
 ASK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())])
 ANSWER = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("stats", pa.list_(pa.float64())), ("context", pa.int64())])
 ASK_DDL, ANSWER_DDL = "bucket int, slice long, data binary", "kind int, slice long, bucket int, data binary, stats array<double>, context long"
@@ -109,7 +111,7 @@ def squeezed(*columns: np.ndarray) -> bytes:
         head += [int(real), width, len(raw)]
         parts.append(raw.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
     data = b"".join([np.array(head, np.uint32).tobytes(), *parts])
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=4).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
 def loosened(data: bytes) -> list[np.ndarray]:
@@ -342,15 +344,15 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
         if held:
             yield out()
 
-    words, slices = checkpointed_parts(rows.mapInArrow(cut, sliced), "kind", 0, 1)
+    words, slices = checkpointed_parts(rows.mapInArrow(cut, sliced), "kind", 0, 1, codec=PLAIN)
     size = words.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
-    unclustered, slices = slices, clustered(slices.select("slice", "ids", "train", "tokens"), "slice", buckets)
+    unclustered, slices = slices, clustered(slices.select("slice", "ids", "train", "tokens"), "slice", buckets, PLAIN)
     discard(unclustered)
 
     def answered(asked: DataFrame, answer) -> DataFrame:
         """Each bucket's questions answered in one place, a bucket a partition or so."""
-        return checkpointed(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWER_DDL))
+        return checkpointed(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWER_DDL), PLAIN)
 
     def stats_of(answers: DataFrame) -> list[float]:
         """Sums over buckets of what they counted; a row a bucket, summed up by Spark."""
@@ -385,7 +387,7 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
     discard(words)
     tokens, kinds, *few = stats_of(answers)
     u, levels = Unigrams.of(tokens, kinds, few), []
-    known = clustered(replies(answers, 0), "slice", buckets)
+    known = clustered(replies(answers, 0), "slice", buckets, PLAIN)
     discard(answers)
 
     def with_answers(run, ddl):
@@ -457,7 +459,7 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
         levels = [*levels, Level(discounts(stats_of(answers)[2:]), np.array([r[0] for r in hot], np.int64), np.array([r[1:] for r in hot], float).reshape(-1, K_MAX + 1))]
         both = known.unionByName(replies(answers, k - 1))
         if k < order:
-            both = clustered(both, "slice", buckets)
+            both = clustered(both, "slice", buckets, PLAIN)
             discard(known, answers)
         known = both
 
