@@ -48,8 +48,8 @@ ORDER, K_MAX, RESERVE, HOT = 3, 5, 0.5, 4
 FOLDS, HELD_OUT = 5, 1
 #: Hash of a text's end, which is a word that is never a context. Numbers of the unknown word and of the start; words follow.
 END, UNKNOWN, START, FIRST_ID = U(0x454E44), 0, 1, 2
-#: Bytes of text of a slice, and for each bucket.
-SLICE, BUCKET = 5_000_000, 20_000_000
+#: Bytes of text of a slice, and for each bucket; n-grams of a bucket that are worked on at once.
+SLICE, BUCKET, RANGE = 5_000_000, 20_000_000, 600_000
 #: Codec of tables whose columns are compressed already.
 PLAIN = "snappy"
 ASK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())])
@@ -114,19 +114,24 @@ def squeezed(*columns: np.ndarray) -> bytes:
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
-def loosened(data: bytes) -> list[np.ndarray]:
-    """The columns that squeezed() took, as int64 or float64."""
+def loosened(data: bytes, narrow: bool = False) -> list[np.ndarray]:
+    """The columns that squeezed() took, as int64 or float64; narrow: whole numbers in as few bytes as hold them."""
     data = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     head, at, out = np.frombuffer(data, np.uint32, 3 * n, 4).reshape(n, 3).tolist(), 4 + 12 * n, []
     for real, width, size in head:
-        raw = np.zeros((size, 8), np.uint8)
+        room = 8 if not narrow or width > 4 else (0, 1, 2, 4, 4)[width]
+        raw = np.zeros((size, room), np.uint8)
         raw[:, :width] = np.frombuffer(data, np.uint8, width * size, at).reshape(width, size).T
-        out.append(raw.view(np.float64 if real else np.int64).ravel())
+        out.append(raw.view(np.float64 if real else {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[room]).ravel())
         at += width * size
     return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _steps(x: np.ndarray) -> np.ndarray:
     """Rising numbers as their differences."""
     return np.diff(x.view(np.int64), prepend=np.int64(0)).view(U)
@@ -295,6 +300,72 @@ class Slice:
         return pa.table({"doc_id": pa.array(row["ids"], arrow_id), "held_out": pa.array(~np.asarray(row["train"], bool)), "n_tokens": pa.array(np.diff(self.first)), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(at), int(self.u.tokens))), "base_score": pa.array(add(plain)), "score": pa.array(add(np.log10(self.p)))})
 
 
+class Bucket:
+    """The questions of all slices to one bucket, worked on in ranges of contexts of about RANGE n-grams."""
+
+    def __init__(self, parts: list[list[np.ndarray]], buckets: int, below: np.ndarray, word_factor: float):
+        self.parts, self.below = parts, below
+        self.ctx = [np.cumsum(p[0], dtype=np.int64) * buckets + p[1] for p in parts]
+        self.factors = [_shares(p[9], np.stack(p[10:], 1), below)[1] if len(p[9]) else np.array([word_factor]) for p in parts]
+        self.edges = [np.concatenate([[0], np.cumsum(p[4], dtype=np.int64)]) for p in parts]
+        self.buckets, self.stats, self.seen, self.hot = buckets, np.zeros(K_MAX + 4), 0, []
+
+    def replies(self, last: bool) -> list[bytes]:
+        """To each slice: counts, numbers of what occurs, sums of contexts that need a weight, counts of counts."""
+        out = [[] for _ in self.parts]
+        ranges = -(-sum(int(e[-1]) for e in self.edges) // RANGE)
+        some = np.sort(np.concatenate([c[:: max(1, ranges)] for c in self.ctx]))
+        cuts = np.unique(some[(np.arange(1, ranges) * len(some)) // ranges])
+        at = [np.concatenate([[0], np.searchsorted(c, cuts), [len(c)]]) for c in self.ctx]
+        for i in range(len(cuts) + 1):
+            for held, found in zip(out, self._range([(int(a[i]), int(a[i + 1])) for a in at]), strict=True):
+                held.append(found)
+        every = [[np.concatenate(column) for column in zip(*held, strict=True)] for held in out]
+        return [squeezed(count, _steps(index[: 0 if last else None].astype(np.int64)), *rest) for count, index, *rest in every]
+
+    def _range(self, runs: list[tuple[int, int]]) -> list[tuple]:
+        """What replies() holds, of some contexts of each slice."""
+        grams = [slice(e[a], e[b]) for e, (a, b) in zip(self.edges, runs, strict=True)]
+        of_runs = lambda x: np.concatenate([c[a:b] for c, (a, b) in zip(x, runs, strict=True)])
+        of_grams = lambda i: np.concatenate([p[i][g] for p, g in zip(self.parts, grams, strict=True)]).astype(np.int64)
+        names, which = np.unique(of_runs(self.ctx), return_inverse=True)
+        if not len(names):
+            return [(np.zeros(0, np.uint8),) * 2 + (np.zeros(0),) + (np.zeros(0, np.uint8),) * K_MAX for _ in runs]
+        sizes = of_runs([p[4] for p in self.parts]).astype(np.int64)
+        ctx, word = np.repeat(which, sizes), of_grams(5) * self.buckets + of_grams(6)
+        # One key where both parts fit into it.
+        by = np.argsort(ctx * (int(word.max()) + 1) + word) if len(names) * (int(word.max()) + 1) < 1 << 63 else np.lexsort((word, ctx))
+        ctx, word = ctx[by], word[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
+        at = np.flatnonzero(new)
+        del word
+        total = np.add.reduceat(of_grams(7)[by], at)
+        of = np.empty(len(by), np.int64)
+        of[by] = np.cumsum(new) - 1
+        example, heads = by[at], group_edges(ctx[at])[:-1]  # every context has a word
+        del ctx, new, by
+        low, run = of_grams(8)[example], np.repeat(np.arange(len(sizes)), sizes)[example]
+        p = self.below[np.minimum(low, K_MAX + 1)] * low * of_runs([f[q[3]] for f, q in zip(self.factors, self.parts, strict=True)])[run]
+        hot = of_runs([q[2] for q in self.parts])[run[heads]] > 0
+        del low, run, example
+        seen = total > 0
+        few = [_narrow(np.add.reduceat((total == r).astype(np.int64), heads)) for r in range(1, K_MAX + 1)]
+        sums, index = np.add.reduceat(np.where(seen, p, 0.0), heads), np.where(seen, np.cumsum(seen) + self.seen, 0)
+        self.seen += int(seen.sum())
+        self.stats += _counts_of_counts(total)
+        self.hot += [(int(names[i]), [*(float(f[i]) for f in few), float(sums[i])]) for i in np.flatnonzero(hot)]
+        out, gram, row = [], 0, 0
+        for (a, b), g, part in zip(runs, grams, self.parts, strict=True):
+            n, mine = g.stop - g.start, of[gram : gram + g.stop - g.start]
+            r, size = which[row : row + b - a], part[4][a:b].astype(np.int64)
+            count = total[mine]
+            wanted = np.minimum.reduceat(count, np.cumsum(size) - size) == 0 if n else np.zeros(0, bool)  # only what isn't found needs the context's weight
+            out.append((_narrow(count), _narrow(index[mine][count > 0]), sums[r[wanted]], *(f[r] for f in few)))
+            gram, row = gram + n, row + b - a
+        return out
+
+
 def _by_bucket(batches):
     """(bucket, [(slice, data)]) of rows that come sorted by bucket; holds one bucket."""
     now, held = None, []
@@ -413,45 +484,13 @@ def katz_scores(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "do
             return pa.Table.from_batches([blob_batch(asked, ASK)])
 
         def answer(batches, below=below, word_factor=u.scale / max(u.tokens, 1), last=k == order):
-            def factors(p):
-                return _shares(p[9], np.stack(p[10:], 1), below)[1] if len(p[9]) else np.array([word_factor])
-
             for b, asked in _by_bucket(batches):
-                parts = [loosened(data) for _, data in asked]
-                names, which = np.unique(np.concatenate([np.cumsum(p[0]) * buckets + p[1] for p in parts]), return_inverse=True)
-                sizes = np.concatenate([p[4] for p in parts])
-                ctx, word, times, low = np.repeat(which, sizes), *(np.concatenate([f(p) for p in parts]) for f in (lambda p: p[5] * buckets + p[6], lambda p: p[7], lambda p: p[8]))
-                factor, hot = np.concatenate([factors(p)[p[3]] for p in parts]), np.concatenate([p[2] for p in parts])
-                edges, run_sizes = np.cumsum([0, *(len(p[5]) for p in parts)]), [p[4] for p in parts]
-                del parts
-                # One key where both parts fit into it.
-                by = np.argsort(ctx * (int(word.max()) + 1) + word) if len(names) * (int(word.max()) + 1) < 1 << 63 else np.lexsort((word, ctx))
-                ctx, word = ctx[by], word[by]
-                new = np.ones(len(by), bool)
-                new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
-                at = np.flatnonzero(new)
-                del word
-                total = np.add.reduceat(times[by], at)
-                of = np.empty(len(by), np.int64)
-                of[by] = np.cumsum(new) - 1
-                example, c = by[at], ctx[at]
-                del ctx, new, by, times
-                low, run = low[example], np.repeat(np.arange(len(sizes)), sizes)[example]
-                p = below[np.minimum(low, K_MAX + 1)] * low * factor[run]
-                hot = hot[run] > 0
-                del run, low, example
-                runs, seen = group_edges(c), total > 0
-                few = [np.add.reduceat((total == r).astype(np.int64), runs[:-1]) for r in range(1, K_MAX + 1)]
-                sums, r_at = np.add.reduceat(np.where(seen, p, 0.0), runs[:-1]), np.cumsum([0, *map(len, run_sizes)])
-                index = np.where(seen, np.cumsum(seen), 0)
-                out = []
-                for i, ((g, _), n, x, y) in enumerate(zip(asked, run_sizes, edges[:-1], edges[1:], strict=True)):
-                    mine, r = of[x:y], which[r_at[i] : r_at[i + 1]]  # every context has a word, so its run is its place
-                    count, first = total[mine], np.cumsum(n) - n
-                    wanted = np.minimum.reduceat(count, first) == 0  # only what isn't found needs the context's weight
-                    out.append((0, g, b, squeezed(count, _steps(index[mine][count > 0][: 0 if last else None]), sums[r[wanted]], *(f[r] for f in few)), None, None))
-                out += [(2, None, b, None, [*(float(f[i]) for f in few), float(sums[i])], int(names[i])) for i in np.flatnonzero(hot[runs[:-1]])]
-                yield blob_batch([*out, (1, None, b, None, _counts_of_counts(total), None)], ANSWER)
+                names, bucket = [g for g, _ in asked], Bucket([loosened(data, narrow=True) for _, data in asked], buckets, below, word_factor)
+                del asked
+                replies = bucket.replies(last)
+                out = [(0, g, b, data, None, None) for g, data in zip(names, replies, strict=True)]
+                out += [(2, None, b, None, figures, context) for context, figures in bucket.hot]
+                yield blob_batch([*out, (1, None, b, None, bucket.stats.tolist(), None)], ANSWER)
 
         answers = answered(with_answers(ask, ASK_DDL), answer)
         sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(K_MAX + 1)]

@@ -298,6 +298,7 @@ def test_katz_scores(spark, monkeypatch, order, buckets):
 
     monkeypatch.setattr(katz, "SLICE", 3000)
     monkeypatch.setattr(katz, "HOT", buckets)
+    monkeypatch.setattr(katz, "RANGE", 500)
     texts = some_texts(5)
     df = docs_of(spark, texts)
     got = {r["doc_id"]: r for r in katz_scores(df, F.col("doc_id") % 5 == 1, order).collect()}
