@@ -186,14 +186,8 @@ def remap_paths(s, d):
     return V.files(s, d, (3,)).select("path", filters.remap(p, "keep").alias("kept"), filters.remap(p, "strip", strip=1).alias("stripped"), filters.remap(p, "flatten").alias("flat"), filters.remap(p, "prefix", source="src1", target="moved").alias("mapped"))
 
 
-@query(f"WITH {FILES}, r AS (SELECT path, concat('out/', string_split(path, '/')[2], '.txt') AS dest FROM f WHERE txn_id = 3 AND doc_id % 50 < 3), n AS (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY path) - 1 AS c FROM r) SELECT path, dest, CASE WHEN c = 0 THEN dest ELSE concat(substr(dest, 1, length(dest) - 4), '_', c, '.txt') END AS final FROM n")
-def conflict_suffixes(s, d):
-    f = V.files(s, d, (3,)).where("doc_id % 50 < 3").select("path", F.concat(F.lit("out/"), F.split("path", "/")[1], F.lit(".txt")).alias("dest"))
-    return filters.resolve_conflicts(f).select("path", "dest", "final")
-
-
 @query(f"WITH {FILES}, r AS (SELECT path, concat('out/', string_split(path, '/')[2], '.txt') AS dest FROM f WHERE txn_id = 3), n AS (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY path) - 1 AS c FROM r) SELECT path, dest, CASE WHEN c = 0 THEN dest ELSE concat(substr(dest, 1, length(dest) - 4), '_', c, '.txt') END AS final FROM n")
-def conflict_suffixes_all(s, d):
+def conflict_suffixes(s, d):
     f = V.files(s, d, (3,)).select("path", F.concat(F.lit("out/"), F.split("path", "/")[1], F.lit(".txt")).alias("dest"))
     return filters.resolve_conflicts(f).select("path", "dest", "final")
 
@@ -372,14 +366,14 @@ def _levels(leaves: str, key: str) -> str:
     return f"RECURSIVE {leaves}, t AS (SELECT {key} AS k, 0 AS l, i, h, n FROM leaves UNION ALL SELECT k, l + 1, i // 2, sha256(unhex(h || CASE WHEN nh IS NULL THEN h ELSE nh END)), (n + 1) // 2 FROM (SELECT *, lead(h) OVER (PARTITION BY k ORDER BY i) AS nh FROM t WHERE n > 1) WHERE i % 2 = 0)"
 
 
-@query("WITH " + _levels(CHUNKS + ", leaves AS (SELECT path, idx AS i, hash AS h, count(*) OVER (PARTITION BY path) AS n FROM chunks WHERE txn_id = 1)", "path") + " SELECT k AS path, h AS content_hash FROM t WHERE n = 1")
+@query("WITH " + _levels(CHUNKS + ", leaves AS (SELECT path, idx AS i, hash AS h, count(*) OVER (PARTITION BY path) AS n FROM chunks WHERE txn_id = 3)", "path") + " SELECT k AS path, h AS content_hash FROM t WHERE n = 1")
 def file_content_hash(s, d):
-    return audit.content_hash(V.chunks(s, d, (1,)), ["path"])
+    return audit.content_hash(V.chunks(s, d, (3,)), ["path"])
 
 
-@query("WITH " + _levels(CHUNKS + ", leaves AS (SELECT 1 AS one, row_number() OVER (ORDER BY path, idx) - 1 AS i, hash AS h, count(*) OVER () AS n FROM chunks WHERE txn_id = 1)", "one") + " SELECT (SELECT count(*) FROM leaves) AS n_leaves, h AS merkle_root FROM t WHERE n = 1")
+@query("WITH " + _levels(CHUNKS + ", leaves AS (SELECT 1 AS one, row_number() OVER (ORDER BY path, idx) - 1 AS i, hash AS h, count(*) OVER () AS n FROM chunks WHERE txn_id = 3)", "one") + " SELECT (SELECT count(*) FROM leaves) AS n_leaves, h AS merkle_root FROM t WHERE n = 1")
 def merkle_root(s, d):
-    leaves = V.chunks(s, d, (1,)).select("path", "idx", "hash")
+    leaves = V.chunks(s, d, (3,)).select("path", "idx", "hash")
     return audit.merkle_root(audit.numbered(leaves, ["path", "idx"], checkpointed))
 
 
@@ -418,17 +412,19 @@ def exclude_suppress(s, d):
     return suggestions.suppress(suggestions.suggest(V.tree(s, d)), ["build", "thumbs*"])
 
 
-@query(f"WITH {FILES}, c AS (SELECT path, unnest(string_split(left(content, 200), '')) AS c FROM f WHERE txn_id = 1), n AS (SELECT path, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY path) AS t FROM c WHERE c <> '' GROUP BY 1, 2) SELECT path, round(-sum(n / t * log2(n / t)) + 0.0, 6) AS bits FROM n GROUP BY path")
-def entropy_class(s, d):
-    f = V.files(s, d, (1,), True).where(F.length("content") > 0)
-    return f.select("path", F.round(codec.text_entropy(F.substring("content", 1, 200)), 6).alias("bits"))
+#: Bytes of the sample that the operator reads, as pairs of hex digits; entropy and distinct bytes of it.
+SAMPLED = FILES + f""", s AS (SELECT path, hex(encode(content)) AS x FROM f WHERE txn_id = 3),
+b AS (SELECT path, substr(x, i, 2) AS byte, least(length(x) // 2, {codec.SAMPLE}) AS size FROM (SELECT path, x, unnest(range(1, 2 * least(length(x) // 2, {codec.SAMPLE}) + 1, 2)) AS i FROM s)),
+n AS (SELECT path, size, count(*) AS n FROM b GROUP BY path, size, byte),
+e AS (SELECT path, -sum(n / size * log2(n / size)) + 0.0 AS bits, count(*) / any_value(size) AS diversity FROM n GROUP BY path),
+k AS (SELECT f.path, coalesce(bits, 0.0) AS bits, coalesce(diversity, 0.0) AS diversity FROM f LEFT JOIN e USING (path) WHERE txn_id = 3)"""
 
 
-@query()
-def content_classes(s, d):
+@query(f"WITH {SAMPLED} SELECT path, round(bits, 6) AS bits, round(diversity, 6) AS diversity, CASE WHEN diversity > 0.95 AND bits * 125 > 950 OR bits = 0 AND diversity = 0 THEN 'incompressible' WHEN bits * 125 > 700 THEN 'slow' ELSE 'fast' END AS content_class FROM k")
+def entropy_class(s, d):
+    """Entropy, share of distinct bytes and class of the sample that the operator reads of each file."""
     f, content = V.files(s, d, (3,), True), F.col("content").cast("binary")
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
-    return f.select("path", F.round(codec.entropy(content), 6).alias("bits"), codec.content_class(extension, content).alias("content_class"))
+    return f.select("path", F.round(codec.entropy(content), 6).alias("bits"), F.round(codec.byte_diversity(content), 6).alias("diversity"), codec.content_class(filters.extension(F.col("path")), content).alias("content_class"))
 
 
 @query(f"WITH {SNAPSHOTS} SELECT greatest(max(txn_id) - 100, 0) AS lag FROM snapshots")

@@ -51,13 +51,6 @@ def slide_checksum(previous: int, out: int, new: int, window: int) -> int:
     return ((b - window * out + a - 1) % base) << 16 | a
 
 
-def text_entropy(text: Column) -> Column:
-    """Shannon entropy in bits of a text's characters, without leaving the JVM."""
-    chars = F.split(text, "")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
-    return F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
-
-
 def content_class(extension: Column, content: Column) -> Column:
     """incompressible by extension, emptiness or a sample of nearly all distinct bytes; else slow or fast by entropy."""
     permille = entropy(content) * 125

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python workers need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="palimpsest-"), "palimpsest"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)  # the driver serves it
+    _shipped.add(app)
+
 
 def session(app: str = "palimpsest", **conf: str) -> SparkSession:
     """An adaptive session in UTC. Keyword names have __ where the setting has a dot."""
@@ -18,4 +35,6 @@ def session(app: str = "palimpsest", **conf: str) -> SparkSession:
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark

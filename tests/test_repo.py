@@ -121,7 +121,7 @@ def test_conflict_suffixes_number_all_rows_by_range(spark):
 
     from .conftest import SF
 
-    assert q.QUERIES["conflict_suffixes_all"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert q.QUERIES["conflict_suffixes"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = [(f"p{i:05d}", "a/x.txt" if i % 7 else "b/y") for i in range(2000)] + [("q", None), ("z", "a/x_5.txt")]
     got = {r["path"]: (r["copy"], r["dest"]) for r in filters.copies(spark.createDataFrame(rows, "path string, dest string"), "dest", ("path",)).collect()}
     seen = {}
@@ -141,7 +141,7 @@ def test_content_classes_sample_4096_bytes(spark, tmp_path):
     texts = ["a" * 200 + "".join(chr(33 + i * 7 % 90) for i in range(9000)), "a" * 5000 + "bcdefgh" * 900, "", None, "ü" * 3000, "xyz", "".join(chr(0x400 + i * 37 % 900) for i in range(4000))]
     rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["path"]: (r["bits"], r["content_class"]) for r in q.QUERIES["content_classes"](spark, str(tmp_path)).collect()}
+    got = {r["path"]: (r["bits"], r["content_class"]) for r in q.QUERIES["entropy_class"](spark, str(tmp_path)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         data = ((t or "") + (" [edited]" if i % 5 == 0 else "")).encode()[:4096]
