@@ -13,7 +13,7 @@ from .operators import catalog, restore, retention, suggestions
 from .operators.filters import FileFilter
 from .plans.repo import Repo
 from .session import session
-from .sources.files import read_files, scan, write_files
+from .sources.files import read_files, scan
 
 
 def _show(rows: DataFrame) -> None:
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
         for n, default in options.items():
             c.add_argument("--" + n.replace("_", "-"), default=default, action="store_true" if default is False else "store", **({} if default is False else {"type": type(default)}))
 
-    command("backup", "source", filter="", job="", level=3)
+    command("backup", "source", filter="", job="", tier="balanced")
     command("restore", "target", txn=0, filter="")
     command("list-snapshots")
     command("diff", "a", "b")
@@ -56,6 +56,10 @@ def main(argv: list[str] | None = None) -> None:
     command("compact")
     command("maintain")
     command("preview", "live", txn=0)
+    command("apply", "live", txn=0, on_conflict="skip", on_orphan="skip", dry_run=False)
+    command("get-chunk", "digest")
+    command("delete-snapshot", "txn")
+    command("vacuum", older_than=86400.0)
     command("export", "path", target=0, base=0)
     command("import", "path")
     command("suggest-excludes")
@@ -67,10 +71,10 @@ def main(argv: list[str] | None = None) -> None:
     wanted = FileFilter.parse(args.filter) if getattr(args, "filter", "") else FileFilter()
 
     if args.command == "backup":
-        print(json.dumps({"txn_id": repo.backup(_files(spark, args.source, wanted), now, args.job, level=args.level)}))
+        print(json.dumps({"txn_id": repo.backup(_files(spark, args.source, wanted), now, args.job, tier=args.tier)}))
     elif args.command == "restore":
-        rows = wanted.apply(repo.files(args.txn or None).withColumn("uid", F.lit(0)))
-        print(json.dumps({"files": write_files(repo.content(args.txn or None).join(rows.select("path"), "path", "left_semi"), args.target)}))
+        rows = wanted.apply(repo.files(args.txn or None))
+        print(json.dumps({"files": repo.restore(args.target, args.txn or None, rows.select("path"))["file_count"]}))
     elif args.command == "list-snapshots":
         _show(repo.snapshots())
     elif args.command == "diff":
@@ -100,9 +104,18 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "maintain":
         print(json.dumps(repo.maintain(now)))
     elif args.command == "preview":
-        live = _files(spark, args.live, wanted).select("path", F.lit("file").alias("file_type"), F.octet_length("content").cast("long").alias("size"), "mtime_unix", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("string").alias("link_target"))
         txn = args.txn or repo.snapshots().agg(F.max("txn_id")).first()[0]
+        live = repo.live(args.live, txn)
         _show(restore.plan_summary(repo.plan_in_place(txn, live)))
+    elif args.command == "apply":
+        txn = args.txn or repo.snapshots().agg(F.max("txn_id")).first()[0]
+        print(json.dumps(repo.apply_in_place(args.live, txn, on_conflict=args.on_conflict, on_orphan=args.on_orphan, dry_run=args.dry_run)))
+    elif args.command == "get-chunk":
+        _show(repo.chunk(args.digest).select("hash", F.octet_length("payload").alias("length"), "ok"))
+    elif args.command == "delete-snapshot":
+        repo.delete_snapshot(args.txn)
+    elif args.command == "vacuum":
+        print(json.dumps({"deleted": repo.vacuum(args.older_than)}))
     elif args.command == "export":
         repo.export(args.path, args.target or None, args.base or None)
     elif args.command == "import":

@@ -57,6 +57,13 @@ def apply_plan(plan: DataFrame, on_conflict: str = "skip", on_orphan: str = "ski
     return plan.withColumn("decision", F.when(a.isin("add", "modify"), "write").when(a == "unchanged", "keep").when(a == "orphan", left).otherwise(clash))
 
 
+def apply_summary(plan: DataFrame) -> DataFrame:
+    """Figures of a plan with decisions: files written, kept, left alone, deleted and refused, and bytes to write."""
+    n = {"written": "write", "kept": "keep", "skipped": "skip", "deleted": "delete", "failed": "fail"}
+    bytes_written = F.coalesce(F.sum(F.when(F.col("decision") == "write", F.col("target_size"))), F.lit(0))
+    return plan.agg(*[F.count_if(F.col("decision") == d).alias(name) for name, d in n.items()], bytes_written.alias("bytes_written"))
+
+
 def verify_restored(manifest: DataFrame, disk: DataFrame) -> DataFrame:
     """(path, ok): whether chunks (path, idx, length, hash) on disk are the manifest's, all of them, in order."""
     m = manifest.select("path", "idx", F.struct("length", "hash").alias("m"))
@@ -70,6 +77,11 @@ def reassemble(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").agg(parts.alias("parts")).select("path", F.aggregate("parts", F.lit("").cast("binary"), lambda a, b: F.concat(a, b)).alias("content"))
 
 
+def subset_leaves(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """Chunks of the files in paths, the leaves of a restored part's own root."""
+    return chunks.join(paths.select("path"), "path", "left_semi").select("path", "idx", "hash")
+
+
 def acceptance(files: DataFrame) -> DataFrame:
-    """Paths in order and bytes of what was restored."""
+    """Files and bytes of what was restored."""
     return files.where(F.col("file_type") == "file").agg(F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

@@ -1,126 +1,226 @@
-"""A repository of snapshots: parquet tables under one folder, and a pointer to what is current.
-
-files and chunks are partitioned by txn_id, so that reading a snapshot opens its
-partition only. A commit writes a snapshot's partitions first and its row in
-snapshots last; readers take snapshots from that table, so that a torn write is
-never seen. Tables that shrink are rewritten to a new version, which the pointer
-then names.
+"""A repository of snapshots: parquet tables under one folder, and a log of commits that says what is current.
+
+Every run writes folders of its own, named by the run, and then one small file
+in `commits`, which lists the folders that make up each table from then on. The
+file is created under the next number or not at all, so that a run is seen whole
+or not at all, a run that dies leaves nothing that anyone reads, and of two
+runs that started from the same commit the second one fails and can be tried
+again. Readers go by the newest whole commit. Dropping snapshots drops folders
+from the list; vacuum() deletes folders that no commit lists any more.
+
+Folders of files and chunks belong to one snapshot, so that reading a snapshot
+opens its folders only.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..functions import codec
-from ..operators import audit, catalog, chunking, reports, restore, retention, store
+from ..operators import audit, catalog, chunking, filters, reports, restore, retention, store
+
+PARTS = {
+    "files": "txn_id long, path string, size long, mtime_unix long, file_type string, mode int, uid long, gid long, inode_id long, content_hash string, link_target string",
+    "chunks": "txn_id long, path string, idx long, offset long, length long, hash string",
+    "payloads": "hash string, stored_len long, uncompressed_len long, codec string, pack_name string, data binary",
+    "tombstones": "hash string",
+    "snapshots": "txn_id long, created_at_unix long, merkle_root string, file_count long",
+    "meta": "seq long, txn_id long, job_id string, retention_tag string, immutable_until long",
+    "audit": "seq long, sequence long, prev_sha256 string, sha256 string, body_json string",
+}
+#: Tables whose folders belong to a snapshot each.
+BY_SNAPSHOT = ("files", "chunks", "snapshots", "meta")
+#: Rows of a table of paths up to which it is sent to all tasks, so that contents stay where they are.
+SENT_PATHS = 100_000
+
 
-PARTS = {"files": "txn_id long, path string, size long, mtime_unix long, file_type string, content_hash string, link_target string", "chunks": "txn_id long, path string, idx long, offset long, length long, hash string", "payloads": "hash string, stored_len long, uncompressed_len long, codec string, pack_name string, data binary", "tombstones": "hash string", "snapshots": "txn_id long, created_at_unix long, merkle_root string, file_count long", "meta": "seq long, txn_id long, job_id string, retention_tag string, immutable_until long", "audit": "seq long, sequence long, prev_sha256 string, sha256 string, body_json string"}
+class Conflict(RuntimeError):
+    """Another run has committed since this one began; try again."""
 
 
 class Repo:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # Tables
-
-    def _versions(self, name: str) -> list[str]:
-        folder = self._at(f"{self.path}/{name}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v")) if self._fs.exists(folder) else []
-
-    def table(self, name: str) -> DataFrame:
-        """The newest finished version of a table; empty before its first write."""
-        for v in reversed(self._versions(name)):
-            if self._fs.exists(self._at(f"{self.path}/{name}/{v}/_SUCCESS")):
-                return self.spark.read.schema(PARTS[name]).parquet(f"{self.path}/{name}/{v}")
-        return self.spark.createDataFrame([], PARTS[name])
-
-    def _append(self, rows: DataFrame, name: str, by: str | None = None) -> None:
-        done = [v for v in self._versions(name) if self._fs.exists(self._at(f"{self.path}/{name}/{v}/_SUCCESS"))]
-        out = rows.write.mode("append")
-        (out.partitionBy(by) if by else out).parquet(f"{self.path}/{name}/{done[-1] if done else 'v000000'}")
-
-    def _replace(self, rows: DataFrame, name: str, by: str | None = None) -> None:
-        """A new version; the old ones go once it is finished."""
-        old = self._versions(name)
-        new = f"v{int(old[-1][1:]) + 1:06d}" if old else "v000000"
-        (rows.write.partitionBy(by) if by else rows.write).parquet(f"{self.path}/{name}/{new}")
-        for v in old:
-            self._fs.delete(self._at(f"{self.path}/{name}/{v}"), True)
+    # Commits
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _state(self) -> dict:
+        """The newest whole commit: its number, and the folders of each table as [txn or None, folder]."""
+        for name in reversed(self._names("commits")):
+            stream = self._fs.open(self._at(f"{self.path}/commits/{name}"))
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            if text.endswith("\n"):  # a torn file has no end
+                return json.loads(text)
+        return {"number": 0, "tables": {n: [] for n in PARTS}}
+
+    def _commit(self, was: dict, tables: dict) -> None:
+        number = max([was["number"], *(int(n[:10]) for n in self._names("commits") if n.endswith(".json"))]) + 1
+        if self._state()["number"] != was["number"]:
+            raise Conflict(f"commit {was['number']} isn't the newest any more")
+        try:
+            out = self._fs.create(self._at(f"{self.path}/commits/{number:010d}.json"), False)
+        except Exception as e:  # the file exists
+            raise Conflict(f"commit {number} is taken") from e
+        out.write((json.dumps({"number": number, "tables": was["tables"] | tables}) + "\n").encode())
+        out.close()
+
+    def _write(self, rows: DataFrame, name: str, run: str, txn: int | None = None) -> list:
+        folder = f"{name}/{run}"
+        rows.select([f.split()[0] for f in PARTS[name].split(", ")]).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        return [txn, folder]
+
+    def table(self, name: str, *txns: int, state: dict | None = None) -> DataFrame:
+        """A table as committed; of some snapshots only, their folders alone."""
+        parts = [f"{self.path}/{folder}" for txn, folder in (state or self._state())["tables"][name] if not txns or txn in txns]
+        return self.spark.read.schema(PARTS[name]).parquet(*parts) if parts else self.spark.createDataFrame([], PARTS[name])
+
+    def vacuum(self, older_than: float = 86400.0) -> int:
+        """Deletes folders that no commit lists and that are older than so many seconds, as runs may be going on. Their number."""
+        listed = {folder for parts in self._state()["tables"].values() for _, folder in parts}
+        gone, now = 0, time.time()
+        for name in (*PARTS, "_staging"):
+            for run in self._names(name):
+                at = self._at(f"{self.path}/{name}/{run}")
+                if f"{name}/{run}" not in listed and now - self._fs.getFileStatus(at).getModificationTime() / 1000 >= older_than:
+                    self._fs.delete(at, True)
+                    gone += 1
+        return gone
 
     # Writing
 
-    def backup(self, files: DataFrame, created_at: int, job: str = "", config: chunking.ChunkConfig | None = None, level: int = 3) -> int:
-        """Takes (path, content, mtime_unix) as the next snapshot; its number.
+    def backup(self, files: DataFrame, created_at: int, job: str = "", config: chunking.ChunkConfig | None = None, tier: str = "balanced", incremental: bool = True, retention_tag: str = "", immutable_until: int = 0) -> int:
+        """Takes (path, content, mtime_unix and, where given, file_type, mode, uid, gid, inode_id, link_target) as the next snapshot; its number.
 
-        Files are cut where they lie; only chunks that aren't stored are encoded.
+        Files whose size and time are those of the last snapshot keep its chunks
+        and aren't read; others are cut where they lie. Only chunks without a
+        stored payload are encoded, at the level that the tier has for the class
+        of their content; a payload that was marked dead and is wanted again
+        only loses its mark. Of rows that repeat a path the last time's counts.
         """
-        last = self.table("snapshots").agg(F.max("txn_id")).first()[0] or 0
-        txn, tag = last + 1, uuid.uuid4().hex
-        content = files.select("path", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"), "mtime_unix")
-        cut = chunking.chunk(content.select("path", "content"), config)
-        staged = f"{self.path}/_staging/{tag}"
-        cut.write.parquet(staged)
-        cut = self.spark.read.parquet(staged)
-        roots = audit.content_hash(cut, ["path"])
-        rows = content.select("path", F.octet_length("content").cast("long").alias("size"), "mtime_unix").join(roots, "path", "left")
-        rows = rows.select(F.lit(txn).cast("long").alias("txn_id"), "path", "size", "mtime_unix", F.lit("file").alias("file_type"), F.coalesce("content_hash", F.lit(audit.ZERO)).alias("content_hash"), F.lit(None).cast("string").alias("link_target"))
-        fresh = store.new_chunks(cut.select("path", "offset", "length", "hash"), self.table("payloads"), self.table("tombstones"))
-        data = fresh.join(content.select("path", "content"), "path").select("hash", F.substring("content", F.col("offset") + 1, F.col("length")).alias("piece"))
-        done = data.select("hash", F.octet_length("piece").cast("long").alias("uncompressed_len"), codec.encode("piece", F.lit(level)).alias("e"))
+        was, run = self._state(), uuid.uuid4().hex
+        last = self._last(was)
+        txn, staged = last + 1, f"{self.path}/_staging/{run}"
+        for name, kind in (("file_type", "string"), ("mode", "int"), ("uid", "long"), ("gid", "long"), ("inode_id", "long"), ("link_target", "string")):
+            if name not in files.columns:
+                files = files.withColumn(name, F.lit("file" if name == "file_type" else None).cast(kind))
+        files = files.withColumn("content", F.when(F.col("file_type") == "file", F.coalesce(F.col("content").cast("binary"), F.lit(b""))))
+        about = files.select("path", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"), F.col("mtime_unix").cast("long").alias("mtime_unix"), "file_type", "mode", "uid", "gid", "inode_id", "link_target").where("path is not null")
+        about = self._staged(about.groupBy("path").agg(F.max_by(F.struct(*about.columns[1:]), F.struct("mtime_unix", "size")).alias("r")).select("path", "r.*"), f"{staged}/about")
+        content = files.where("file_type = 'file' and path is not null").select("path", "content", F.col("mtime_unix").cast("long").alias("mtime_unix"))
+        old = self.table("files", last, state=was) if incremental and last else None
+        if old is not None:
+            same = about.where("file_type = 'file'").join(old.where("file_type = 'file'").select("path", "size", "mtime_unix"), ["path", "size", "mtime_unix"], "left_semi").select("path")
+            same = self._staged(same, f"{staged}/same")
+            content = content.join(self._sent(same), "path", "left_anti")
+            kept = self.table("chunks", last, state=was).join(same, "path", "left_semi")
+        content = content.join(self._sent(about.select("path", "mtime_unix")), ["path", "mtime_unix"], "left_semi")
+        cut = chunking.chunk(content.select("path", "content"), config).select("path", "idx", "offset", "length", "hash").dropDuplicates(["path", "idx"])
+        cut = self._staged(cut, f"{staged}/cut")
+        every = cut if old is None else cut.unionByName(kept.select(cut.columns))
+
+        fresh = cut.groupBy("hash").agg(F.min(F.struct("path", "offset", "length")).alias("r")).select("hash", "r.*").join(self.table("payloads", state=was).select("hash"), "hash", "left_anti")
+        wanted = self._staged(fresh.groupBy("path").agg(F.collect_list(F.struct("hash", "offset", "length")).alias("pieces")), f"{staged}/wanted")
+        pieces = content.dropDuplicates(["path"]) if self._repeated(files) else content
+        pieces = pieces.join(self._sent(wanted), "path").select("path", "content", F.explode("pieces").alias("r")).select("path", "r.hash", F.substring("content", F.col("r.offset") + 1, F.col("r.length")).alias("piece"))
+        kind = codec.content_class(filters.extension(F.col("path")), F.col("piece"))
+        level = F.when(kind == "incompressible", 0).otherwise(codec.tier_level(F.lit(tier), kind))
+        done = pieces.select("hash", F.octet_length("piece").cast("long").alias("uncompressed_len"), codec.encode("piece", level).alias("e"))
         done = done.select("hash", F.octet_length("e.data").cast("long").alias("stored_len"), "uncompressed_len", F.col("e.codec").alias("codec"), F.concat(F.lit(f"{txn}-"), F.hex(store.shard())).alias("pack_name"), F.col("e.data").alias("data"))
-        self._append(done, "payloads")
-        back = cut.select("hash").distinct().join(self.table("tombstones"), "hash", "left_semi")
-        if not back.isEmpty():  # a chunk that is wanted again isn't dead
-            self._replace(self.table("tombstones").join(back, "hash", "left_anti"), "tombstones")
-        self._append(cut.select(F.lit(txn).cast("long").alias("txn_id"), "path", "idx", "offset", "length", "hash"), "chunks", "txn_id")
-        self._append(rows, "files", "txn_id")
-        leaves = audit.numbered(cut.select("path", "idx", "hash"), ["path", "idx"], lambda df: self._stage(df, f"{staged}-numbered"))
+        tables = {"payloads": [*was["tables"]["payloads"], self._write(done, "payloads", run, txn)]}
+
+        dead = self.table("tombstones", state=was)
+        back = every.select("hash").distinct().join(dead, "hash", "left_semi")
+        if was["tables"]["tombstones"] and not back.isEmpty():  # a chunk that is wanted again isn't dead
+            tables["tombstones"] = [self._write(dead.join(back, "hash", "left_anti"), "tombstones", run)]
+        chunks = self._write(every.select(F.lit(txn).cast("long").alias("txn_id"), *cut.columns), "chunks", run, txn)
+        every = self.spark.read.schema(PARTS["chunks"]).parquet(f"{self.path}/{chunks[1]}")
+        roots = audit.content_hash(every, ["path"])
+        rows = about.join(roots, "path", "left").withColumns({"txn_id": F.lit(txn).cast("long"), "content_hash": F.when(F.col("file_type") == "file", F.coalesce("content_hash", F.lit(audit.ZERO)))})
+        new = {"chunks": chunks, "files": self._write(rows, "files", run, txn)}
+        leaves = audit.numbered(every.select("path", "idx", "hash"), ["path", "idx"], lambda df: self._staged(df, f"{staged}/numbered"))
         root = audit.merkle_root(leaves).select("merkle_root").first()[0]
-        count = rows.count()
-        chain = self.table("audit")
-        before = chain.agg(F.max_by(F.struct("sequence", "sha256"), "seq").alias("x")).first()["x"]
-        n, prev = (before["sequence"], before["sha256"]) if before else (0, "")
-        body = F.lit(f'{{"kind":"rar","txn":{txn},"root":"{root}"}}')
+        tables["audit"] = [*was["tables"]["audit"], self._write(self._next_entry({"kind": "rar", "txn": txn, "root": root}, was), "audit", run)]
         one = self.spark.range(1)
-        self._append(one.select(F.lit(n + 1).cast("long").alias("seq"), F.lit(n + 1).cast("long").alias("sequence"), F.lit(prev).alias("prev_sha256"), F.sha2(body, 256).alias("sha256"), body.alias("body_json")), "audit")
-        self._append(one.select(F.lit(txn).cast("long").alias("seq"), F.lit(txn).cast("long").alias("txn_id"), F.lit(job).alias("job_id"), F.lit("").alias("retention_tag"), F.lit(0).cast("long").alias("immutable_until")), "meta")
-        self._append(one.select(F.lit(txn).cast("long").alias("txn_id"), F.lit(created_at).cast("long").alias("created_at_unix"), F.lit(root).alias("merkle_root"), F.lit(count).cast("long").alias("file_count")), "snapshots")
-        self._fs.delete(self._at(f"{self.path}/_staging"), True)
+        new["meta"] = self._write(one.select(F.lit(txn).cast("long").alias("seq"), F.lit(txn).cast("long").alias("txn_id"), F.lit(job).alias("job_id"), F.lit(retention_tag).alias("retention_tag"), F.lit(immutable_until).cast("long").alias("immutable_until")), "meta", run, txn)
+        new["snapshots"] = self._write(one.select(F.lit(txn).cast("long").alias("txn_id"), F.lit(created_at).cast("long").alias("created_at_unix"), F.lit(root).alias("merkle_root"), F.lit(about.count()).cast("long").alias("file_count")), "snapshots", run, txn)
+        self._commit(was, tables | {n: [*was["tables"][n], part] for n, part in new.items()})
+        self._fs.delete(self._at(staged), True)
         return txn
 
-    def _stage(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+    def _repeated(self, files: DataFrame) -> bool:
+        return not files.groupBy("path").count().where("count > 1").isEmpty()
+
+    def _sent(self, paths: DataFrame) -> DataFrame:
+        """A staged table of paths: sent to all tasks if it is small, as counted."""
+        return F.broadcast(paths) if paths.count() <= SENT_PATHS else paths
+
+    def _staged(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _next_entry(self, body: dict, state: dict) -> DataFrame:
+        before = self.table("audit", state=state).agg(F.max_by(F.struct("sequence", "sha256"), "seq").alias("x")).first()["x"]
+        n, prev = (before["sequence"], before["sha256"]) if before else (0, "")
+        text = F.lit(json.dumps(body, separators=(",", ":")))
+        return self.spark.range(1).select(F.lit(n + 1).cast("long").alias("seq"), F.lit(n + 1).cast("long").alias("sequence"), F.lit(prev).alias("prev_sha256"), F.sha2(text, 256).alias("sha256"), text.alias("body_json"))
+
+    def log(self, event: str, **details) -> None:
+        """Appends an entry about an operation to the audit chain."""
+        was = self._state()
+        entry = self._next_entry({"kind": "ops", "event": event} | details, was)
+        self._commit(was, {"audit": [*was["tables"]["audit"], self._write(entry, "audit", uuid.uuid4().hex)]})
 
     # Reading
 
+    def _last(self, state: dict) -> int:
+        return max((txn for txn, _ in state["tables"]["snapshots"]), default=0)
+
     def snapshots(self) -> DataFrame:
         return self.table("snapshots").orderBy("txn_id")
 
     def files(self, txn: int | None = None) -> DataFrame:
         """The files of a snapshot; of the newest for None or 0. NotFound where there is none."""
-        txn = txn or self.table("snapshots").agg(F.max("txn_id")).first()[0]
-        if txn is None or self.table("snapshots").where(F.col("txn_id") == txn).isEmpty():
+        state = self._state()
+        txn = txn or self._last(state)
+        if txn not in {t for t, _ in state["tables"]["snapshots"]}:
             raise catalog.NotFound(f"no snapshot {txn}")
-        return self.table("files").where(F.col("txn_id") == txn)
+        return self.table("files", txn, state=state)
 
     def chunks(self, *txns: int) -> DataFrame:
-        known = self.table("snapshots").select("txn_id")
-        rows = self.table("chunks").join(known, "txn_id", "left_semi")
-        return rows.where(F.col("txn_id").isin(*txns)) if txns else rows
-
-    def content(self, txn: int | None = None) -> DataFrame:
-        """(path, content) of a snapshot."""
-        files = self.files(txn)
-        rows = self.table("chunks").join(files.select("txn_id", "path"), ["txn_id", "path"], "left_semi").join(self.table("payloads").select("hash", "codec", "data"), "hash")
-        whole = restore.reassemble(rows.select("path", "idx", codec.decode("codec", "data").alias("payload")))
+        return self.table("chunks", *txns)
+
+    def chunk(self, digest: str) -> DataFrame:
+        """(hash, payload, ok) of one stored chunk: its bytes, and whether they still have its hash. NotFound where it isn't stored."""
+        rows = store.live(self.table("payloads"), self.table("tombstones")).where(F.col("hash") == digest)
+        if rows.isEmpty():
+            raise catalog.NotFound(f"no chunk {digest}")
+        payload = codec.decode("codec", "data")
+        return rows.select("hash", payload.alias("payload"), (F.sha2(payload, 256) == F.col("hash")).alias("ok"))
+
+    def content(self, txn: int | None = None, paths: DataFrame | None = None) -> DataFrame:
+        """(path, content) of a snapshot's files, or of those in paths. It is an error if a chunk has no payload, or two."""
+        files = self.files(txn).where("file_type = 'file'")
+        if paths is not None:
+            files = files.join(paths.select("path"), "path", "left_semi")
+        txn = txn or self._last(self._state())
+        rows = self.table("chunks", txn).join(files.select("path"), "path", "left_semi")
+        stored = self.table("payloads").join(rows.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("n"), F.first("codec").alias("codec"), F.first("data").alias("data"))
+        one = F.when(F.col("n") == 1, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("not one payload of chunk "), "hash")).cast("binary"))
+        whole = restore.reassemble(rows.join(stored, "hash", "left").select("path", "idx", codec.decode("codec", one).alias("payload")))
         return files.select("path").join(whole, "path", "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
 
     def diff(self, a: int, b: int) -> DataFrame:
@@ -130,7 +230,7 @@ class Repo:
         return catalog.path_history(self.table("files"), path)
 
     def browse(self, txn: int, prefix: str = "", offset: int = 0, limit: int = 100) -> DataFrame:
-        return catalog.browse_page(self.table("files"), txn, prefix, offset, limit)
+        return catalog.browse_page(self.files(txn), txn, prefix, offset, limit)
 
     def orphans(self) -> DataFrame:
         return store.orphans(self.table("payloads"), self.table("tombstones"), self.chunks())
@@ -153,7 +253,7 @@ class Repo:
 
     def plan_in_place(self, target: int, live: DataFrame, base: int | None = None) -> DataFrame:
         base = base or catalog.base_txn(self.table("snapshots"), target).first()[0]
-        none = self.table("files").where("false")
+        none = self.spark.createDataFrame([], PARTS["files"])
         return restore.three_way(self.files(target), self.files(base) if base else none, live)
 
     def verify_chain(self) -> DataFrame:
@@ -164,30 +264,97 @@ class Repo:
         p = store.live(self.table("payloads"), self.table("tombstones"))
         return p.select("hash", (F.sha2(codec.decode("codec", "data"), 256) == F.col("hash")).alias("ok"))
 
+    def verify_roots(self) -> DataFrame:
+        """(txn_id, path, ok) of all files: whether their chunks' root is their content hash, and every chunk has one payload."""
+        stored = store.live(self.table("payloads"), self.table("tombstones")).groupBy("hash").agg(F.count("*").alias("n"))
+        chunks = self.table("chunks").join(stored, "hash", "left")
+        held = chunks.groupBy("txn_id", "path").agg(F.min(F.coalesce(F.col("n") == 1, F.lit(False))).alias("held"))
+        roots = audit.content_hash(self.table("chunks"), ["txn_id", "path"]).withColumnRenamed("content_hash", "root")
+        files = self.table("files").where("file_type = 'file'").join(roots, ["txn_id", "path"], "left").join(held, ["txn_id", "path"], "left")
+        return files.select("txn_id", "path", ((F.coalesce("root", F.lit(audit.ZERO)) == F.col("content_hash")) & F.coalesce("held", F.lit(True))).alias("ok"))
+
+    # Restoring
+
+    def restore(self, root: str, txn: int | None = None, paths: DataFrame | None = None) -> dict:
+        """Writes a snapshot below a root that all machines mount, directories first; figures of restore.acceptance()."""
+        from ..sources.files import write_tree
+
+        files = self.files(txn)
+        files = files if paths is None else files.join(paths.select("path"), "path", "left_semi")
+        write_tree(files.join(self.content(txn, paths), "path", "left"), root)
+        return restore.acceptance(files).first().asDict()
+
+    def live(self, root: str, target: int, base: int | None = None) -> DataFrame:
+        """What lies below root, with the content hashes of files that are as in the target or the base."""
+        from ..sources.files import live_tree
+
+        base = base or catalog.base_txn(self.table("snapshots"), target).first()[0]
+        txns = [t for t in (target, base) if t]
+        return live_tree(self.spark, root, self.table("files", *txns), self.chunks(*txns))
+
+    def apply_in_place(self, root: str, target: int, base: int | None = None, on_conflict: str = "skip", on_orphan: str = "skip", dry_run: bool = False, filter: filters.FileFilter | None = None) -> dict:
+        """Makes what lies below root like a snapshot, by the three-way plan; figures of restore.apply_summary().
+
+        With on_conflict fail nothing is written if anything conflicts.
+        """
+        from ..sources.files import delete_files, write_tree
+
+        live = self.live(root, target, base)
+        if filter:
+            live = filter.apply(live)
+        plan = restore.apply_plan(self.plan_in_place(target, live, base), on_conflict, on_orphan)
+        plan = self._staged(plan, f"{self.path}/_staging/{uuid.uuid4().hex}")
+        figures = restore.apply_summary(plan).first().asDict()
+        if dry_run or figures["failed"]:
+            return figures
+        write = plan.where("decision = 'write'").select("path")
+        write_tree(self.files(target).join(write, "path", "left_semi").join(self.content(target, write), "path", "left"), root)
+        delete_files(plan.where("decision = 'delete'").select("path"), root)
+        return figures
+
     # Maintenance
 
     def prune(self, now: int, policy=retention.DEFAULT_TIERS, retain_min: int = retention.RETAIN_MIN, dry_run: bool = True) -> list[int]:
-        """Snapshots that the policy drops; unless dry_run they go. A row a snapshot."""
-        plan = retention.prune_plan(self.table("snapshots"), self.table("meta"), now, policy, retain_min)
+        """Snapshots that the policy drops; unless dry_run their folders leave the tables. A row a snapshot."""
+        was = self._state()
+        plan = retention.prune_plan(self.table("snapshots", state=was), self.table("meta", state=was), now, policy, retain_min)
         gone = [r["txn_id"] for r in plan.where("decision = 'delete'").orderBy("txn_id").toLocalIterator()]
         if gone and not dry_run:
-            for name, by in (("snapshots", None), ("meta", None), ("files", "txn_id"), ("chunks", "txn_id")):
-                self._replace(self.table(name).where(~F.col("txn_id").isin(gone)), name, by)
+            self._drop(was, gone)
         return gone
 
+    def delete_snapshot(self, txn: int) -> None:
+        was = self._state()
+        if txn not in {t for t, _ in was["tables"]["snapshots"]}:
+            raise catalog.NotFound(f"no snapshot {txn}")
+        self._drop(was, [txn])
+
+    def _drop(self, was: dict, txns: list[int]) -> None:
+        gone = set(txns)
+        self._commit(was, {n: [p for p in was["tables"][n] if p[0] not in gone] for n in BY_SNAPSHOT})
+
     def gc(self, dry_run: bool = True) -> int:
-        dead = self.orphans().select("hash")
+        """Marks chunks that no snapshot refers to as dead. Their number."""
+        was = self._state()
+        dead = store.orphans(self.table("payloads", state=was), self.table("tombstones", state=was), self.table("chunks", state=was)).select("hash")
         n = dead.count()
         if n and not dry_run:
-            self._append(dead, "tombstones")
+            self._commit(was, {"tombstones": [*was["tables"]["tombstones"], self._write(dead, "tombstones", uuid.uuid4().hex)]})
         return n
 
     def compact(self) -> None:
-        self._replace(store.compact(self.table("payloads"), self.table("tombstones"), self.chunks()), "payloads")
-        self._replace(self.table("tombstones").where("false"), "tombstones")
-
-    def maintain(self, now: int, policy=retention.DEFAULT_TIERS, most: float = 1.02) -> dict:
-        """Prune, collect, compact where it pays, verify; figures before and after."""
+        """Keeps only payloads that are referred to and alive."""
+        was, run = self._state(), uuid.uuid4().hex
+        kept = store.compact(self.table("payloads", state=was), self.table("tombstones", state=was), self.table("chunks", state=was))
+        self._commit(was, {"payloads": [self._write(kept, "payloads", run)], "tombstones": []})
+
+    def maintain(self, now: int, policy=retention.DEFAULT_TIERS, most: float = 1.02, outbox: DataFrame | None = None) -> dict:
+        """Prune, collect, compact where it pays, verify; figures before and after. Refused while an outbox holds pairs that aren't synced."""
+        if outbox is not None:
+            from ..streaming.watch import may_maintain
+
+            if not may_maintain(outbox):
+                return {"refused": "unsynced"}
         before = self.stats().first().asDict()
         pruned, dead = self.prune(now, policy, dry_run=False), self.gc(dry_run=False)
         s = self.stats().first()
@@ -199,18 +366,42 @@ class Repo:
 
     def export(self, path: str, target: int | None = None, base: int | None = None) -> None:
         """All of the repository, or what target adds to base, as a folder of tables."""
-        names = PARTS if target is None else ("files", "chunks", "snapshots", "meta")
-        for name in names:
-            rows = self.table(name)
-            (rows if target is None else rows.where(F.col("txn_id") == target)).write.parquet(f"{path}/{name}")
-        if target is not None:
-            (self.delta(base, target) if base else self.table("payloads").join(store.referenced(self.chunks(target)), "hash", "left_semi")).write.parquet(f"{path}/payloads")
+        state = self._state()
+        for name in PARTS:
+            rows = self.table(name, state=state)
+            if target is not None and name in BY_SNAPSHOT:
+                rows = self.table(name, target, state=state)
+            elif target is not None and name == "payloads":
+                rows = self.delta(base, target) if base else rows.join(store.referenced(self.chunks(target)), "hash", "left_semi")
+            elif target is not None:
+                continue
+            rows.write.parquet(f"{path}/{name}")
 
     def apply(self, path: str) -> None:
-        """Takes a bundle in: rows that are there already stay as they are."""
-        for name, key in (("payloads", ["hash"]), ("chunks", ["txn_id", "path", "idx"]), ("files", ["txn_id", "path"]), ("meta", ["txn_id"]), ("snapshots", ["txn_id"])):
-            new = self.spark.read.schema(PARTS[name]).parquet(f"{path}/{name}")
-            self._append(new.join(self.table(name).select(*key), key, "left_anti"), name, "txn_id" if name in ("files", "chunks") else None)
+        """Takes a bundle in, in one commit: snapshots that are there already stay as they are.
 
-
-__all__ = ["Repo", "schemas"]
+        The audit chain comes with a full bundle into a repository that has none;
+        marks of dead chunks come too, save of those that are alive here.
+        """
+        was, run, tables = self._state(), uuid.uuid4().hex, {}
+        bundle = lambda n: self.spark.read.schema(PARTS[n]).parquet(f"{path}/{n}")
+        has = lambda n: self._fs.exists(self._at(f"{path}/{n}"))
+        known = {t for t, _ in was["tables"]["snapshots"]}
+        txns = [r["txn_id"] for r in bundle("snapshots").select("txn_id").distinct().orderBy("txn_id").toLocalIterator()]  # a row a snapshot
+        new = [t for t in txns if t not in known]
+        for name in BY_SNAPSHOT:
+            tables[name] = [*was["tables"][name], *(self._write(bundle(name).where(F.col("txn_id") == t), name, f"{run}-{t}", t) for t in new)]
+        mine = self.table("payloads", state=was).select("hash")
+        tables["payloads"] = [*was["tables"]["payloads"], self._write(bundle("payloads").join(mine, "hash", "left_anti"), "payloads", run)]
+        dead = self.table("tombstones", state=was)
+        wanted = bundle("chunks").where(F.col("txn_id").isin(new)).select("hash").distinct()
+        dead = dead.join(wanted, "hash", "left_anti")
+        if has("tombstones"):
+            dead = dead.unionByName(bundle("tombstones").join(mine, "hash", "left_anti").join(wanted, "hash", "left_anti")).distinct()
+        tables["tombstones"] = [self._write(dead, "tombstones", run)]
+        if has("audit") and not was["tables"]["audit"]:
+            tables["audit"] = [self._write(bundle("audit"), "audit", run)]
+        self._commit(was, tables)
+
+
+__all__ = ["Conflict", "Repo"]

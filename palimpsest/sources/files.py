@@ -94,3 +94,116 @@ def write_files(files: DataFrame, root: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _inside(base: str, path: str) -> str:
+    to = os.path.abspath(os.path.join(base, path))
+    if not to.startswith(base + os.sep):
+        raise ValueError(f"path leaves the root: {path}")
+    return to
+
+
+def _each(rows: DataFrame, act) -> int:
+    """Runs act(row) for every row, where the rows lie; their number."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                act(r)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes (path, file_type, content, mode, mtime_unix, link_target) below a root that all machines mount.
+
+    Directories come first, then files and links, each at once; times of
+    directories are set last, since writing into them changes them. A null mode
+    or time is left as it comes. Other types than these are left out. The number
+    of rows written.
+    """
+    base = os.path.abspath(root)
+    os.makedirs(base, exist_ok=True)
+
+    def times(r, to):
+        if r["mtime_unix"] is not None:
+            os.utime(to, (r["mtime_unix"], r["mtime_unix"]))
+
+    def make(r):
+        to = _inside(base, r["path"])
+        if os.path.islink(to) or os.path.isfile(to):
+            os.unlink(to)
+        os.makedirs(to, exist_ok=True)
+
+    def put(r):
+        to = _inside(base, r["path"])
+        os.makedirs(os.path.dirname(to), exist_ok=True)
+        part = f"{to}.{os.getpid()}.part"
+        if r["file_type"] == "symlink":
+            os.symlink(r["link_target"] or "", part)
+            os.replace(part, to)
+            return
+        with open(part, "wb") as f:
+            f.write(r["content"] or b"")
+        if r["mode"] is not None:
+            os.chmod(part, r["mode"])
+        times(r, part)
+        os.replace(part, to)
+
+    def finish(r):
+        to = _inside(base, r["path"])
+        if r["mode"] is not None:
+            os.chmod(to, r["mode"])
+        times(r, to)
+
+    rows = files.select("path", "file_type", F.col("content").cast("binary").alias("content"), F.col("mode").cast("int").alias("mode"), F.col("mtime_unix").cast("long").alias("mtime_unix"), "link_target").where("path <> '.'")
+    folders = rows.where("file_type = 'dir'").drop("content")
+    n = _each(folders, make) + _each(rows.where("file_type in ('file', 'symlink')"), put)
+    _each(folders, finish)
+    return n
+
+
+def delete_files(paths: DataFrame, root: str) -> int:
+    """Deletes files and links below a root that all machines mount; those that are gone already are no error."""
+    base = os.path.abspath(root)
+
+    def drop(r):
+        to = _inside(base, r["path"])
+        if os.path.islink(to) or os.path.isfile(to):
+            os.unlink(to)
+
+    return _each(paths.select("path"), drop)
+
+
+def live_tree(spark: SparkSession, root: str, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """scan() with the content hash of each file that is as it was in some snapshot; null for others.
+
+    files and chunks are those of the snapshots in question. A file of the size
+    that it had is read at the places of its chunks there.
+    """
+    from ..operators.audit import content_hash
+
+    base = os.path.abspath(root)
+
+    def read(batches):
+        import hashlib
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                try:
+                    with open(_inside(base, r["path"]), "rb") as f:
+                        f.seek(r["offset"])
+                        out.append(hashlib.sha256(f.read(r["length"])).hexdigest())
+                except OSError:
+                    out.append("")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], names=["txn_id", "path", "idx", "hash"])
+
+    tree = scan(spark, root).where("path <> '.'")
+    known = files.where("file_type = 'file'").select("txn_id", "path", "size", F.col("content_hash").alias("was"))
+    same = tree.where("file_type = 'file'").select("path", "size").join(known, ["path", "size"])
+    hashes = chunks.select("txn_id", "path", "idx", "offset", "length").join(same, ["txn_id", "path"], "left_semi").mapInArrow(read, "txn_id long, path string, idx long, hash string")
+    roots = same.join(content_hash(hashes, ["txn_id", "path"]), ["txn_id", "path"], "left")
+    held = roots.where(F.coalesce("content_hash", F.lit("0" * 64)) == F.col("was")).groupBy("path").agg(F.max_by("was", "txn_id").alias("content_hash"))
+    return tree.join(held, "path", "left").withColumn("uid", F.coalesce("uid", F.lit(0)))

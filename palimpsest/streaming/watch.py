@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.repo import Repo
+from ..sources.files import read_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(repo: Repo, folder: str, checkpoint: str, clock: Callable[[], int], interval: str | None = None, pattern: str = "*", after: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Backs up new files of a folder with every trigger; once over what is there for no interval."""
+    """Backs up a folder when files have come, at every trigger; once over what is there for no interval.
+
+    A snapshot is the tree: the files of the batch, and those of the last
+    snapshot that are still there, whose chunks it keeps.
+    """
     spark = repo.spark
     stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     rows = stream.select("path", "content", F.unix_timestamp("modificationTime").alias("mtime_unix"))
@@ -27,7 +32,7 @@ def watch(repo: Repo, folder: str, checkpoint: str, clock: Callable[[], int], in
     def take(batch: DataFrame, number: int) -> None:
         job = f"watch-{number}"
         if repo.table("meta").where(F.col("job_id") == job).isEmpty() and not batch.isEmpty():
-            txn = repo.backup(batch, clock(), job)
+            txn = repo.backup(read_files(spark, folder, pattern).select("path", "content", "mtime_unix"), clock(), job)
             if after:
                 after(txn)
 

@@ -49,7 +49,8 @@ def test_watch_takes_new_files_once(spark, tmp_path):
     assert [r["txn_id"] for r in repo.snapshots().collect()] == [1]
     (folder / "f2").write_bytes(b"two" * 100)
     watch(repo, str(folder), str(tmp_path / "cp"), lambda: 8).awaitTermination()
-    assert [r["file_count"] for r in repo.snapshots().collect()] == [1, 1]
+    assert [r["file_count"] for r in repo.snapshots().collect()] == [1, 2]
+    assert {r["status"] for r in repo.diff(1, 2).collect()} == {"unchanged", "added"}
 
 
 def test_scan_and_write(spark, tmp_path):
@@ -152,3 +153,142 @@ def test_content_classes_sample_4096_bytes(spark, tmp_path):
         assert abs(found[0] - bits) < 1e-5
         assert found[1] == ("incompressible" if packed else "slow" if bits * 125 > 700 else "fast")
     assert {c for _, c in got.values()} == {"fast", "slow", "incompressible"}
+
+
+def contents(repo, txn=None):
+    return {r["path"]: bytes(r["content"]) for r in repo.content(txn).collect()}
+
+
+A, B = {"a": b"hello " * 500, "b": bytes(range(256)) * 9, "e": b""}, {"a": b"hello " * 400 + b"end", "c": b"new" * 700}
+
+
+def test_chunks_that_come_back_after_collection_are_stored_once(spark, tmp_path):
+    repo = Repo(spark, str(tmp_path / "repo"))
+    repo.backup(rows(spark, A), 1000, config=CONFIG)
+    repo.backup(rows(spark, B), 2000, config=CONFIG)
+    assert repo.prune(10**9, ((1, 1),), retain_min=1, dry_run=False) == [1]
+    assert repo.gc(dry_run=False) > 0
+    assert repo.backup(rows(spark, A), 3000, config=CONFIG) == 3
+    assert contents(repo) == A and contents(repo, 2) == B
+    assert repo.table("payloads").groupBy("hash").count().where("count > 1").isEmpty()
+    assert repo.verify_roots().where("not ok").isEmpty() and repo.orphans().isEmpty()
+    repo.compact()
+    assert contents(repo, 3) == A and contents(repo, 2) == B
+
+
+def test_a_run_that_dies_at_any_step_leaves_nothing_to_be_seen(spark, tmp_path, monkeypatch):
+    repo = Repo(spark, str(tmp_path / "repo"))
+    repo.backup(rows(spark, A), 1000, config=CONFIG)
+    write, steps = Repo._write, []
+    monkeypatch.setattr(Repo, "_write", lambda self, df, name, run, txn=None: steps.append(name) or write(self, df, name, run, txn))
+    Repo(spark, str(tmp_path / "other")).backup(rows(spark, A), 1000, config=CONFIG)
+    for k in range(len(steps) + 1):
+        calls = []
+
+        def dying(self, df, name, run, txn=None, calls=calls, k=k):
+            if len(calls) == k:
+                raise OSError("killed")
+            calls.append(write(self, df, name, run, txn))
+            return calls[-1]
+
+        def torn(self, was, tables):
+            at = self._at(f"{self.path}/commits/{was['number'] + 1:010d}.json")
+            out = self._fs.create(at, False)
+            out.write(b'{"number": 2, "tab')
+            out.close()
+            raise OSError("killed")
+
+        with monkeypatch.context() as m:
+            m.setattr(Repo, "_write", dying)
+            if k == len(steps):
+                m.setattr(Repo, "_commit", torn)
+            try:
+                repo.backup(rows(spark, B), 2000, config=CONFIG)
+                raise AssertionError("not killed")
+            except OSError:
+                pass
+        assert repo.snapshots().count() == 1 and repo.browse(1).count() == len(A) and repo.path_history("c").isEmpty()
+    assert repo.backup(rows(spark, B), 2000, config=CONFIG) == 2
+    assert contents(repo) == B and contents(repo, 1) == A
+    assert repo.vacuum(0) > 0 and contents(repo) == B and contents(repo, 1) == A
+    report = repo.verify_chain().first()
+    assert (report["entries"], report["bad_entries"]) == (2, 0)
+
+
+def test_the_second_of_two_runs_fails_and_can_be_tried_again(spark, tmp_path, monkeypatch):
+    from palimpsest.plans.repo import Conflict
+
+    repo, commit = Repo(spark, str(tmp_path / "repo")), Repo._commit
+    repo.backup(rows(spark, A), 1000, config=CONFIG)
+
+    def late(self, was, tables):
+        monkeypatch.setattr(Repo, "_commit", commit)
+        Repo(spark, self.path).backup(rows(spark, {"x": b"other" * 100}), 1500, config=CONFIG)
+        commit(self, was, tables)
+
+    monkeypatch.setattr(Repo, "_commit", late)
+    try:
+        repo.backup(rows(spark, B), 2000, config=CONFIG)
+        raise AssertionError("no conflict")
+    except Conflict:
+        pass
+    assert repo.backup(rows(spark, B), 2000, config=CONFIG) == 3 and contents(repo) == B and contents(repo, 2) == {"x": b"other" * 100}
+
+
+def test_unchanged_files_are_not_cut_again(spark, tmp_path, monkeypatch):
+    repo, cut = Repo(spark, str(tmp_path / "repo")), chunking.chunk
+    repo.backup(rows(spark, A), 1000, config=CONFIG)
+    seen = []
+    monkeypatch.setattr(chunking, "chunk", lambda files, *a: seen.append(sorted(r["path"] for r in files.select("path").collect())) or cut(files, *a))
+    changed = A | {"a": A["a"] + b"!", "n": b"q" * 99}
+    repo.backup(rows(spark, changed), 2000, config=CONFIG)
+    assert seen == [["a", "n"]] and contents(repo) == changed and contents(repo, 1) == A
+
+
+def test_full_bundles_take_the_chain_and_dead_chunks_along(spark, tmp_path):
+    repo = Repo(spark, str(tmp_path / "repo"))
+    repo.backup(rows(spark, A), 1000, config=CONFIG)
+    repo.backup(rows(spark, B), 2000, config=CONFIG)
+    repo.delete_snapshot(1)
+    dead = repo.gc(dry_run=False)
+    repo.log("gc", orphans=dead)
+    repo.export(str(tmp_path / "full"))
+    other = Repo(spark, str(tmp_path / "other"))
+    other.apply(str(tmp_path / "full"))
+    assert contents(other) == B and other.table("tombstones").count() == dead and other.orphans().isEmpty()
+    assert other.verify_chain().first()["entries"] == 3 and other.verify_chain().first()["bad_entries"] == 0
+    other.apply(str(tmp_path / "full"))
+    assert contents(other) == B and other.snapshots().count() == 1
+    digest = other.chunks(2).first()["hash"]
+    assert other.chunk(digest).first()["ok"]
+    for call in (lambda: other.chunk("0" * 64), lambda: other.delete_snapshot(9), lambda: other.files(9)):
+        try:
+            call()
+            raise AssertionError("found")
+        except LookupError:
+            pass
+
+
+def test_restore_and_apply_in_place(spark, tmp_path):
+    import os
+
+    repo, root = Repo(spark, str(tmp_path / "repo")), tmp_path / "tree"
+    schema = "path string, content binary, mtime_unix long, file_type string, mode int, link_target string"
+    first = [("d", None, 1_600_000_000, "dir", 0o755, None), ("d/x", b"one" * 300, 1_600_000_001, "file", 0o640, None), ("k", b"keep", 1_600_000_002, "file", 0o644, None), ("l", None, 1_600_000_003, "symlink", None, "d/x"), ("gone", b"old", 5, "file", 0o644, None)]
+    repo.backup(spark.createDataFrame(first, schema), 1000, config=CONFIG)
+    second = [*first[:1], ("d/x", b"two" * 300, 1_600_000_009, "file", 0o640, None), *first[2:4], ("new", b"n" * 50, 1_600_000_010, "file", 0o644, None)]
+    repo.backup(spark.createDataFrame(second, schema), 2000, config=CONFIG)
+    assert repo.restore(str(root), 1) == {"file_count": 3, "bytes": 900 + 4 + 3}
+    assert (root / "d" / "x").read_bytes() == b"one" * 300 and os.readlink(root / "l") == "d/x"
+    assert int(os.stat(root / "d" / "x").st_mtime) == 1_600_000_001 and os.stat(root / "d" / "x").st_mode & 0o777 == 0o640 and int(os.stat(root / "d").st_mtime) == 1_600_000_000
+    plan = repo.apply_in_place(str(root), 2, 1, dry_run=True)
+    assert plan == {"written": 2, "kept": 3, "skipped": 1, "deleted": 0, "failed": 0, "bytes_written": 950} and not (root / "new").exists()
+    (root / "k").write_bytes(b"mine")  # changed on disk, not between the snapshots: it is put back
+    figures = repo.apply_in_place(str(root), 2, 1, on_orphan="delete")
+    assert (figures["written"], figures["deleted"]) == (3, 1)
+    assert (root / "d" / "x").read_bytes() == b"two" * 300 and (root / "k").read_bytes() == b"keep" and (root / "new").exists() and not (root / "gone").exists()
+    (root / "d" / "x").write_bytes(b"both")
+    assert repo.apply_in_place(str(root), 1, 2, on_conflict="fail")["failed"] == 1 and (root / "d" / "x").read_bytes() == b"both" and not (root / "gone").exists()
+    assert repo.apply_in_place(str(root), 1, 2, on_conflict="skip")["skipped"] >= 1 and (root / "gone").read_bytes() == b"old"
+    repo.apply_in_place(str(root), 1, 2, on_conflict="overwrite")
+    assert (root / "d" / "x").read_bytes() == b"one" * 300
