@@ -11,13 +11,21 @@ from ..written import checkpointed
 
 #: Stands for a missing doc_id where ids are ordered: after all others.
 NO_ID = (1 << 63) - 1
-__all__ = ["NO_ID", "blob_batch", "buckets_of", "checkpointed", "components", "group_edges", "in_groups", "of_group", "pack", "shuffle_partitions", "table", "unpack"]
+__all__ = ["NO_ID", "blob_batch", "buckets_of", "checkpointed", "components", "free_name", "group_edges", "in_groups", "of_group", "pack", "shuffle_partitions", "table", "unpack"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or if a column of df has it, one that none has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,8 +3,9 @@
 Texts and benchmark items are word sequences: lower-cased words of letters and
 digits, so that case and punctuation don't hide a copy. Runs of `least` words
 that a text shares with an item are seeds, found by Karp-Rabin hashes of all
-windows at once and confirmed word by word. For each text and item with seeds,
-tiling repeatedly marks the longest match that touches no marked word of either,
+windows at once and confirmed word by word, by the words' own hashes; seeds that
+follow each other are put together to maximal matches, in arrays. For each text
+and item with matches, tiling repeatedly marks the longest match that touches no marked word of either,
 down to `least` words. The share of an item's words that end up marked is its
 coverage; passages count wherever they stand and in whatever order. An item is
 leaked by a text that covers `threshold` of it.
@@ -28,43 +29,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, table
 from .kernels import ALNUM, hash_windows, hash_words, ragged, text_slices, words_of
 
 LEAST, THRESHOLD = 5, 0.8
-BLOCK_WORDS = 500_000
+#: Words of a block of the benchmark; places of shared windows that are held at once.
+BLOCK_WORDS, SEEDS = 500_000, 1_000_000
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("first_word", T.LongType())]))
 
 
-def tiles(seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """(item start, text start, words) of the tiles, from all (item, text) starts of shared windows of `least` words."""
-    have, heap = set(seeds), []
-    for p, t in sorted(have):
-        if (p - 1, t - 1) not in have:
-            n = 1
-            while (p + n, t + n) in have:
-                n += 1
-            heapq.heappush(heap, (-(n + least - 1), p, t))
-    item_marked, text_marked, out = set(), set(), []
-    while heap:
+def runs_of(p: np.ndarray, t: np.ndarray, n: np.ndarray, group: np.ndarray):
+    """Matches (item start, text start, words, group) put together where one goes on in the next, by group and diagonal.
+
+    Starts of equal matches of one length, each a word after the other, are one run
+    too: what overlaps on a diagonal is united.
+    """
+    order = np.lexsort((t, t - p, group))
+    p, t, n, group = p[order], t[order], n[order], group[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (group[1:] != group[:-1]) | (t[1:] - p[1:] != t[:-1] - p[:-1]) | (t[1:] > t[:-1] + 1)
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(p)) - 1
+    return p[head], t[head], t[last] - t[head] + n[last], group[head]
+
+
+def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """(item start, text start, words) of the tiles, from all maximal matches of that form."""
+    heap = [(-n, p, t) for p, t, n in matches]
+    heapq.heapify(heap)
+    base = min((t for _, _, t in heap), default=0)
+    in_item, in_text = np.zeros(max((p - n for n, p, _ in heap), default=0), bool), np.zeros(max((t - n for n, _, t in heap), default=0) - base, bool)
+    out, left = [], len(in_item)
+    while heap and left >= least:
         n, p, t = heapq.heappop(heap)
-        free = [p + i not in item_marked and t + i not in text_marked for i in range(-n)]
-        if all(free):
-            item_marked.update(range(p, p - n))
-            text_marked.update(range(t, t - n))
+        taken = in_item[p : p - n] | in_text[t - base : t - base - n]
+        if not taken.any():
+            in_item[p : p - n] = in_text[t - base : t - base - n] = True
+            left += n
             out.append((p, t, -n))
             continue
-        at = 0
-        while at < -n:  # what is left of the match goes back, at its new length
-            if free[at]:
-                to = at
-                while to < -n and free[to]:
-                    to += 1
-                if to - at >= least:
-                    heapq.heappush(heap, (at - to, p + at, t + at))
-                at = to
-            else:
-                at += 1
+        # What is left of the match goes back, at its new length.
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).view(np.int8)))
+        for a, b in edges.reshape(-1, 2).tolist():
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, p + a, t + a))
     return out
 
 
@@ -73,6 +81,7 @@ class Index:
 
     def __init__(self, ids: list, words: list[np.ndarray], least: int):
         self.ids, self.words, self.least = ids, words, least
+        self.flat, self.starts = np.concatenate(words), np.cumsum([0, *map(len, words)])[:-1]
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k in sorted({min(least, len(w)) for w in words}):
             mine = [i for i, w in enumerate(words) if min(least, len(w)) == k]
@@ -85,7 +94,7 @@ class Index:
 
     def leaks(self, words: np.ndarray, first: np.ndarray, threshold: float) -> dict[int, list[tuple]]:
         """Leaks of each text that has any; words of all texts in a row."""
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        parts = []
         for k, (h, item, pos) in self.by_size.items():
             mine = hash_windows(words, k)
             lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
@@ -93,20 +102,36 @@ class Index:
             doc = np.searchsorted(first, at, "right") - 1
             inside = at + k <= first[doc + 1]
             at, doc = at[inside], doc[inside]
-            n = hi[at] - lo[at]
-            which = ragged(lo[at], n)
-            for d, t, i, p in zip(np.repeat(doc, n).tolist(), np.repeat(at, n).tolist(), item[which].tolist(), pos[which].tolist(), strict=True):
-                if np.array_equal(words[t : t + k], self.words[i][p : p + k]):
-                    seeds.setdefault((d, i), []).append((p, t))
+            lo, n = lo[at], (hi - lo)[at]
+            # SEEDS at a time: a word that an item and a text repeat meets itself everywhere.
+            total = np.concatenate([[0], np.cumsum(n)])
+            cut = np.unique(np.searchsorted(total, np.arange(0, total[-1] + SEEDS, SEEDS), "right") - 1).tolist()
+            for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
+                which = ragged(lo[a:b], n[a:b])
+                t, d, i, p = np.repeat(at[a:b], n[a:b]), np.repeat(doc[a:b], n[a:b]), item[which], pos[which]
+                same = np.ones(len(t), bool)
+                for j in range(k):
+                    same &= words[t + j] == self.flat[self.starts[i] + p + j]
+                t, d, i, p = t[same], d[same], i[same], p[same]
+                if len(t):
+                    parts.append(runs_of(p, t, np.full(len(t), k), d * len(self.ids) + i))
+        if not parts:
+            return {}
+        p, t, n, group = runs_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
         out: dict[int, list[tuple]] = {}
-        for (d, i), found in sorted(seeds.items()):
-            n = len(self.words[i])
-            if len({q for p, _ in found for q in range(p, p + min(self.least, n))}) < threshold * n:
-                continue  # not even all seeds cover so much
-            got = tiles(found, min(self.least, n))
-            covered = sum(m for _, _, m in got) / n
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            d, i = divmod(int(group[a]), len(self.ids))
+            size = len(self.words[i])
+            mark = np.zeros(size + 1, np.int64)
+            np.add.at(mark, p[a:b], 1)
+            np.add.at(mark, p[a:b] + n[a:b], -1)
+            if (np.cumsum(mark)[:-1] > 0).sum() < threshold * size:
+                continue  # not even all matches cover so much
+            got = tiles(list(zip(p[a:b].tolist(), t[a:b].tolist(), n[a:b].tolist(), strict=True)), min(self.least, size))
+            covered = sum(m for _, _, m in got) / size
             if covered >= threshold:
-                out.setdefault(d, []).append((self.ids[i], covered, len(got), n, int(min(t for _, t, _ in got) - first[d])))
+                out.setdefault(d, []).append((self.ids[i], covered, len(got), size, int(min(t for _, t, _ in got) - first[d])))
         return out
 
 
@@ -151,8 +176,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresh
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that leak an item."""
-    name = "_leaks"
+    """docs without those that leak an item.
+
+    Null and empty texts stay; repeated rows stay or go alike; with an empty
+    benchmark all stay. No column of docs is touched, whatever its name.
+    """
+    name = free_name(docs, "_leaks")
     return with_leaks(docs, benchmark, as_col=name, **options).where(F.size(name) == 0).drop(name)
 
 

@@ -9,7 +9,8 @@ reaches the kth best score found so far; what ties with it is read too, so that
 ties go to the smaller id. A query's best of all tasks meet by its id.
 
 Queries are rows whose id is divisible by `every`, sent to all tasks in blocks of
-at most BLOCK rows, one pass over the vectors for each block.
+at most BLOCK rows, one pass over the vectors for each block; with several
+blocks each one's answers are written and its queries let go before the next.
 
 Defined cases: vectors that are null, empty or hold a null or a component that
 isn't finite take no part, nor do rows without id; a row never answers a query
@@ -26,10 +27,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 K, SCALE, EVERY = 20, 64, 20
-BITS, SLAB, BLOCK, TOGETHER, READ = 5, 8192, 8192, 256, 64
+BITS, SLAB, BLOCK, TOGETHER, READ = 5, 8192, 32768, 256, 64
 
 
 def as_integers(column: pa.Array, ids: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -63,17 +64,19 @@ class Slab:
         """Puts the best (-score, id) of self for each query into best."""
         size = float(abs(q).max(initial=0) * (self.top + self.width.max()) * q.shape[1])
         kind = np.float32 if size < 2**24 else np.float64 if size < 2**53 else np.int64
-        exact, low = self.vectors.astype(kind), (self.codes * self.width + self.low).astype(kind)
-        high, q = low + (self.width - 1).astype(kind), q.astype(kind)
+        # A cell's upper edge for a query: its code times the width, and where the query is positive the rest of the width.
+        codes, width, last = self.codes.astype(kind).T, self.width.astype(kind), (self.width - 1).astype(kind)
+        q, low = q.astype(kind), self.low.astype(kind)
         for a in range(0, len(q), TOGETHER):
             part = q[a : a + TOGETHER]
-            bound = np.maximum(part, 0) @ high.T + np.minimum(part, 0) @ low.T
+            bound = (part * width) @ codes
+            bound += (part @ low + np.maximum(part, 0) @ last)[:, None]
             for i, b in enumerate(bound):
                 mine, unread = best[a + i], np.ones(len(b), bool)
 
                 def read(rows, i=i, mine=mine, unread=unread):
                     unread[rows] = False
-                    score = exact[rows] @ part[i]
+                    score = self.vectors[rows].astype(kind) @ part[i]
                     ok = self.ids[rows] != q_ids[a + i]
                     mine.extend(zip((-score[ok]).astype(np.int64).tolist(), self.ids[rows][ok].tolist(), strict=True))
                     mine.sort()
@@ -135,6 +138,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int =
                     yield pa.RecordBatch.from_arrays([pa.array(q[a : a + 100_000]), pa.array(found[a : a + 100_000, 1]), pa.array(-found[a : a + 100_000, 0])], names=["query_id", "vec_id", "score"])
 
         found = rows.mapInArrow(scan, "query_id long, vec_id long, score long")
+        if len(block) == BLOCK:  # not the only one, as far as is known
+            found = checkpointed(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")

@@ -9,7 +9,8 @@ only stretches of template words are walked.
 A phrase is found wherever its words end, by the suffix links. Matches of at
 least LEAST words that can't be extended are anchors; anchors that lie in the
 same order in text and template are chained, within twice the template's length,
-and a template whose words a chain covers to THRESHOLD gives its label. Templates
+and a template whose words a chain covers to THRESHOLD gives its label, with a span
+for each such chain. Templates
 and automaton are parameters of fixed size; texts are read whole where they lie,
 with no exchange.
 
@@ -33,8 +34,37 @@ from .kernels import ALNUM, group_runs, hash_words, text_slices, words_of
 LEAST, THRESHOLD = 4, 0.75
 #: Phrases that name a license by themselves.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices by which texts carry a license.
+#: Notices by which texts carry a license, and texts of short licenses: fixed wording.
 TEMPLATES = (
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "bsd",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "isc",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache-2",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "gpl-3",
+    ),
+    ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unlicense"),
     ("Released under the MIT License.", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "mit"),
     ("Licensed under the Apache License, Version 2.0.", "apache-2"),
@@ -144,17 +174,34 @@ class Scanner:
                 t = self.automaton.link[t]
         self.vocabulary = np.array(sorted({c for nxt in self.automaton.next for c in nxt}), np.uint64)
 
-    def cover(self, anchors: list[tuple[int, int, int]], size: int) -> float:
-        """The largest share of a template of `size` words that a chain of (first word, words, end in the template) covers."""
-        anchors = sorted(set(anchors))
-        starts, best = [a for a, _, _ in anchors], [n for _, n, _ in anchors]
-        for j, (a, n, end) in enumerate(anchors):
-            for i in range(bisect_left(starts, a - 2 * size), j):
-                b, m, before = anchors[i]
-                new = min(n, end - before, a + n - b - m)  # words of j past the end of i, in both
-                if new > 0 and b < a and before < end:
-                    best[j] = max(best[j], best[i] + new)
-        return min(1.0, max(best, default=0) / size)
+    def chains(self, anchors: list[tuple[int, int, int]], size: int) -> list[tuple[float, int, int]]:
+        """(share covered, first word, last word) of chains of (first word, words, end in the template), best first.
+
+        A chain lies in the same order in a text and a template of `size` words,
+        each anchor within twice that size of the next. After the best chain, the
+        anchors that lie clear of it are chained again, as long as a chain covers
+        the threshold; the first one is given in any case.
+        """
+        left, out = sorted(set(anchors)), []
+        while left:
+            starts, best, before = [a for a, _, _ in left], [n for _, n, _ in left], [-1] * len(left)
+            for j, (a, n, end) in enumerate(left):
+                for i in range(bisect_left(starts, a - 2 * size), j):
+                    b, m, e = left[i]
+                    new = min(n, end - e, a + n - b - m)  # words of j past the end of i, in both
+                    if new > 0 and b < a and e < end and best[i] + new > best[j]:
+                        best[j], before[j] = best[i] + new, i
+            j = max(range(len(left)), key=lambda j: (best[j], -j))
+            share, last = min(1.0, best[j] / size), left[j][0] + left[j][1] - 1
+            while before[j] >= 0:
+                j = before[j]
+            if out and share < self.threshold:
+                break
+            out.append((share, left[j][0], last))
+            left = [x for x in left if x[0] + x[1] - 1 < out[-1][1] or x[0] > last]
+            if share < self.threshold:
+                break
+        return out
 
     def scan(self, words: np.ndarray, runs: list[tuple[int, int]]) -> tuple[list[tuple[int, str]], dict[int, list]]:
         """(phrases' first words and labels, templates' anchors) of a text, from its stretches of template words."""
@@ -189,10 +236,10 @@ class Scanner:
                 phrases, anchors = self.scan(words[first[d] : first[d + 1]], runs[d])
                 base, spans, score = {x for _, x in phrases}, [], float(bool(phrases))
                 for t, found in sorted(anchors.items()):
-                    share = self.cover(found, self.sizes[t])
-                    score = max(score, share)
-                    if share >= self.threshold:
-                        spans.append((self.labels[t], min(a for a, _, _ in found), max(a + m for a, m, _ in found) - 1, share))
+                    for share, a, b in self.chains(found, self.sizes[t]):
+                        score = max(score, share)
+                        if share >= self.threshold:
+                            spans.append((self.labels[t], a, b, share))
                 where = [p for p, _ in phrases]
                 out.append((n, len(phrases), min(where, default=None), max(where, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, *_ in spans})), score, spans))
         return out

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import queries as q
-from palimpsest.llm.decontamination import decontaminate, tiles, with_leaks
+from palimpsest.llm.decontamination import decontaminate, with_leaks
 from palimpsest.llm.exact_topk import exact_topk
 from palimpsest.llm.jaccard_join import ngram_jaccard_join
 from palimpsest.llm.katz import katz_scores
@@ -128,11 +128,75 @@ def test_substring_dedup_of_repeated_and_missing_ids(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in substring_dedup(df).collect()) == [("3", 0), ("3", 0), ("9", 20), ("9", 20), ("None", 20)]
 
 
-def test_tiles_are_greedy_and_disjoint():
-    item, text = "a b c d e f g h i j".split(), "f g h i j x a b c d e y a b c".split()
-    seeds = [(p, t) for p in range(len(item) - 2) for t in range(len(text) - 2) if item[p : p + 3] == text[t : t + 3]]
-    got = tiles(seeds, 3)
-    assert sorted(got) == [(0, 6, 5), (5, 0, 5)]
+def tiles_by_force(item, text, least):
+    """Greedy string tiling as it is defined: the longest match of unmarked words, the first of them, again and again."""
+    mi, mt, out = [False] * len(item), [False] * len(text), []
+    while True:
+        best = (least - 1, 0, 0)
+        for p in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(item) and t + n < len(text) and item[p + n] == text[t + n] and not mi[p + n] and not mt[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        n, p, t = best
+        if n < least:
+            return out
+        out.append((p, t, n))
+        for k in range(n):
+            mi[p + k] = mt[t + k] = True
+
+
+def leaks_by_force(texts, items, least=5, threshold=0.8):
+    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate(LOW))
+    out = []
+    for d, text in enumerate(map(split, texts)):
+        for i, words in ((i, split(x)) for i, x in items):
+            got = tiles_by_force(words, text, min(least, len(words))) if words else []
+            if got and sum(n for *_, n in got) >= threshold * len(words):
+                out.append((d, i, sum(n for *_, n in got) / len(words), len(got), len(words), min(t for _, t, _ in got)))
+    return sorted(out)
+
+
+def test_decontamination_against_tiling_by_force(spark, monkeypatch):
+    from palimpsest.llm import decontamination
+
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefghijklmnop") + r.choice("xy")
+    items = [(i, " ".join(word() for _ in range(r.randint(1, 24)))) for i in range(25)] + [(90, "ax " * 12), (91, "ax bx " * 6), (92, None), (93, ""), (1, "bx"), (94, "Ax, BX! " * 3 + "zz")]
+    texts = [None, "", "ax " * 40, "bx ax " * 20]
+    for _ in range(40):
+        parts = [word() for _ in range(r.randint(0, 30))]
+        for _, t in r.sample(items, 2):
+            w = (t or "").split()
+            cut = r.randint(0, len(w))
+            parts += [*w[cut:], *[word() for _ in range(r.randint(0, 3))], *w[:cut]]
+        texts.append(" ".join(parts))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for seeds in (7, 1_000_000):
+        monkeypatch.setattr(decontamination, "SEEDS", seeds)
+        index_rows = []
+        for x in with_leaks(docs_of(spark, texts), bench).collect():
+            index_rows += [(x["doc_id"], y["item_id"], y["coverage"], y["n_tiles"], y["n_words"], y["first_word"]) for y in x["leaks"]]
+        assert sorted(index_rows) == leaks_by_force(texts, items)
+
+
+def test_decontamination_of_a_word_that_text_and_item_repeat():
+    from palimpsest.llm.decontamination import Index
+
+    import time
+
+    item, text = np.full(400, 7, np.uint64), np.full(20_000, 7, np.uint64)
+    began = time.time()
+    assert Index([5], [item], 5).leaks(text, np.array([0, len(text)]), 0.8) == {0: [(5, 1.0, 1, 400, 0)]}
+    assert time.time() - began < 30
+
+
+def test_decontamination_leaves_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "tiny one", "keep", 5), (2, "other words", "keep", 6)], "doc_id long, text string, _leaks string, _LEAKS_ long")
+    out = decontaminate(df, spark.createDataFrame([(2, "tiny one")], "item_id long, text string"))
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(2, "other words", "keep", 6)]
 
 
 def test_decontamination(spark):
@@ -368,6 +432,45 @@ def test_license_scan(spark):
     assert Scanner().texts(pa.array([], pa.string())) == []
 
 
+def test_license_spans_are_those_of_chains():
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    fill = " ".join(f"w{i}" for i in range(500))
+    (row,) = Scanner().texts(pa.array([f"{fill} {notice} {fill} {notice} end"]))
+    spans = [x for x in row[-1] if x[0] == "gpl-3"]
+    assert [(a, b) for _, a, b, _ in spans] == [(500, 511), (1012, 1023)] and all(share == 1.0 for *_, share in spans)
+    from palimpsest.llm.license_scan import TEMPLATES
+
+    for text, label in TEMPLATES:
+        (row,) = Scanner().texts(pa.array([f"x {text} y"]))
+        assert label in row[5].split(",") and row[6] == 1.0
+        words = text.split()
+        (row,) = Scanner().texts(pa.array([" ".join([*words[: len(words) // 2], "stranger", *words[len(words) // 2 :]])]))
+        assert len(words) < 30 or label in row[5].split(",")
+
+
+def test_license_chains_against_all_chains_by_force():
+    from itertools import combinations
+
+    r, scanner = random.Random(2), Scanner()
+    for _ in range(200):
+        size = r.randint(4, 14)
+        anchors = []
+        for _ in range(r.randint(1, 6)):
+            n = r.randint(1, 5)
+            anchors.append((r.randint(0, 25), n, r.randint(n, max(n, size))))
+        best = 0
+        left = sorted(set(anchors))
+        for k in range(1, len(left) + 1):
+            for chain in combinations(left, k):
+                total, ok = chain[0][1], True
+                for (b, m, e), (a, n, end) in zip(chain, chain[1:], strict=False):
+                    new = min(n, end - e, a + n - b - m)
+                    ok &= new > 0 and b < a <= b + 2 * size and e < end
+                    total += new
+                best = max(best, total if ok else 0)
+        assert scanner.chains(anchors, size)[0][0] == pytest.approx(min(1.0, best / size))
+
+
 def test_held_out_folds(spark):
     df = spark.range(50).withColumnRenamed("id", "doc_id")
     assert {r["doc_id"]: r["h"] for r in df.select("doc_id", held_out().alias("h")).collect()} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
