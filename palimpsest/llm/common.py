@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..written import checkpointed
+from ..written import checkpointed, discard
 
 #: Stands for a missing doc_id where ids are ordered: after all others.
 NO_ID = (1 << 63) - 1
-__all__ = ["NO_ID", "blob_batch", "buckets_of", "checkpointed", "components", "free_name", "group_edges", "in_groups", "of_group", "pack", "shuffle_partitions", "table", "unpack"]
+__all__ = ["NO_ID", "blob_batch", "buckets_of", "checkpointed", "components", "connected", "free_name", "group_edges", "in_groups", "of_group", "pack", "shuffle_partitions", "table", "unpack"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,17 @@ def group_edges(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
 
 
+def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() of the edges that gave labels and of these: only what the new edges join is worked on."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    e = edges.select("a", "b").where("a is not null and b is not null").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    e = checkpointed(e.select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y")))
+    new = e.select(F.explode(F.array(F.struct("a", "x"), F.struct(F.col("b").alias("a"), F.col("y").alias("x")))).alias("r")).select(F.col("r.a").alias("node"), F.col("r.x").alias("label"))
+    every = labels.select("node", "label").unionByName(new).distinct()
+    up = components(e.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return checkpointed(every.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node that can be reached.
 
@@ -107,12 +118,14 @@ def components(edges: DataFrame) -> DataFrame:
         up = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
         while True:
             jump = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.node")).select("x.node", F.col("y.up").alias("up"), (F.col("x.up") != F.col("y.up")).alias("moved"))
-            jump = checkpointed(jump)
+            jump, before = checkpointed(jump), up
             up = jump.select("node", "up")
+            discard(before)
             if jump.where("moved").isEmpty():
                 break
-        labels = labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        labels = checkpointed(labels)
+        old = labels, e
+        labels = checkpointed(labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
         a, b = up.select(F.col("node").alias("a"), F.col("up").alias("ra")), up.select(F.col("node").alias("b"), F.col("up").alias("rb"))
         e = checkpointed(e.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
+        discard(up, *old)
     return labels

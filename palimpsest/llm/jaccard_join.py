@@ -17,8 +17,8 @@ pivot rounds each sends its classes to one of them, in as many units as they
 fill, which joins groups of near copies, however large, with visits in
 proportion to their size. Then only shingles whose classes lie in different
 components are left; classes that those connect form clusters, and the last round
-joins whole clusters, in blocks two by two where one is larger than a unit may
-be. After it no link is left unseen.
+joins whole clusters, and of one that is larger than a unit may be the blocks
+whose sizes allow a link. After it no link is left unseen.
 
 Sets are joined in units of bounded size. A unit's sets are put into a prefix
 tree, frequent shingles first, so that near copies share long paths. Each set
@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_batch, buckets_of, checkpointed, components, group_edges, pack, table, unpack
+from .common import blob_batch, buckets_of, checkpointed, components, connected, group_edges, pack, table, unpack
 from .kernels import U, hash_words, mix, shingle_sets, text_slices, words_of
 
 #: The sketch: 2 ** SKETCH_BITS counts, sent in slices.
 SKETCH_BITS, SLICES = 21, 128
-#: Sets of a unit besides its pivot, and of a cluster's unit; pivot rounds; classes of a light shingle.
-UNIT, CLUSTER, PIVOT_ROUNDS, LIGHT = 64, 3072, 2, 16
+#: Sets of a unit besides its pivot, and of a cluster's unit; pivot rounds; classes of a light shingle; tasks that a heavy one is dealt over.
+UNIT, CLUSTER, PIVOT_ROUNDS, LIGHT, SALTS = 64, 3072, 2, 16, 16
 
 TOKEN = np.dtype([("h", "u8"), ("cls", "i8"), ("n", "i4"), ("sent", "i1")])
 
@@ -87,27 +87,33 @@ class PrefixTree:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-        self.root = self._node(order, 0)
+        top: list = []
+        # Nodes that are still to be made: members, in order, the depth that they share, and where the node goes. Near
+        # copies nest deeply, so this isn't done by recursion.
+        todo = [(sorted(range(len(sets)), key=lambda i: sets[i].tolist()), 0, top)]
+        while todo:
+            members, depth, siblings = todo.pop()
+            node, rest = self._node(members, depth)
+            siblings.append(node)
+            end, at = node[1], 0
+            while at < len(rest):
+                key, to = sets[rest[at]][end], at
+                while to < len(rest) and sets[rest[to]][end] == key:
+                    to += 1
+                todo.append((rest[at:to], end, node[-1]))
+                at = to
+        self.root = top[0]
 
     def _node(self, members: list[int], depth: int):
-        """(segment, end depth, shortest, longest, smallest member, members that end here, children)."""
+        """((segment, end depth, shortest, longest, smallest member, members that end here, no children yet), members that go on)."""
         a, b = self.sets[members[0]][depth:], self.sets[members[-1]][depth:]
         m = min(len(a), len(b))
         differ = np.flatnonzero(a[:m] != b[:m])
         seg = a[: int(differ[0]) if len(differ) else m]
         end = depth + len(seg)
-        ends = [i for i in members if len(self.sets[i]) == end]
-        rest = [i for i in members if len(self.sets[i]) > end]
-        children, at = [], 0
-        while at < len(rest):
-            key, to = self.sets[rest[at]][end], at
-            while to < len(rest) and self.sets[rest[to]][end] == key:
-                to += 1
-            children.append(self._node(rest[at:to], end))
-            at = to
         sizes = [len(self.sets[i]) for i in members]
-        return seg, end, min(sizes), max(sizes), min(members), ends, children
+        ends, rest = [i for i, n in zip(members, sizes, strict=True) if n == end], [i for i, n in zip(members, sizes, strict=True) if n > end]
+        return (seg, end, min(sizes), max(sizes), min(members), ends, []), rest
 
     def links(self, i: int, width: int, percent: int, skip):
         """Members j < i that link with member i, without those that skip(j)."""
@@ -302,13 +308,26 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         return units.withColumn("label", F.col("cls")) if labels is None else units.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
     def in_clusters(clusters: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links within the clusters (node, label): each cluster's blocks of about CLUSTER sets, two by two."""
-        size = clusters.groupBy("label").agg(F.ceil(F.count("*") * 2 / CLUSTER).alias("blocks"))
-        size = size.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-        rows = clusters.join(size, "label").select(F.col("label").alias("hub"), F.col("node").alias("cls"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("i"))
-        other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        pair = F.explode(F.transform(other, lambda j: F.least("i", j) * F.col("blocks") + F.greatest("i", j)))
-        return labelled(rows.select("hub", pair.alias("part"), "cls"), labels).groupBy("hub", "part").applyInArrow(joined, "a long, b long")
+        """Links within the clusters (node, n, label).
+
+        A cluster of more than CLUSTER sets falls into bands of sizes, of which
+        sets link only with their own and the next; a band into blocks of about
+        half as many, which meet two by two, and the next band's blocks.
+        """
+        total = clusters.groupBy("label").agg(F.count("*").alias("sets"))
+        band = F.when(F.col("sets") <= CLUSTER, 0).otherwise(F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-9)))
+        rows = clusters.join(total, "label").withColumn("band", band.cast("long"))
+        size = checkpointed(rows.groupBy("label", "band").agg(F.ceil(F.count("*") * 2 / CLUSTER).alias("blocks")).withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks"))))
+        near = [size.select("label", (F.col("band") - d).alias("band"), F.col("blocks").alias(name)) for d, name in ((1, "above"), (-1, "below"))]
+        rows = rows.join(size, ["label", "band"]).join(near[0], ["label", "band"], "left").join(near[1], ["label", "band"], "left")
+        rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+        others = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
+        unit = lambda low, kind, x, y: F.struct(low.alias("low"), F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+        own = F.transform(others("blocks"), lambda j: unit(F.col("band"), 0, F.least("i", j), F.greatest("i", j)))
+        up = F.transform(others("above"), lambda j: unit(F.col("band"), 1, F.col("i"), j))
+        down = F.transform(others("below"), lambda j: unit(F.col("band") - 1, 1, j, F.col("i")))
+        part = F.explode(F.concat(own, up, down))
+        return labelled(rows.select(F.col("label").alias("hub"), F.col("node").alias("cls"), part.alias("part")), labels).groupBy("hub", "part").applyInArrow(joined, "a long, b long")
 
     def in_units(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Links found among (hub, cls): each hub with its classes, UNIT of them at a time."""
@@ -317,26 +336,28 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         units = units.unionByName(size.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("cls")))
         return labelled(units, labels).groupBy("hub", "part").applyInArrow(joined, "a long, b long")
 
-    links = checkpointed(in_units(light, None))
-    labels, left = components(links), heavy
+    labels, left = components(checkpointed(in_units(light, None))), heavy
+    salt, salts = F.pmod(F.xxhash64("cls"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     fits = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
     for k in range(PIVOT_ROUNDS + 1):
         t = left.select("h", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         mixed = t.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-        left = checkpointed(t.join(mixed, "h"))
+        # A shingle of very many classes is dealt over SALTS tasks wherever rows meet by shingle.
+        left = checkpointed(t.withColumn("salt", salt.cast("int")).join(mixed.select("h", salts), ["h", "salt"]).drop("salt"))
         if left.isEmpty():
             break
-        pivots = left.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(k))).alias("hub")).select("h", "hub.*")
+        pivots = left.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(k))).alias("hub")).select("h", "hub.*", salts)
+        salted = left.withColumn("salt", salt.cast("int"))
         if k < PIVOT_ROUNDS:
             # A pair meets its hub in some of its shingles only, so half as many will do; the last round makes up for it.
-            pairs = left.alias("a").join(pivots.alias("b"), "h").where(f"a.cls <> b.cls and {fits}")
+            pairs = salted.alias("a").join(pivots.alias("b"), ["h", "salt"]).where(f"a.cls <> b.cls and {fits}")
             pairs = pairs.groupBy(F.col("b.cls").alias("hub"), F.col("a.cls").alias("cls"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
             new = in_units(checkpointed(pairs.where(f"2 * c >= {least}").select("hub", "cls")), labels)
         else:
-            ties = left.select("h", F.col("cls").alias("a")).join(pivots.select("h", F.col("cls").alias("b")), "h").select("a", "b")
-            new = in_clusters(components(ties), labels)
-        links = links.unionByName(checkpointed(new))
-        labels = components(links)
+            ties = salted.select("h", "salt", F.col("cls").alias("a")).join(pivots.select("h", "salt", F.col("cls").alias("b")), ["h", "salt"]).select("a", "b")
+            sizes = left.select(F.col("cls").alias("node"), "n").distinct()
+            new = in_clusters(components(ties).join(sizes, "node"), labels)
+        labels = connected(labels, checkpointed(new))
 
     of_class = found.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     of_label = of_class.join(labels.withColumnRenamed("node", "cls"), "cls").groupBy("label").agg(F.min("least").alias("least"))

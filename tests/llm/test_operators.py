@@ -92,6 +92,48 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert [tuple(x)[1:] for x in rows] == components_by_force(texts, 4, 85)
 
 
+def test_units_of_deeply_nested_sets():
+    from palimpsest.llm.jaccard_join import join_unit
+
+    n = 3000
+    sets = [np.arange(i + 1, dtype=np.uint64) for i in range(n)]  # each holds the one before
+    pairs = join_unit(sets, list(range(n)), 85)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        assert 100 * min(len(sets[i]), len(sets[j])) >= 85 * max(len(sets[i]), len(sets[j]))
+        root[find(i)] = find(j)
+    want = list(range(n))  # a set links with those of 85 % of its size
+    for i in range(1, n):
+        if 100 * i >= 85 * (i + 1):
+            want[i] = want[i - 1]
+    assert len({(find(i), want[i]) for i in range(n)}) == len(set(want))
+
+
+@pytest.mark.parametrize("cluster", [4, 12, 3072])
+def test_jaccard_of_clusters_in_bands_of_sizes(spark, monkeypatch, cluster):
+    from palimpsest.llm import jaccard_join
+
+    for name, value in (("CLUSTER", cluster), ("LIGHT", 2), ("PIVOT_ROUNDS", 0), ("UNIT", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for _ in range(110):  # a shared head of many lengths, with changes
+        w = base[: r.randint(12, 70)]
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"x{r.randrange(40)}"
+        texts.append(" ".join(w))
+    rows = sorted(ngram_jaccard_join(docs_of(spark, texts), 2, 70).select("doc_id", "n_shingles", "component_id").collect())
+    assert [tuple(x)[1:] for x in rows] == components_by_force(texts, 2, 70)
+
+
 def test_jaccard_of_repeated_and_missing_ids(spark):
     t = "a b c d e f"
     df = spark.createDataFrame([(5, t), (5, t), (None, t), (7, "x y"), (None, None)], "doc_id long, text string")
