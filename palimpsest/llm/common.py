@@ -30,9 +30,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_of(spark: SparkSession) -> int:
-    """Buckets of a packed exchange: some for each shuffle partition, so that they deal out evenly."""
-    return 2 * shuffle_partitions(spark)
+def buckets_of(df: DataFrame, each: int = 16_000_000) -> int:
+    """Buckets of a packed exchange of df's rows: some for each shuffle partition, so that they deal out evenly, and more where
+    the tables that df reads have more than `each` bytes a bucket, as their sizes on disk say."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(2 * shuffle_partitions(df.sparkSession), *(-(-size // each) for size in sizes if size < 1 << 60), 1)  # beyond that it isn't known
 
 
 def pack(bucket: np.ndarray, records: np.ndarray, n: int):

@@ -168,7 +168,7 @@ def join_unit(sets: list[np.ndarray], labels: list[int], percent: int) -> list[t
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, n_shingles, component_id, group) of each row of docs; uid is row_uid(), group the component, null for an empty set."""
-    spark, buckets = docs.sparkSession, buckets_of(docs.sparkSession)
+    spark, buckets = docs.sparkSession, buckets_of(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
 
     fact_schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])

@@ -44,6 +44,8 @@ from ..written import checkpointed, checkpointed_parts, clustered, discard
 from .common import blob_batch, group_edges, shuffle_partitions, table
 from .kernels import U, hash_words, mix, text_slices, words_of
 
+#: Places within a slice fit into this type.
+I = np.int32
 ORDER, K_MAX, RESERVE, HOT = 3, 5, 0.5, 4
 FOLDS, HELD_OUT = 5, 1
 #: Hash of a text's end, which is a word that is never a context. Numbers of the unknown word and of the start; words follow.
@@ -145,7 +147,7 @@ def _home(h: np.ndarray, buckets: int) -> np.ndarray:
 def _slice_rows(texts: pa.Array, train: np.ndarray):
     """(sorted distinct words and ends, how often each in training, their places by falling count, words by that place, words of each text, the end's place)."""
     words, first, base = [], [np.zeros(1, np.int64)], 0
-    for _, _, buf, off in text_slices(texts):
+    for _, _, buf, off in text_slices(texts, SLICE // 4):
         buf, s, e, f = words_of(buf, off, lower=True)
         words.append(np.insert(hash_words(buf, s, e), f[1:], END))
         first.append(f[1:] + np.arange(1, len(f)) + base)
@@ -182,7 +184,7 @@ class Slice:
     def __init__(self, row: dict, answers: list[dict[int, bytes]], buckets: int, u: Unigrams, levels: list[Level]):
         self.buckets, self.u = buckets, u
         by_count, places, sizes, end = loosened(row["tokens"])
-        self.tokens, self.first = by_count[places], np.concatenate([[0], np.cumsum(sizes)])
+        self.tokens, self.first = by_count.astype(I)[places], np.concatenate([[0], np.cumsum(sizes)])
         self.train = np.repeat(np.asarray(row["train"], bool), np.diff(self.first))
         n = len(by_count)
         homes = sorted(answers[0])
@@ -196,11 +198,11 @@ class Slice:
         # is multiplied by, and the run of the context that it comes from.
         begins = np.zeros(len(self.tokens), bool)
         begins[self.first[:-1]] = True
-        self.begins, self.ctx = begins, np.where(begins, n + 1, np.concatenate([[n + 1], self.tokens[:-1]]))
+        self.begins, self.ctx = begins, np.where(begins, I(n + 1), np.concatenate([np.array([n + 1], I), self.tokens[:-1]]))
         self.ctx_ids, self.ctx_counts = self.ids, self.word_counts
         self.low, self.norm = self.count[self.tokens], np.full(len(self.tokens), u.scale / max(u.tokens, 1))
-        self.from_run, self.run_counts, self.few = np.zeros(len(self.tokens), np.int64), np.zeros(0, np.int64), np.zeros((0, K_MAX))
-        self.of_word = np.where(self.count[self.tokens] > 0, self.tokens, n)
+        self.from_run, self.run_counts, self.few = np.zeros(len(self.tokens), I), np.zeros(0, np.int64), np.zeros((0, K_MAX))
+        self.of_word = np.where(self.low > 0, self.tokens, I(n))
         by_id = np.argsort(self.ids, kind="stable")
         self.rank = np.empty(len(by_id), np.int64)
         self.rank[by_id] = np.arange(len(by_id))
@@ -216,7 +218,7 @@ class Slice:
         # Runs of one context in one bucket: of most contexts one, of hot ones one in each bucket where their words go.
         used = np.flatnonzero(np.bincount(ctx, minlength=len(self.ctx_ids)) > 0)
         used_ids = self.ctx_ids[used]
-        where, run_ctx, run_home = np.empty(len(self.ctx_ids), np.int64), used, used_ids % self.buckets
+        where, run_ctx, run_home = np.empty(len(self.ctx_ids), I), used, used_ids % self.buckets
         where[used] = np.arange(len(used))
         run = where[ctx]
         hot = np.flatnonzero((self.ctx_counts[used] * (HOT * self.buckets) > self.u.tokens)[run])
@@ -234,9 +236,9 @@ class Slice:
         key = key[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        of = np.cumsum(new) - 1
+        of = (np.cumsum(new) - 1).astype(I)
         #: Each token's n-gram, -1 where its context doesn't occur.
-        self.gram = np.full(len(self.tokens), -1)
+        self.gram = np.full(len(self.tokens), -1, I)
         self.gram[ok[order]] = of
         example = order[new]
         run = by[key[new] // len(self.rank)]
@@ -247,7 +249,7 @@ class Slice:
         self.gram_times = np.add.reduceat(self.train[ok[order]].astype(np.int64), np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
         head = np.ones(len(run), bool)
         head[1:] = run[1:] != run[:-1]
-        self.heads, self.run = np.append(np.flatnonzero(head), len(run)), np.cumsum(head) - 1
+        self.heads, self.run = np.append(np.flatnonzero(head), len(run)), (np.cumsum(head) - 1).astype(I)
         self.cut = np.searchsorted(self.home, np.arange(self.buckets + 1))
         self.runs = np.searchsorted(self.heads, self.cut)
 
@@ -291,7 +293,7 @@ class Slice:
         self.norm[has], self.low[has] = norm[run], count
         self.from_run[has], self.run_counts, self.few = run, self.ctx_count[at], figures[:, :-1]
         self.ctx_ids, self.ctx_counts = ids, total
-        self.ctx = np.where(self.begins, -1, np.concatenate([[-1], self.gram[:-1]]))
+        self.ctx = np.where(self.begins, I(-1), np.concatenate([np.array([-1], I), self.gram[:-1]]))
 
     def scores(self, row: dict, arrow_id: pa.DataType) -> pa.Table:
         count, at = self.count[self.tokens], self.first[:-1]

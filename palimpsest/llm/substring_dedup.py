@@ -119,8 +119,7 @@ def substring_dedup(docs: DataFrame, seed: int = 7, length: int = 13, join_kept:
     maximal repeat); columns of docs so named are replaced by these. Without
     join_kept, texts of which nothing is cut stay as they are.
     """
-    spark = docs.sparkSession
-    n = groups = buckets_of(spark)
+    n = groups = buckets_of(docs)
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "repeats")]
     ident: Column = F.col(id_col).cast("long")
     rows = docs.select(
