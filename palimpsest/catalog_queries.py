@@ -452,3 +452,81 @@ def hcrbo_incremental(s, d):
     config = chunking.ChunkConfig(**SMALL)
     f = V.files(s, d, (1, 2), True)
     return chunking.recut_files(f.where("txn_id = 2").select("path", "content"), chunking.chunk(f.where("txn_id = 1").select("path", "content"), config), config)
+
+
+@query(f"WITH {STORE}, old AS (SELECT store.hash FROM store SEMI JOIN c12 USING (hash)), w AS (SELECT hash FROM c3 ANTI JOIN old USING (hash)), r AS (SELECT c3.hash FROM c3 JOIN dead USING (hash) JOIN old USING (hash)) SELECT hash, 'written' AS fate FROM w UNION ALL SELECT hash, 'revived' FROM r")
+def gc_rewrite(s, d):
+    """What a backup does with each chunk that has no live record: one that was collected only loses its mark."""
+    old = V.store(s, d).join(store.referenced(V.chunks(s, d, (1, 2))), "hash", "left_semi")
+    dead = V.tombstones(s, d).join(old.select("hash"), "hash", "left_semi")
+    target = V.chunks(s, d, (3,))
+    written = store.new_chunks(target.select("hash"), old).select("hash", F.lit("written").alias("fate"))
+    return written.unionByName(store.revived(target, dead).select("hash", F.lit("revived").alias("fate")))
+
+
+@query(f"WITH {STORE} SELECT hash, stored_len FROM live ANTI JOIN c12 USING (hash) ORDER BY hash LIMIT 64")
+def orphan_samples(s, d):
+    return store.orphan_samples(V.store(s, d), V.tombstones(s, d), V.chunks(s, d, (1, 2)))
+
+
+@query(f"WITH {FILES} SELECT b.path, b.size FROM (SELECT * FROM f WHERE txn_id = 2) b WHERE NOT EXISTS (SELECT 1 FROM f a WHERE a.txn_id = 1 AND a.path = b.path AND a.size = b.size AND a.mtime_unix = b.mtime_unix)")
+def incremental_candidates(s, d):
+    """Files that a backup has to read, as size or time differ from the snapshot before."""
+    old, new = _sides(s, d)
+    return new.join(old.select("path", "size", "mtime_unix"), ["path", "size", "mtime_unix"], "left_anti").select("path", "size")
+
+
+@query(f"WITH {FILES} SELECT string_split(path, '/')[1] AS top, max(mtime_unix) AS latest_unix FROM f WHERE txn_id = 3 GROUP BY 1")
+def latest_mtime(s, d):
+    return V.files(s, d, (3,)).groupBy(F.split("path", "/")[0].alias("top")).agg(F.max("mtime_unix").alias("latest_unix"))
+
+
+@query(f"WITH {FILES} SELECT count(*) AS file_count, CAST(0 AS BIGINT) AS dir_count, CAST(sum(size) AS BIGINT) AS bytes FROM f WHERE txn_id = 3")
+def restore_preview(s, d):
+    return restore.preview(V.files(s, d, (3,)))
+
+
+@query(f"WITH {FILES} SELECT count(*) AS file_count, CAST(sum(size) AS BIGINT) AS bytes FROM f WHERE txn_id = 2 AND starts_with(path, 'src1/')")
+def restore_acceptance(s, d):
+    return restore.acceptance(filters.FileFilter(include_paths=["src1"]).apply(V.files(s, d, (2,))))
+
+
+@query("WITH " + _levels(CHUNKS + ", leaves AS (SELECT 1 AS one, row_number() OVER (ORDER BY path, idx) - 1 AS i, hash AS h, count(*) OVER () AS n FROM chunks WHERE txn_id = 3 AND starts_with(path, 'src1/'))", "one") + " SELECT (SELECT count(*) FROM leaves) AS n_leaves, h AS merkle_root FROM t WHERE n = 1")
+def restored_subset_root(s, d):
+    """The root over the chunks of the part that a restore took."""
+    paths = filters.FileFilter(include_paths=["src1"]).apply(V.files(s, d, (3,))).select("path")
+    return audit.merkle_root(audit.numbered(restore.subset_leaves(V.chunks(s, d, (3,)), paths), ["path", "idx"], checkpointed))
+
+
+@query(f"WITH {THREE}, x AS (SELECT *, CASE WHEN action IN ('add', 'modify', 'conflict', 'both_changed') THEN 'write' WHEN action = 'unchanged' THEN 'keep' ELSE 'delete' END AS decision FROM plan) SELECT count(*) FILTER (decision = 'write') AS written, count(*) FILTER (decision = 'keep') AS kept, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (decision = 'delete') AS deleted, CAST(0 AS BIGINT) AS failed, CAST(coalesce(sum(target_size) FILTER (decision = 'write'), 0) AS BIGINT) AS bytes_written FROM x")
+def in_place_apply(s, d):
+    return restore.apply_summary(restore.apply_plan(three_way_plan(s, d), "overwrite", "delete"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN starts_with(path, 'src1/') THEN concat('moved', substr(path, 5)) ELSE path END AS target FROM f WHERE txn_id = 3")
+def remap_links(s, d):
+    return V.files(s, d, (3,)).select("path", filters.remap_link(F.col("path"), "src1", "moved").alias("target"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN doc_id % 4 > 0 THEN size / (doc_id % 4) / 1000000 ELSE 0.0::DOUBLE END AS mb_per_s FROM f WHERE txn_id = 3")
+def throughput(s, d):
+    f = V.files(s, d, (3,))
+    return f.select("path", times.throughput(F.col("size"), F.col("doc_id") % 4).alias("mb_per_s"))
+
+
+@query(f"WITH {CHAIN}, a AS (SELECT sequence, sha256 FROM chain WHERE seq % 3 = 0 ORDER BY seq DESC LIMIT 1) SELECT sequence, sha256 = (SELECT arg_max(sha256, seq) FROM chain) AS is_head, true AS at_sequence FROM a")
+def newest_anchor(s, d):
+    chain = V.audit_chain(s, d)
+    return audit.check_anchor(chain, chain.where("seq % 3 = 0").select("seq", "sequence", "sha256"))
+
+
+@query(f"WITH {FILES} SELECT path FROM f WHERE txn_id = 3 AND (starts_with(path, 'src1/') OR starts_with(path, 'src2/')) AND NOT regexp_matches(path, '/doc_[^/]*7\\.txt$') AND size >= 700")
+def filter_merged(s, d):
+    """A filter file and options given beside it: lists are joined, numbers replaced."""
+    both = filters.FileFilter.parse("include_paths=src1\nmin_size=9").merged(filters.FileFilter(include_paths=["src2"], exclude_globs=["doc_*7.txt"], min_size=700))
+    return both.apply(V.files(s, d, (3,))).select("path")
+
+
+@query(f"WITH {FILES} SELECT path, base64(encode(path)) AS encoded FROM f WHERE txn_id = 3")
+def encoded_paths(s, d):
+    return V.files(s, d, (3,)).select("path", F.translate(F.base64(F.col("path").cast("binary")), "\r\n", "").alias("encoded"))

@@ -22,19 +22,42 @@ def orphans(store: DataFrame, tombstones: DataFrame, chunks: DataFrame) -> DataF
     return live(store, tombstones).join(referenced(chunks), "hash", "left_anti")
 
 
+def flagged(store: DataFrame, tombstones: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row of each hash that any of the tables has: its stored record, if there is one, dead, refs and ref_bytes.
+
+    The three are put together by one exchange of their hashes, in which rows
+    combine before it; all figures of a repository are aggregates of this.
+    """
+    zero = F.lit(0).cast("long")
+    record = ("stored_len", "uncompressed_len", "codec", "pack_name")
+    part = lambda df, **known: df.select("hash", *[known.get(c, F.lit(None).cast("long" if c.endswith("_len") else "string")).alias(c) for c in record], *[known.get(c, zero).cast("long").alias(c) for c in ("stored", "dead", "refs", "ref_bytes")])
+    rows = part(store, stored=F.lit(1), **{c: F.col(c) for c in record if c in store.columns}).unionByName(part(tombstones, dead=F.lit(1)))
+    rows = rows.unionByName(part(chunks, refs=F.lit(1), ref_bytes=F.col("length") if "length" in chunks.columns else zero))
+    return rows.groupBy("hash").agg(*[F.max(c).alias(c) for c in record], *[F.max(c).alias(c) for c in ("stored", "dead")], *[F.sum(c).alias(c) for c in ("refs", "ref_bytes")])
+
+
+def _conditions() -> tuple:
+    return F.col("stored") > 0, F.col("dead") > 0, F.col("refs") > 0
+
+
 def orphan_explain(store: DataFrame, tombstones: DataFrame, chunks: DataFrame) -> DataFrame:
     """(reason, n_chunks, bytes): unreferenced, or tombstoned, which weigh nothing."""
-    dead = tombstones.select("hash", F.lit(True).alias("dead"))
-    rows = store.join(dead, "hash", "left").join(referenced(chunks).withColumn("used", F.lit(True)), "hash", "left").where("dead or used is null")
-    reason = F.when(F.col("dead"), "tombstoned").otherwise("unreferenced")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_chunks"), F.sum(F.when(F.col("dead"), F.lit(0)).otherwise(F.col("stored_len"))).alias("bytes"))
+    stored, dead, used = _conditions()
+    rows = flagged(store, tombstones, chunks).where(stored & (dead | ~used))
+    reason = F.when(dead, "tombstoned").otherwise("unreferenced")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_chunks"), F.sum(F.when(dead, F.lit(0)).otherwise(F.col("stored_len"))).alias("bytes"))
+
+
+def orphan_samples(store: DataFrame, tombstones: DataFrame, chunks: DataFrame, limit: int = 0) -> DataFrame:
+    """The first orphans by hash; a limit of 0 means 64."""
+    return orphans(store, tombstones, chunks).select("hash", "stored_len").orderBy("hash").limit(limit or 64)
 
 
 def gc_report(store: DataFrame, tombstones: DataFrame, chunks: DataFrame, execute: bool = False) -> DataFrame:
     """Referenced, orphaned and dead chunks; executing adds the orphans to the dead."""
-    n = orphans(store, tombstones, chunks).agg(F.count("*").alias("orphans"))
-    r, t = referenced(chunks).agg(F.count("*").alias("referenced")), tombstones.select("hash").distinct().agg(F.count("*").alias("dead"))
-    return r.crossJoin(n).crossJoin(t).select("referenced", "orphans", (F.col("dead") + (F.col("orphans") if execute else F.lit(0))).alias("tombstoned"))
+    stored, dead, used = _conditions()
+    orphan = stored & ~dead & ~used
+    return flagged(store, tombstones, chunks).agg(F.count_if(used).alias("referenced"), F.count_if(orphan).alias("orphans"), F.count_if(dead | orphan if execute else dead).alias("tombstoned"))
 
 
 def live_bytes(store: DataFrame, tombstones: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -56,19 +79,27 @@ def compress_stats(store: DataFrame, tombstones: DataFrame, chunks: DataFrame) -
 
 def repo_stats(store: DataFrame, tombstones: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row; amplification is physical over live bytes, 1 where nothing is live."""
-    logical = chunks.agg(F.count("*").alias("logical_chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("logical_bytes"))
-    out = physical_bytes(store).crossJoin(live_bytes(store, tombstones, chunks)).crossJoin(logical)
+    stored, dead, used = _conditions()
+    alive = stored & ~dead & used
+    sum_of = lambda x, when: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
+    record = F.col("stored_len") + RECORD_HEADER
+    out = flagged(store, tombstones, chunks).agg(
+        F.count_if(stored).alias("unique_chunks"), sum_of(record, stored).alias("all_records"), F.count_distinct(F.when(stored, F.col("pack_name"))).alias("all_packs"),
+        F.count_if(alive).alias("live_chunks"), sum_of(record, alive).alias("live_records"), F.count_distinct(F.when(alive, F.col("pack_name"))).alias("live_packs"),
+        F.coalesce(F.sum("refs"), F.lit(0)).alias("logical_chunks"), F.coalesce(F.sum("ref_bytes"), F.lit(0)).alias("logical_bytes"),
+    )
+    out = out.withColumns({"physical_bytes": F.col("all_records") + PACK_HEADER * F.col("all_packs"), "live_bytes": F.col("live_records") + PACK_HEADER * F.col("live_packs")})
     return out.select("unique_chunks", "physical_bytes", "live_chunks", "live_bytes", "logical_chunks", "logical_bytes", F.greatest(F.col("physical_bytes") - F.col("live_bytes"), F.lit(0)).alias("orphan_bytes"), F.when(F.col("live_bytes") > 0, F.col("physical_bytes") / F.col("live_bytes")).otherwise(1.0).alias("amplification"))
 
 
 def reachability(chunks: DataFrame, store: DataFrame, tombstones: DataFrame, samples: int = 32) -> DataFrame:
     """Distinct chunks that files refer to, how many are missing, and the first few of those by hash."""
-    hashes = referenced(chunks.where("hash is not null"))
-    bad = hashes.where(~F.col("hash").rlike("^[0-9a-f]{64}$"))
-    good = hashes.join(bad, "hash", "left_anti")
-    gone = good.join(live(store, tombstones), "hash", "left_anti")
-    first = gone.orderBy("hash").limit(samples).agg(F.array_sort(F.collect_list("hash")).alias("samples"))
-    return good.agg(F.count("*").alias("chunks_checked")).crossJoin(gone.agg(F.count("*").alias("missing"))).crossJoin(bad.agg(F.count("*").alias("malformed"))).crossJoin(first)
+    stored, dead, used = _conditions()
+    fine = F.col("hash").rlike("^[0-9a-f]{64}$")
+    rows = flagged(store.select("hash"), tombstones, chunks.where("hash is not null").select("hash")).where(used).select("hash", fine.alias("fine"), (fine & (~stored | dead)).alias("gone"))
+    first = rows.where("gone").orderBy("hash").limit(samples).agg(F.array_sort(F.collect_list("hash")).alias("samples"))
+    counts = rows.agg(F.count_if("fine").alias("chunks_checked"), F.count_if("gone").alias("missing"), F.count_if(~F.col("fine")).alias("malformed"))
+    return counts.crossJoin(first)  # one row each
 
 
 def delta_chunks(target: DataFrame, base: DataFrame) -> DataFrame:
@@ -90,9 +121,14 @@ def dedup_put(chunks: DataFrame, store: DataFrame, tombstones: DataFrame) -> Dat
     return chunks.groupBy("hash").agg(F.count("*").alias("times")).join(known, "hash", "left").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("logical_chunks"), F.count("*").alias("distinct_chunks"), F.count("known").alias("already_stored"))
 
 
-def new_chunks(chunks: DataFrame, store: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """One row of each chunk that has to be written. The anti-join stands before any encoding."""
-    return chunks.dropDuplicates(["hash"]).join(live(store, tombstones).select("hash"), "hash", "left_anti")
+def new_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """One row of each chunk that has to be written: one that has no record, dead or alive. The anti-join stands before any encoding."""
+    return chunks.dropDuplicates(["hash"]).join(store.select("hash"), "hash", "left_anti")
+
+
+def revived(chunks: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Dead chunks that are wanted again and only lose their mark."""
+    return tombstones.select("hash").distinct().join(chunks.select("hash").distinct(), "hash", "left_semi")
 
 
 def exists(probe: DataFrame, store: DataFrame, tombstones: DataFrame) -> DataFrame:
