@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import views as V
 from .functions import codec, times
-from .operators import audit, catalog, chunking, filters, reports, restore, retention, store, suggestions
+from .operators import audit, catalog, chunking, filters, jobs, reports, restore, retention, store, suggestions
 from .written import checkpointed
 
 QUERIES: dict = {}
@@ -530,3 +530,42 @@ def filter_merged(s, d):
 @query(f"WITH {FILES} SELECT path, base64(encode(path)) AS encoded FROM f WHERE txn_id = 3")
 def encoded_paths(s, d):
     return V.files(s, d, (3,)).select("path", F.translate(F.base64(F.col("path").cast("binary")), "\r\n", "").alias("encoded"))
+
+
+JOBS = "jobs AS (SELECT concat('job', i) AS id, concat('/src/', i) AS source, CASE WHEN i % 3 = 0 THEN '22:00' END AS window_start, CASE WHEN i % 3 = 0 THEN '06:00' END AS window_end, i % 5 <> 4 AS enabled, CAST(86400 * (i % 4) AS BIGINT) AS interval_seconds FROM range(12) r(i))"
+
+
+def _jobs(s):
+    i = F.col("id")
+    night = lambda text: F.when(i % 3 == 0, F.lit(text))
+    return s.range(12).select(F.concat(F.lit("job"), i).alias("id"), F.concat(F.lit("/src/"), i).alias("source"), night("22:00").alias("window_start"), night("06:00").alias("window_end"), (i % 5 != 4).alias("enabled"), (86400 * (i % 4)).alias("interval_seconds"))
+
+
+@query(f"WITH {REPORTS}, {JOBS}, r AS (SELECT job_id AS id, max(finished_at_unix) AS last FROM reports GROUP BY 1), d AS (SELECT jobs.*, coalesce(last + interval_seconds, 0) AS due_unix FROM jobs LEFT JOIN r USING (id)) SELECT id, due_unix FROM d WHERE enabled AND due_unix <= {NOW} AND window_start IS NULL")
+def due_jobs(s, d):
+    """At noon, so that jobs of the night wait."""
+    return jobs.due(_jobs(s), V.job_reports(s, d), NOW, 720)
+
+
+QUEUE = "q AS (SELECT event_id AS seq, event_id % 997 AS run_id, concat('job', event_id % 997 % 7) AS job_id, ['pending', 'running', 'done', 'failed'][CAST(user_id % 4 + 1 AS INT)] AS state FROM events WHERE event_id IS NOT NULL), st AS (SELECT run_id, arg_max(job_id, seq) AS job_id, arg_max(state, seq) AS state, max(seq) AS seq FROM q GROUP BY 1)"
+
+
+def _queue(s, d):
+    e = V.table(s, d, "events").where("event_id is not null")
+    states = F.array(*[F.lit(x) for x in jobs.STATES])
+    return e.select(F.col("event_id").alias("seq"), (F.col("event_id") % 997).alias("run_id"), F.concat(F.lit("job"), F.col("event_id") % 997 % 7).alias("job_id"), F.element_at(states, (F.col("user_id") % 4 + 1).cast("int")).alias("state"))
+
+
+@query(f"WITH {QUEUE} SELECT run_id, job_id, state, seq FROM st")
+def queue_states(s, d):
+    return jobs.queue_states(_queue(s, d))
+
+
+@query(f"WITH {QUEUE} SELECT min(run_id) AS run_id, job_id FROM st WHERE state = 'pending' AND job_id NOT IN (SELECT job_id FROM st WHERE state = 'running') GROUP BY job_id ORDER BY run_id LIMIT 5")
+def next_runs(s, d):
+    return jobs.next_runs(_queue(s, d), 5)
+
+
+@query(f"WITH {CHUNKS}, n AS (SELECT txn_id, path, count(*) AS n FROM chunks WHERE txn_id = 2 GROUP BY ALL) SELECT f.txn_id, f.path, size, file_type, mtime_unix, coalesce(n, 0) AS n_chunks FROM f LEFT JOIN n USING (txn_id, path) WHERE f.txn_id = 2")
+def file_summaries(s, d):
+    return catalog.summary_columns(V.files(s, d, (2,)), V.chunks(s, d, (2,)))

@@ -18,9 +18,11 @@ def at_snapshot(files: DataFrame, txn: int) -> DataFrame:
     return out
 
 
-def summary_columns(files: DataFrame) -> DataFrame:
-    """The narrow projection that listings read."""
-    return files.select("txn_id", "path", "size", "file_type", "mtime_unix", F.size("chunk_hashes").cast("long").alias("n_chunks"))
+def summary_columns(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The narrow projection that listings read, with each file's number of chunks."""
+    n = chunks.groupBy("txn_id", "path").agg(F.count("*").alias("n_chunks"))
+    rows = files.select("txn_id", "path", "size", "file_type", "mtime_unix").join(n, ["txn_id", "path"], "left")
+    return rows.withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
 def path_history(files: DataFrame, path: str) -> DataFrame:

@@ -144,8 +144,12 @@ def collapse_includes(paths: DataFrame, col: str = "path") -> DataFrame:
     return p.join(covered, col, "left_anti").withColumn("depth", F.size(F.split(col, "/")).cast("long"))
 
 
-def remap(path: Column, mode: str, strip: int = 0, source: str = "", target: str = "") -> Column:
-    """keep, strip (first components), flatten (name only) or prefix (source to target). Null: the row is skipped."""
+def remap(path: Column, mode: str, strip: int = 0, source: str = "", target: str = "", strict: bool = False) -> Column:
+    """keep, strip (first components), flatten (name only) or prefix (source to target).
+
+    Null: the row is skipped. A path that is absolute or leaves its root is null
+    too; with strict it is an error.
+    """
     n = normalized(path)
     bad = n.startswith("/") | n.rlike(r"(^|/)\.\.?(/|$)") | n.contains("//") | (n == "")
     if mode == "keep":
@@ -160,7 +164,8 @@ def remap(path: Column, mode: str, strip: int = 0, source: str = "", target: str
         out = F.when(n == s, F.lit(t)).when(n.startswith(s + "/"), F.concat(F.lit(t), F.substr(n, F.lit(len(s) + 1)))).otherwise(n)
     else:
         raise ValueError(f"no such mode: {mode}")
-    return F.when(~bad, out)
+    wrong = F.raise_error(F.concat(F.lit("not a path within a root: "), path)).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(bad, wrong).otherwise(out)
 
 
 def remap_link(target: Column, source: str, to: str) -> Column:
@@ -209,4 +214,4 @@ def resolve_conflicts(rows: DataFrame, dest: str = "dest", order: tuple[str, ...
             return out.drop("copy")
         # All copies from the first clash of a destination on move up by one.
         first = clash.groupBy("d2").agg(F.min("c2").alias("c2"))
-        out = out.join(first, out[dest] == first["d2"], "left").withColumn("copy", F.col("copy") + (F.col("c2").isNotNull() & (F.col("copy") >= F.col("c2"))).cast("long")).drop("d2", "c2").withColumn("final", spelled)
+        out = checkpointed(out).join(first, F.col(dest).eqNullSafe(F.col("d2")), "left").withColumn("copy", F.col("copy") + (F.col("c2").isNotNull() & (F.col("copy") >= F.col("c2"))).cast("long")).drop("d2", "c2").withColumn("final", spelled)

@@ -377,6 +377,35 @@ class Repo:
                 continue
             rows.write.parquet(f"{path}/{name}")
 
+    # Syncing
+
+    def sync_plan(self, remote: Repo) -> DataFrame:
+        """(txn_id, base_txn, chunks, bytes) of the snapshots that a remote lacks, with what each adds to the newest that both have."""
+        there = {t for t, _ in remote._state()["tables"]["snapshots"]}
+        mine = sorted(t for t, _ in self._state()["tables"]["snapshots"])
+        base, rows = max((t for t in mine if t in there), default=None), None
+        for txn in (t for t in mine if t not in there):
+            new = self.delta(base, txn) if base else self.table("payloads").join(store.referenced(self.chunks(txn)), "hash", "left_semi")
+            one = new.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("stored_len"), F.lit(0)).alias("bytes")).select(F.lit(txn).cast("long").alias("txn_id"), F.lit(base).cast("long").alias("base_txn"), "chunks", "bytes")
+            rows = one if rows is None else rows.unionByName(one)
+        return rows if rows is not None else self.spark.createDataFrame([], "txn_id long, base_txn long, chunks long, bytes long")
+
+    def push(self, remote: Repo) -> list[int]:
+        """Takes the snapshots that a remote lacks there, the oldest first, each in one commit and verified; their numbers."""
+        done = []
+        for row in self.sync_plan(remote).orderBy("txn_id").toLocalIterator():  # a row a snapshot
+            bundle = f"{remote.path}/_staging/{uuid.uuid4().hex}"
+            self.export(bundle, row["txn_id"], row["base_txn"])
+            remote.apply(bundle)
+            remote._fs.delete(remote._at(bundle), True)
+            if not remote.verify_roots().where((F.col("txn_id") == row["txn_id"]) & ~F.col("ok")).isEmpty():
+                raise RuntimeError(f"snapshot {row['txn_id']} isn't whole at {remote.path}")
+            done.append(row["txn_id"])
+        return done
+
+    def pull(self, remote: Repo) -> list[int]:
+        return remote.push(self)
+
     def apply(self, path: str) -> None:
         """Takes a bundle in, in one commit: snapshots that are there already stay as they are.
 

@@ -292,3 +292,51 @@ def test_restore_and_apply_in_place(spark, tmp_path):
     assert repo.apply_in_place(str(root), 1, 2, on_conflict="skip")["skipped"] >= 1 and (root / "gone").read_bytes() == b"old"
     repo.apply_in_place(str(root), 1, 2, on_conflict="overwrite")
     assert (root / "d" / "x").read_bytes() == b"one" * 300
+
+
+def test_push_takes_what_a_remote_lacks(spark, tmp_path):
+    repo, remote = Repo(spark, str(tmp_path / "repo")), Repo(spark, str(tmp_path / "remote"))
+    repo.backup(rows(spark, A), 1000, config=CONFIG)
+    assert repo.push(remote) == [1] and contents(remote) == A
+    repo.backup(rows(spark, A | B), 2000, config=CONFIG)
+    plan = repo.sync_plan(remote).collect()
+    assert [(r["txn_id"], r["base_txn"]) for r in plan] == [(2, 1)] and 0 < plan[0]["chunks"] < repo.table("payloads").count()
+    assert repo.push(remote) == [2] and repo.push(remote) == [] and contents(remote) == A | B
+    third = Repo(spark, str(tmp_path / "third"))
+    assert third.pull(remote) == [1, 2] and contents(third, 1) == A
+
+
+def test_jobs(spark):
+    from palimpsest.operators import jobs
+
+    schema = "id string, source string, window_start string, window_end string, enabled boolean, interval_seconds long"
+    some = spark.createDataFrame([("a", "/a", None, None, True, 10), ("b", "", None, None, True, 10), ("c", "/c", "09:00", "10:00", True, 0), (None, "/d", None, None, False, 0)], schema)
+    changed = jobs.upsert(some, spark.createDataFrame([("a", "/new", None, None, True, 99), ("e", "/e", None, None, True, 1)], schema))
+    assert {r["id"]: r["source"] for r in changed.collect()} == {"a": "/new", "b": "", "c": "/c", None: "/d", "e": "/e"}
+    assert {r["id"] for r in jobs.remove(changed, "a", "e").collect()} == {"b", "c", None}
+    assert {(r["id"], r["reason"]) for r in jobs.invalid(some).collect()} == {("b", "no source"), (None, "no id")}
+    runs = spark.createDataFrame([("a", 100), ("a", 50)], "job_id string, finished_at_unix long")
+    due = lambda now, minute: {r["id"] for r in jobs.due(some, runs, now, minute).collect()}
+    assert due(105, 0) == {"b"} and due(110, 545) == {"a", "b", "c"}
+
+
+def test_policies_logs_and_reports(spark, tmp_path):
+    import pytest
+
+    from palimpsest.operators import retention
+    from palimpsest.sources.logs import append_log, read_log, read_report, to_json
+    from pyspark.sql import types as T
+
+    assert retention.parse_policy("3600:24, 86400:7") == ((3600, 24), (86400, 7))
+    for wrong in ("", "3600", "0:3", "a:b", "5:0", "5:-1"):
+        with pytest.raises(ValueError):
+            retention.parse_policy(wrong)
+    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("event", T.StringType())])
+    append_log(spark.createDataFrame([("x",), ("y",)], "event string"), str(tmp_path / "log"))
+    append_log(spark.createDataFrame([("z",)], "event string"), str(tmp_path / "log"), after=2)
+    assert [(r["seq"], r["event"]) for r in read_log(spark, str(tmp_path / "log"), schema).orderBy("seq").collect()] == [(1, "x"), (2, "y"), (3, "z")]
+    (tmp_path / "report.json").write_text('{\n "job": "a",\n "files": 3\n}\n')
+    report = read_report(spark, str(tmp_path / "report.json"))
+    assert (report.first()["job"], report.first()["files"]) == ("a", 3) and to_json(report).first()["json"] == '{"files":3,"job":"a"}'
+    with pytest.raises(Exception, match="not a path within a root"):
+        spark.createDataFrame([("../x",)], "p string").select(filters.remap(F.col("p"), "keep", strict=True)).collect()
