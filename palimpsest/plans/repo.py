@@ -106,7 +106,7 @@ class Repo:
         """Takes (path, content, mtime_unix and, where given, file_type, mode, uid, gid, inode_id, link_target) as the next snapshot; its number.
 
         Files whose size and time are those of the last snapshot keep its chunks
-        and aren't read; others are cut where they lie. Only chunks without a
+        and aren't cut again; others are cut where they lie. Only chunks without a
         stored payload are encoded, at the level that the tier has for the class
         of their content; a payload that was marked dead and is wanted again
         only loses its mark. Of rows that repeat a path the last time's counts.
