@@ -16,9 +16,13 @@ as many prefix shingles as its sizes need. Heavier shingles go in rounds. In the
 pivot rounds each sends its classes to one of them, in as many units as they
 fill, which joins groups of near copies, however large, with visits in
 proportion to their size. Then only shingles whose classes lie in different
-components are left; classes that those connect form clusters, and the last round
-joins whole clusters, and of one that is larger than a unit may be the blocks
-whose sizes allow a link. After it no link is left unseen.
+components are left. Those of at most MIDDLE classes are counted by pairs, as light
+ones are, but for pairs in different components alone: in a large table chance
+brings many shingles over LIGHT, and these tie most classes together. Classes that
+the others connect form clusters, and the last round joins whole clusters, and of
+one that is larger than a unit may be the blocks whose sizes allow a link. After it
+no link is left unseen: a pair shares light shingles, or else some of at most MIDDLE
+classes, or else heavier ones alone.
 
 Sets are joined in units of bounded size. A unit's sets are put into a prefix
 tree, frequent shingles first, so that near copies share long paths. Each set
@@ -39,13 +43,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_batch, buckets_of, checkpointed, components, connected, group_edges, pack, table, unpack
+from .common import blob_batch, buckets_of, checkpointed, components, connected, discard, group_edges, pack, table, unpack
 from .kernels import U, hash_words, mix, shingle_sets, text_slices, words_of
 
 #: The sketch: 2 ** SKETCH_BITS counts, sent in slices.
 SKETCH_BITS, SLICES = 21, 128
-#: Sets of a unit besides its pivot, and of a cluster's unit; pivot rounds; classes of a light shingle; tasks that a heavy one is dealt over.
-UNIT, CLUSTER, PIVOT_ROUNDS, LIGHT, SALTS = 64, 3072, 2, 16, 16
+#: Sets of a unit besides its pivot, and of a cluster's unit; pivot rounds; classes of a light shingle, and of one that is counted by pairs after the pivot rounds; tasks that a heavy one is dealt over.
+UNIT, CLUSTER, PIVOT_ROUNDS, LIGHT, MIDDLE, SALTS = 64, 3072, 2, 16, 256, 16
 
 TOKEN = np.dtype([("h", "u8"), ("cls", "i8"), ("n", "i4"), ("sent", "i1")])
 
@@ -272,11 +276,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     # Sets that link share at least so many prefix shingles: all that they share up to the end of the prefix that ends
     # first, after which that set has no more than ceil(percent * n / 100) - 1 left.
     least = f"(ceil({percent} * (n + m) / {100 + percent}) - greatest(ceil({percent} * n / 100), ceil({percent} * m / 100)) + 1)"
-    weight = checkpointed(heavy.groupBy("cls").agg(F.count("*").alias("heavies")))
-    light = met.where("not heavy").groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"))
-    light = light.join(weight.select(F.col("cls").alias("a"), F.col("heavies").alias("ha")), "a", "left").join(weight.select(F.col("cls").alias("b"), F.col("heavies").alias("hb")), "b", "left")
-    light = light.where(f"c + coalesce(least(ha, hb), 0) >= {least}".replace("least(ha, hb)", "least(coalesce(ha, 0), coalesce(hb, 0))")).select(F.col("a").alias("hub"), F.col("b").alias("cls"))
-    light = checkpointed(light)
+
+    def worth_it(pairs: DataFrame, heavies: DataFrame) -> DataFrame:
+        """(hub, cls) of the pairs (a, b, n, m, c) that may link; heavies (cls, heavies): a class's shingles that c leaves out."""
+        weight = checkpointed(heavies.groupBy("cls").agg(F.count("*").alias("heavies")))
+        pairs = pairs.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"))
+        pairs = pairs.join(weight.select(F.col("cls").alias("a"), F.col("heavies").alias("ha")), "a", "left").join(weight.select(F.col("cls").alias("b"), F.col("heavies").alias("hb")), "b", "left")
+        pairs = pairs.where(f"c + least(coalesce(ha, 0), coalesce(hb, 0)) >= {least}")
+        return checkpointed(pairs.select(F.col("a").alias("hub"), F.col("b").alias("cls")))
+
+    light = worth_it(met.where("not heavy").drop("heavy"), heavy)
+    discard(met)
 
     needed = heavy.select("cls").unionByName(light.select(F.explode(F.array("hub", "cls")).alias("cls"))).distinct()
     one = found.groupBy("cls").agg(F.min("uid").alias("uid")).join(needed, "cls", "left_semi")
@@ -339,11 +349,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     labels, left = components(checkpointed(in_units(light, None))), heavy
     salt, salts = F.pmod(F.xxhash64("cls"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     fits = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    for k in range(PIVOT_ROUNDS + 1):
+    for k in range(PIVOT_ROUNDS + 2):
         t = left.select("h", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = t.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+        mixed = t.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("classes")).where("lo <> hi").select("h", "classes")
         # A shingle of very many classes is dealt over SALTS tasks wherever rows meet by shingle.
-        left = checkpointed(t.withColumn("salt", salt.cast("int")).join(mixed.select("h", salts), ["h", "salt"]).drop("salt"))
+        left = checkpointed(t.withColumn("salt", salt.cast("int")).join(mixed.select("h", "classes", salts), ["h", "salt"]).drop("salt"))
         if left.isEmpty():
             break
         pivots = left.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(k))).alias("hub")).select("h", "hub.*", salts)
@@ -353,6 +363,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
             pairs = salted.alias("a").join(pivots.alias("b"), ["h", "salt"]).where(f"a.cls <> b.cls and {fits}")
             pairs = pairs.groupBy(F.col("b.cls").alias("hub"), F.col("a.cls").alias("cls"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("c"))
             new = in_units(checkpointed(pairs.where(f"2 * c >= {least}").select("hub", "cls")), labels)
+        elif k == PIVOT_ROUNDS:
+            counted, left = left.where(F.col("classes") <= MIDDLE), left.where(F.col("classes") > MIDDLE)
+            pairs = counted.alias("a").join(counted.alias("b"), "h").where(f"a.cls < b.cls and a.label <> b.label and {fits}")
+            pairs = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.lit(1).cast("long").alias("c"))
+            new = in_units(worth_it(pairs, left), labels)
         else:
             ties = salted.select("h", "salt", F.col("cls").alias("a")).join(pivots.select("h", "salt", F.col("cls").alias("b")), ["h", "salt"]).select("a", "b")
             sizes = left.select(F.col("cls").alias("node"), "n").distinct()

@@ -134,6 +134,43 @@ def test_jaccard_of_clusters_in_bands_of_sizes(spark, monkeypatch, cluster):
     assert [tuple(x)[1:] for x in rows] == components_by_force(texts, 2, 70)
 
 
+@pytest.mark.parametrize("middle,pivots", [(2, 0), (6, 0), (30, 1), (256, 0)])
+def test_jaccard_of_shingles_counted_by_pairs(spark, monkeypatch, middle, pivots):
+    from palimpsest.llm import jaccard_join
+
+    for name, value in (("CLUSTER", 4), ("LIGHT", 2), ("PIVOT_ROUNDS", pivots), ("UNIT", 4), ("MIDDLE", middle)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(17)
+    bases = [[f"w{r.randrange(25)}" for _ in range(60)] for _ in range(6)]
+    texts = []
+    for _ in range(110):
+        w = bases[r.randrange(6)][: r.randint(12, 60)]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"w{r.randrange(25)}"
+        texts.append(" ".join(w))
+    rows = sorted(ngram_jaccard_join(docs_of(spark, texts), 2, 70).select("doc_id", "n_shingles", "component_id").collect())
+    assert [tuple(x)[1:] for x in rows] == components_by_force(texts, 2, 70)
+
+
+def test_jaccard_joins_no_whole_clusters_of_chance_shingles(spark, monkeypatch):
+    """Texts that share a few shingles by chance are told apart by counts, and no set is sent out for them."""
+    from palimpsest.llm import jaccard_join
+
+    joined, was = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: joined.append(edges.count()) or was(edges))
+    r = random.Random(19)
+    texts = []
+    for i in range(200):  # each shingle of the pool is in 20 texts, and ties all to all
+        pool = [f"p{(i + 10 * k) % 100}a p{(i + 10 * k) % 100}b" for k in range(10)]
+        r.shuffle(pool)
+        texts.append(" ".join(f"{x} u{i}x{k}" for k, x in enumerate(pool)))
+    monkeypatch.setattr(jaccard_join, "LIGHT", 2)
+    monkeypatch.setattr(jaccard_join, "prefixes", lambda h, off, busy, percent: (np.arange(len(h)), np.repeat(np.arange(len(off) - 1), np.diff(off))))  # the order by which chance is worst
+    rows = sorted(ngram_jaccard_join(docs_of(spark, texts), 2).select("doc_id", "n_shingles", "component_id").collect())
+    assert [tuple(x)[1:] for x in rows] == components_by_force(texts, 2, 85)
+    assert sum(joined) == 0  # ties of clusters among them
+
+
 def test_jaccard_of_repeated_and_missing_ids(spark):
     t = "a b c d e f"
     df = spark.createDataFrame([(5, t), (5, t), (None, t), (7, "x y"), (None, None)], "doc_id long, text string")
