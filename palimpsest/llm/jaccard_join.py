@@ -373,6 +373,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
             sizes = left.select(F.col("cls").alias("node"), "n").distinct()
             new = in_clusters(components(ties).join(sizes, "node"), labels)
         labels = connected(labels, checkpointed(new))
+    # The result reads facts and labels alone; the steps after this one shouldn't find the sets on disk.
+    discard(texts, heavy, light)
 
     of_class = found.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     of_label = of_class.join(labels.withColumnRenamed("node", "cls"), "cls").groupBy("label").agg(F.min("least").alias("least"))

@@ -171,6 +171,28 @@ def test_jaccard_joins_no_whole_clusters_of_chance_shingles(spark, monkeypatch):
     assert sum(joined) == 0  # ties of clusters among them
 
 
+def test_jaccard_leaves_no_sets_on_disk(spark, monkeypatch):
+    import os
+
+    from palimpsest.llm import jaccard_join
+
+    stored, checkpointed = [], jaccard_join.checkpointed
+
+    def kept(df):
+        out = checkpointed(df)
+        if "shingles" in out.columns:
+            stored.extend(x.removeprefix("file://") for x in out.inputFiles())
+            assert all(map(os.path.exists, stored))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "LIGHT", 2)
+    monkeypatch.setattr(jaccard_join, "checkpointed", kept)
+    texts = [" ".join(f"w{i // 5}x{k}" if k != i else "new" for k in range(40)) for i in range(30)]
+    rows = ngram_jaccard_join(docs_of(spark, texts)).select("doc_id", "n_shingles", "component_id")
+    assert stored and not any(map(os.path.exists, stored))
+    assert [tuple(x)[1:] for x in sorted(rows.collect())] == components_by_force(texts, 4, 85)
+
+
 def test_jaccard_of_repeated_and_missing_ids(spark):
     t = "a b c d e f"
     df = spark.createDataFrame([(5, t), (5, t), (None, t), (7, "x y"), (None, None)], "doc_id long, text string")
