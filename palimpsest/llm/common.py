@@ -11,6 +11,8 @@ from ..written import checkpointed, discard
 
 #: Stands for a missing doc_id where ids are ordered: after all others.
 NO_ID = (1 << 63) - 1
+#: Edges that one task joins in components(), 4 MB of them.
+FEW = 1 << 18
 __all__ = ["NO_ID", "blob_batch", "buckets_of", "checkpointed", "components", "connected", "free_name", "group_edges", "in_groups", "of_group", "pack", "shuffle_partitions", "table", "unpack"]
 
 
@@ -95,6 +97,8 @@ def group_edges(sorted_keys: np.ndarray) -> np.ndarray:
 
 def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """components() of the edges that gave labels and of these: only what the new edges join is worked on."""
+    if edges.isEmpty():
+        return labels
     side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
     e = edges.select("a", "b").where("a is not null and b is not null").join(side("a"), "a", "left").join(side("b"), "b", "left")
     e = checkpointed(e.select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y")))
@@ -104,31 +108,61 @@ def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(every.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, label of each) of edges that are at hand: the rounds of components() on arrays."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        up = np.arange(len(nodes))
+        np.minimum.at(up, x, y)
+        np.minimum.at(up, y, x)
+        while (up[up] != up).any():
+            up = up[up]
+        label, x, y = up[label], up[x], up[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node that can be reached.
 
     Each round hooks every node to its smallest neighbour, follows those
-    pointers to their roots, and contracts the edges between the roots, until no
-    edge is left. Nothing is collected but counts. Hubs only meet in min
-    aggregates, which combine before the exchange, and in joins that adaptive
-    execution can split.
+    pointers to their roots, and contracts the edges between the roots. Once at
+    most FEW edges are left, one task does the rounds that remain: as plans they
+    are many jobs each, however small, whose plans and code fill the driver.
+    Nothing is collected but counts. Hubs only meet in min aggregates, which
+    combine before the exchange, and in joins that adaptive execution can split.
     """
-    e = checkpointed(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
-    while not e.isEmpty():
-        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
-        up = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
-        while True:
+    schema = pa.schema([("node", pa.int64()), ("up", pa.int64())])
+
+    def at_once(batches):
+        t = pa.Table.from_batches(batches, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in roots(t["a"].to_numpy(), t["b"].to_numpy())], schema=schema)
+
+    e, labels = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").distinct()), None
+    while True:
+        last = e.count() <= FEW
+        if last:
+            up = checkpointed(e.coalesce(1).mapInArrow(at_once, "node long, up long"))
+        else:
+            both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
+            up = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
+        while not last:
             jump = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.node")).select("x.node", F.col("y.up").alias("up"), (F.col("x.up") != F.col("y.up")).alias("moved"))
             jump, before = checkpointed(jump), up
             up = jump.select("node", "up")
             discard(before)
             if jump.where("moved").isEmpty():
                 break
-        old = labels, e
-        labels = checkpointed(labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
-        a, b = up.select(F.col("node").alias("a"), F.col("up").alias("ra")), up.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        e = checkpointed(e.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
-        discard(up, *old)
-    return labels
+        old = [e]
+        if labels is None:
+            labels = up.select("node", F.col("up").alias("label"))
+        else:
+            old += [labels, up]
+            labels = checkpointed(labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        if not last:
+            a, b = up.select(F.col("node").alias("a"), F.col("up").alias("ra")), up.select(F.col("node").alias("b"), F.col("up").alias("rb"))
+            e = checkpointed(e.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
+        discard(*old)
+        if last:
+            return labels

@@ -287,6 +287,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     light = worth_it(met.where("not heavy").drop("heavy"), heavy)
     discard(met)
+    shared.destroy()  # read for the prefixes alone, which are written
+    del shared
 
     needed = heavy.select("cls").unionByName(light.select(F.explode(F.array("hub", "cls")).alias("cls"))).distinct()
     one = found.groupBy("cls").agg(F.min("uid").alias("uid")).join(needed, "cls", "left_semi")

@@ -171,6 +171,45 @@ def test_jaccard_joins_no_whole_clusters_of_chance_shingles(spark, monkeypatch):
     assert sum(joined) == 0  # ties of clusters among them
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 18])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    from palimpsest.llm import common
+
+    monkeypatch.setattr(common, "FEW", few)
+    r = random.Random(23)
+    path = r.sample(range(-500, 500), 120)  # long, in no order
+    edges = [*zip(path, path[1:], strict=False), *((5000, 5000 + i) for i in range(1, 60)), *((r.randrange(9000, 9060), r.randrange(9000, 9060)) for _ in range(40)), (7, None), (1 << 62, -(1 << 62)), (1 << 62, -(1 << 62))]
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    new = spark.createDataFrame(edges, "a long, b long")
+    labels = common.components(new)
+    assert dict(map(tuple, labels.collect())) == root and labels.count() == len(root)
+    first = common.components(new.where("pmod(a, 2) = 0"))
+    both = common.connected(first, new.where("pmod(a, 2) = 1"))
+    loops = {a for a, b in edges if a == b and a not in root}
+    assert {x: y for x, y in both.collect() if x not in loops} == root and both.count() == len(root) + len(loops & {a for a, _ in edges if a % 2})
+    assert common.connected(labels, new.limit(0)).count() == len(root)
+    assert common.components(new.limit(0)).count() == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Rounds as plans of their own, some twenty of them for this path, fill the driver with plans and code."""
+    from palimpsest.llm.common import components
+
+    path = random.Random(29).sample(range(2000), 2000)
+    edges = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        labels = components(edges)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
+    assert labels.where("label <> 0").isEmpty() and labels.count() == 2000
+
+
 def test_jaccard_leaves_no_sets_on_disk(spark, monkeypatch):
     import os
 
